@@ -79,10 +79,14 @@ def pair_count(x: Column, y: Column) -> Column:
     return F.count_if(x.isNotNull() & y.isNotNull())
 
 
+def _formatted(number: Column, pattern: str, digits: int) -> Column:
+    return F.when(number.isNotNull(), F.format_string(pattern, F.round(number, digits)))
+
+
 def fixed(number: Column, digits: int) -> Column:
     """A number as text with exactly ``digits`` decimals, halves rounded up."""
-    return F.format_string(f"%.{digits}f", F.round(number, digits))
+    return _formatted(number, f"%.{digits}f", digits)
 
 
 def signed(number: Column, digits: int) -> Column:
-    return F.format_string(f"%+.{digits}f", F.round(number, digits))
+    return _formatted(number, f"%+.{digits}f", digits)

@@ -40,9 +40,8 @@ def lookup_join(
         .where(F.col("key_rows") > hot_rows)
         .select(key, F.lit(True).alias("hot_key"))
     )
-    if not small_enough(hot, broadcast_rows):
-        return many.join(one, key, how)
-    if hot.isEmpty():
+    # With that many frequent keys none is a large part of the whole.
+    if hot.isEmpty() or not small_enough(hot, broadcast_rows):
         return many.join(one, key, how)
     hot = F.broadcast(hot)
     spread = F.pmod(F.xxhash64(*[c for c in many.columns if _hashable(many, c)]), F.lit(salts))

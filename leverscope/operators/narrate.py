@@ -116,14 +116,20 @@ def _primary(ranks: Column, order: list[str]) -> tuple[Column, Column]:
     return first["feature"], best
 
 
-def _edit_bits(names: list[str]) -> Column:
-    """'a from 1.0 to 2; b from x to y', in input order."""
+def _edit_bits(results: DataFrame, names: list[str]) -> Column:
+    """'a from 1.000 to 2; b from x to y', in input order."""
+    kinds = {f.name: f.dataType.simpleString() for f in results.schema["original"].dataType}
+
+    def before(name: str) -> Column:
+        value = F.col("original")[name]
+        return fixed(value, 3) if kinds[name] == "double" else value
+
     bits = [
         F.when(
             F.map_contains_key("applied", c),
             F.concat(
                 F.lit(f"{c} from "),
-                F.coalesce(F.col("original")[c].cast("string"), F.lit("nothing")),
+                F.coalesce(before(c), F.lit("nothing")),
                 F.lit(" to "),
                 F.coalesce(F.element_at("applied", c), F.lit("nothing")),
             ),
@@ -144,7 +150,7 @@ def whatif_narrative(results: DataFrame, target: str, names: list[str], ranks: C
     primary, rank = _primary(ranks, names)
     move = F.coalesce(F.concat(signed(percent, 1), F.lit("%")), signed(delta, 3))
     changed = F.concat(
-        F.lit("With "), _edit_bits(names), F.lit(f", predicted {target} goes from "),
+        F.lit("With "), _edit_bits(results, names), F.lit(f", predicted {target} goes from "),
         fixed(base, 3), F.lit(" to "), fixed(new, 3), F.lit(" ("), move, F.lit(")."),
         F.coalesce(F.concat(F.lit(" "), primary, F.lit(" ranks "), rank, F.lit(" among the drivers.")), F.lit("")),
     )
@@ -155,7 +161,7 @@ def whatif_narrative(results: DataFrame, target: str, names: list[str], ranks: C
         prediction=fixed(new, 4),
         delta=fixed(delta, 4),
         deltaPct=fixed(percent, 1),
-        edits=_edit_bits(names),
+        edits=_edit_bits(results, names),
         primaryFeature=F.coalesce(primary, F.lit("")),
         primaryRank=rank,
         editCount=count,

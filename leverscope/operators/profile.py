@@ -239,14 +239,17 @@ def guess_target(types: DataFrame) -> DataFrame:
     name = F.col("name")
     hint = name.rlike("(?i)" + "|".join(TARGET_HINTS))
     usable = (F.col("type") == NUMERIC) & ~name.startswith("Unnamed")
-    # Last numeric column when nothing hints: the negated position ranks it first.
-    priority = (
-        F.when(name == TARGET_NAMES[0], F.struct(F.lit(0), F.lit(0)))
-        .when(name == TARGET_NAMES[1], F.struct(F.lit(1), F.lit(0)))
-        .when(usable & hint, F.struct(F.lit(2), F.col("position")))
-        .when(usable, F.struct(F.lit(3), -F.col("position")))
+    tier = (
+        F.when(name == TARGET_NAMES[0], 0)
+        .when(name == TARGET_NAMES[1], 1)
+        .when(usable & hint, 2)
+        .when(usable, 3)
+    )
+    # Without a hint the last numeric column is taken: its negated position is least.
+    place = F.when(tier == 3, -F.col("position")).otherwise(F.col("position"))
+    return types.agg(
+        F.min_by(name, F.when(tier.isNotNull(), F.struct(tier, place))).alias("target")
     )
-    return types.agg(F.min_by(F.when(priority.isNotNull(), name), priority).alias("target"))
 
 
 def validate_target(df: DataFrame, target: str) -> None:

@@ -30,6 +30,9 @@ from leverscope.operators.prepare import (
 from leverscope.operators.profile import quoted
 from leverscope.operators.scorers import PipelineScorer, check_reserved
 
+# A learner pass over fewer rows than this is not worth another task.
+ROWS_PER_TASK = 20_000
+
 
 @dataclass(frozen=True)
 class ModelSpec:
@@ -119,6 +122,8 @@ def fit_model(
     frame, features, kind, classes, rows = model_frame(df, target, task, key)
     stratify = "actual" if kind.is_classification else None
     frame = holdout_split(frame, key, seed, stratify=stratify)
+    # A small table is read in few tasks; ``coalesce`` never adds any to a large one.
+    frame = frame.coalesce(max(1, rows // ROWS_PER_TASK))
     # Read by every boosting round's set-up, the metrics and the explanations.
     frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     train = frame.where(F.col("split") != "test")

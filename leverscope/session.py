@@ -36,6 +36,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
