@@ -100,11 +100,31 @@ def partial_dependence(
 ) -> DataFrame:
     """(feature, grid_id, x, x_label, y) for all features of the grid in one job.
 
-    The grid is an array literal, so rows are expanded in place (no join), scored
-    once, and reduced to one row per grid point and task before the shuffle.
+    Rows are expanded in place over the point numbers (no join), scored once, and
+    reduced to one row per point and task before the shuffle. The points of a
+    feature are numbered in a run, so a variant is one array lookup.
     """
     answer = response(scorer) if answer is None else answer
-    points = F.array(
+    point = F.col("point")
+    replaced = {}
+    for c in features.names:
+        places = [i for i, p in enumerate(grid) if p.feature == c]
+        if places:
+            values = [grid[i].x if c in features.numeric else grid[i].x_label for i in places]
+            first, last = places[0], places[-1]
+            assert last - first + 1 == len(places), "the points of a feature stand together"
+            looked_up = F.get(F.array(*[F.lit(v) for v in values]), point - first)
+            replaced[c] = F.when(point.between(first, last), looked_up).otherwise(quoted(c))
+    spread = df.select(
+        *[quoted(c) for c in features.names],
+        F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("point"),
+    )
+    variants = spread.select(
+        "point", *[replaced.get(c, quoted(c)).alias(c) for c in features.names]
+    )
+    means = scorer.score(variants).groupBy("point").agg(F.avg(answer).alias("y"))
+    # From here on one row per grid point.
+    described = F.array(
         *[
             F.struct(
                 F.lit(p.feature).alias("feature"),
@@ -115,24 +135,7 @@ def partial_dependence(
             for p in grid
         ]
     )
-    drawn = {p.feature for p in grid}
-    spread = df.select(*[quoted(c) for c in features.names], F.explode(points).alias("point"))
-    replaced = spread.select(
-        "point",
-        *[
-            F.when(
-                F.col("point.feature") == c,
-                F.col("point.x") if c in features.numeric else F.col("point.x_label"),
-            )
-            .otherwise(quoted(c))
-            .alias(c)
-            if c in drawn
-            else quoted(c)
-            for c in features.names
-        ],
-    )
-    scored = scorer.score(replaced).select("point", answer.alias("y"))
-    return scored.groupBy("point").agg(F.avg("y").alias("y")).select("point.*", "y")
+    return means.select(F.get(described, point).alias("p"), "y").select("p.*", "y")
 
 
 def dependence_points(

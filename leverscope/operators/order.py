@@ -69,8 +69,8 @@ def _finish(df: DataFrame, searches: list[_Search]) -> None:
         s.low = s.high = row[i]
 
 
-def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    """One sketch pass proposes pivots, one exact pass counts around them."""
+def _sketch(df: DataFrame, searches: list[_Search]) -> list[list]:
+    """Pivots near each wanted rank, from one sketch pass over the open ranges."""
     step = 2.0 / SKETCH_ACCURACY
     proposals = []
     for s in searches:
@@ -79,12 +79,17 @@ def _narrow(df: DataFrame, searches: list[_Search]) -> None:
         proposals.append(
             F.percentile_approx(_in_range(F.col(s.name), s), wanted, SKETCH_ACCURACY)
         )
-    sketched = df.agg(*[p.alias(f"p{i}") for i, p in enumerate(proposals)]).first()
-    # The sketch only guides: a pivot is clamped to the range, so each round drops
-    # at least the pivot value itself and the search always ends.
+    return list(df.agg(*[p.alias(f"p{i}") for i, p in enumerate(proposals)]).first())
+
+
+def _narrow(df: DataFrame, searches: list[_Search], pivots: list[list]) -> None:
+    """Count exactly around the pivots and shrink each range accordingly.
+
+    Pivots only guide: they are clamped to the range, so each round drops at least
+    the pivot value itself and the search always ends.
+    """
     pivots = [
-        sorted({min(max(v, s.low), s.high) for v in sketched[i]})
-        for i, s in enumerate(searches)
+        sorted({min(max(v, s.low), s.high) for v in values}) for s, values in zip(searches, pivots)
     ]
     counts = []
     for s, values in zip(searches, pivots):
@@ -113,31 +118,33 @@ def _narrow(df: DataFrame, searches: list[_Search]) -> None:
                 s.low, s.below = after, upto
 
 
-def order_statistics(df: DataFrame, wanted: dict[str, list[int]]) -> dict[str, dict[int, Any]]:
+def order_statistics(
+    df: DataFrame,
+    wanted: dict[str, list[int]],
+    ends: dict[str, tuple[int, Any, Any]] | None = None,
+    guesses: dict[str, dict[int, list]] | None = None,
+) -> dict[str, dict[int, Any]]:
     """Exact k-th smallest non-null values: ``{column: [1-based ranks]}``.
 
-    Driver state is a few numbers per wanted rank, whatever the table's size.
+    Driver state is a few numbers per wanted rank, whatever the table's size. A
+    caller that knows (count, least, most) of a column, or values near a rank, saves
+    the passes that would find them.
     """
     columns = [c for c, ranks in wanted.items() if ranks]
     found: dict[str, dict[int, Any]] = {c: {} for c in wanted}
     if not columns:
         return found
     narrow = df.select(*columns)
-    ends = narrow.agg(
-        *[
-            part.alias(f"e{i}")
-            for i, part in enumerate(
-                [f(c) for c in columns for f in (F.count, F.min, F.max)]
-            )
-        ]
-    ).first()
+    if ends is None:
+        ends = column_ends(narrow, columns)
     searches = []
-    for i, c in enumerate(columns):
-        count, low, high = ends[3 * i : 3 * i + 3]
+    for c in columns:
+        count, low, high = ends[c]
         for rank in sorted(set(wanted[c])):
             if not 1 <= rank <= count:
                 raise ValueError(f"rank {rank} outside 1..{count} for {c}")
             searches.append(_Search(c, rank, low, high, 0, count))
+    guesses = guesses or {}
     while open_searches := [s for s in searches if not s.done]:
         for chunk in _chunks(open_searches, SEARCHES_PER_PASS):
             small = [s for s in chunk if s.inside <= FINISH_BELOW]
@@ -145,34 +152,69 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]]) -> dict[str, d
             if small:
                 _finish(narrow, small)
             if large:
-                _narrow(narrow, large)
+                known = [guesses.get(s.name, {}).pop(s.rank, None) for s in large]
+                if None in known:
+                    known = [k or v for k, v in zip(known, _sketch(narrow, large))]
+                _narrow(narrow, large, known)
     for s in searches:
         found[s.name][s.rank] = s.low
     return found
 
 
+def column_ends(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, Any, Any]]:
+    row = df.agg(
+        *[
+            part.alias(f"e{i}")
+            for i, part in enumerate([f(c) for c in columns for f in (F.count, F.min, F.max)])
+        ]
+    ).first()
+    return {c: tuple(row[3 * i : 3 * i + 3]) for i, c in enumerate(columns)}
+
+
 def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float]
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation between neighbours (``percentile_cont``)."""
     if not columns:
         return {}
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    places: dict[str, list[tuple[int, int, float]]] = {}
+    step = 2.0 / SKETCH_ACCURACY
+    near = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-step, 0.0, step)]
+    row = df.agg(
+        *[
+            part.alias(f"e{i}")
+            for i, part in enumerate(
+                [
+                    f
+                    for c in columns
+                    for f in (
+                        F.count(c),
+                        F.min(c),
+                        F.max(c),
+                        F.percentile_approx(c, near, SKETCH_ACCURACY),
+                    )
+                ]
+            )
+        ]
+    ).first()
+    ends, places, guesses = {}, {}, {}
     for i, c in enumerate(columns):
-        places[c] = []
-        if counts[i]:
-            for p in probabilities:
-                spot = (counts[i] - 1) * p
-                low = math.floor(spot)
-                places[c].append((low + 1, math.ceil(spot) + 1, spot - low))
-    values = order_statistics(
-        df, {c: [r for low, high, _ in spots for r in (low, high)] for c, spots in places.items()}
-    )
+        count, low, high, sketched = row[4 * i : 4 * i + 4]
+        ends[c] = (count, low, high)
+        places[c], guesses[c] = [], {}
+        if count:
+            for j, p in enumerate(probabilities):
+                spot = (count - 1) * p
+                first, last = math.floor(spot) + 1, math.ceil(spot) + 1
+                places[c].append((first, last, spot - math.floor(spot)))
+                for rank in (first, last):
+                    guesses[c][rank] = list(sketched[3 * j : 3 * j + 3])
+    wanted = {c: [r for first, last, _ in spots for r in (first, last)] for c, spots in places.items()}
+    values = order_statistics(df, wanted, ends, guesses)
     return {
         c: [
-            float(values[c][low]) + part * (float(values[c][high]) - float(values[c][low]))
-            for low, high, part in places[c]
+            float(values[c][first])
+            + part * (float(values[c][last]) - float(values[c][first]))
+            for first, last, part in places[c]
         ]
         or [None] * len(probabilities)
         for c in columns
@@ -288,11 +330,11 @@ def hash_buckets(df: DataFrame, key: str, seed: int | str, digits: int | None =
     """Add ``hash_order`` (random, from the key) and ``hash_bucket`` (its leading digits).
 
     Buckets follow hash order. ``digits`` hexadecimal digits give 16**digits of
-    them; by default enough for about a million rows each, 65,536 at most.
+    them; by default 256, or enough for about a million rows each, 65,536 at most.
     """
     if digits is None:
         total = df.count()
-        digits = min(max(math.ceil(math.log(max(total, 1) / 1e6, 16)), 1), 4)
+        digits = min(max(math.ceil(math.log(max(total, 1) / 1e6, 16)), 2), 4)
     hashed = df.withColumn("hash_order", hash_long(F.col(key), seed, "order"))
     return hashed.withColumn(
         "hash_bucket", F.shiftright("hash_order", 4 * (HASH_DIGITS - digits)).cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leverscope.errors import AnalysisError
-from leverscope.functions.hashing import hash_long
+from leverscope.functions.hashing import HASH_DIGITS, hash_long
 from leverscope.functions.scalars import nan_to_null
 from leverscope.operators.order import exact_medians, order_statistics
 from leverscope.operators.profile import quoted, validate_target
@@ -241,17 +241,28 @@ def one_hot(df: DataFrame, column: str, levels: list[str], prefix: str) -> DataF
     )
 
 
-def _cut(df: DataFrame, key: str, wanted: dict[str, int]) -> dict[str, tuple[int, object]]:
-    """Per hash column: the (hash, key) pair at the given rank."""
-    marks = order_statistics(df, {c: [rank] for c, rank in wanted.items() if rank > 0})
+def _cut(
+    df: DataFrame, key: str, wanted: dict[str, int], rows: dict[str, int]
+) -> dict[str, tuple[int, object]]:
+    """Per hash column: the (hash, key) pair at the given rank.
+
+    Hashes are uniform, so the value at a rank is known up to a little; counting
+    around that guess and sorting the few hashes left are the only passes.
+    """
+    wanted = {c: rank for c, rank in wanted.items() if rank > 0}
+    top = 16**HASH_DIGITS - 1
+    ranks, guesses = {}, {}
+    for c, rank in wanted.items():
+        ranks[c] = [r for r in (rank, rank + 1) if r <= rows[c]]
+        slack = 4.0 * (rows[c] ** 0.5) / rows[c]
+        near = [int(min(max(rank / rows[c] + d, 0.0), 1.0) * top) for d in (-slack, slack)]
+        guesses[c] = {r: near for r in ranks[c]}
+    marks = order_statistics(df, ranks, {c: (rows[c], 0, top) for c in wanted}, guesses)
     cuts = {}
     for c, rank in wanted.items():
-        if rank == 0:
-            continue
-        mark = marks[c][rank]
-        less, upto = df.agg(F.count_if(F.col(c) < mark), F.count_if(F.col(c) <= mark)).first()
-        last = None
-        if upto > rank:  # several rows share the hash: the key decides
+        mark, last = marks[c][rank], None
+        if marks[c].get(rank + 1) == mark:  # rows share the hash: the key decides
+            less = df.where(F.col(c) < mark).count()
             ties = df.where(F.col(c) == mark).orderBy(key).limit(rank - less)
             last = ties.agg(F.max(key)).first()[0]
         cuts[c] = (mark, last)
@@ -265,6 +276,14 @@ def _before(hash_column: Column, key: Column, cut: tuple[int, object]) -> Column
     return (hash_column < F.lit(mark)) | ((hash_column == F.lit(mark)) & (key <= F.lit(last)))
 
 
+SPLIT_HASH = "split_hash"
+
+
+def with_split_hash(df: DataFrame, key: str, seed: int | str = 42) -> DataFrame:
+    """Add the hash ``holdout_split`` orders by, so that it can be stored with the rows."""
+    return df.withColumn(SPLIT_HASH, hash_long(F.col(key), seed, "split"))
+
+
 def holdout_allocation(class_rows: list[int], share: float = TEST_SHARE) -> list[int]:
     """Test rows per class: proportional, ceil(share * n) in all, largest remainder first."""
     total = sum(class_rows)
@@ -290,14 +309,15 @@ def holdout_split(
     class when stratified). The cut-off hash is found by range narrowing, so the
     table itself is filtered, never shuffled. Under 24 rows every row is both.
     """
-    hashed = df.withColumn("split_hash", hash_long(F.col(key), seed, "split"))
+    hashed = df if SPLIT_HASH in df.columns else with_split_hash(df, key, seed)
     if stratify is None:
         total = hashed.count()
         if total < SPLIT_ROWS:
-            return hashed.withColumn("split", F.lit("both")).drop("split_hash")
-        narrow = hashed.select(key, "split_hash")
-        cut = _cut(narrow, key, {"split_hash": math.ceil(share * total)})["split_hash"]
-        is_test = _before(F.col("split_hash"), F.col(key), cut)
+            return hashed.withColumn("split", F.lit("both")).drop(SPLIT_HASH)
+        narrow = hashed.select(key, SPLIT_HASH)
+        wanted = {SPLIT_HASH: math.ceil(share * total)}
+        cut = _cut(narrow, key, wanted, {SPLIT_HASH: total})[SPLIT_HASH]
+        is_test = _before(F.col(SPLIT_HASH), F.col(key), cut)
     else:
         counted = (
             hashed.groupBy(stratify).count().orderBy(stratify).limit(MOST_CLASSES + 1).collect()
@@ -306,22 +326,22 @@ def holdout_split(
             raise AnalysisError("tooManyClasses", f"'{stratify}' is no set of classes.")
         rows = [r["count"] for r in counted]
         if sum(rows) < SPLIT_ROWS or min(rows) < 2:
-            return holdout_split(df, key, seed, share)
+            return holdout_split(hashed, key, seed, share)
         labels = [r[stratify] for r in counted]
         narrow = hashed.select(
             key,
             *[
-                F.when(F.col(stratify).eqNullSafe(F.lit(v)), F.col("split_hash")).alias(f"s{i}")
+                F.when(F.col(stratify).eqNullSafe(F.lit(v)), F.col(SPLIT_HASH)).alias(f"s{i}")
                 for i, v in enumerate(labels)
             ],
         )
         wanted = {f"s{i}": n for i, n in enumerate(holdout_allocation(rows, share))}
-        cuts = _cut(narrow, key, wanted)
+        cuts = _cut(narrow, key, wanted, {f"s{i}": n for i, n in enumerate(rows)})
         is_test = F.lit(False)
         for i, v in enumerate(labels):
             if f"s{i}" in cuts:
                 is_test = is_test | (
                     F.col(stratify).eqNullSafe(F.lit(v))
-                    & _before(F.col("split_hash"), F.col(key), cuts[f"s{i}"])
+                    & _before(F.col(SPLIT_HASH), F.col(key), cuts[f"s{i}"])
                 )
-    return hashed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("split_hash")
+    return hashed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop(SPLIT_HASH)

@@ -26,6 +26,7 @@ from leverscope.operators.prepare import (
     holdout_split,
     resolve_task,
     usable_rows,
+    with_split_hash,
 )
 from leverscope.operators.profile import quoted
 from leverscope.operators.scorers import PipelineScorer, check_reserved
@@ -83,9 +84,9 @@ class FittedModel:
 
 
 def model_frame(
-    df: DataFrame, target: str, task: str = "auto", key: str = "row_key"
+    df: DataFrame, target: str, task: str = "auto", key: str = "row_key", seed: int = 42
 ) -> tuple[DataFrame, Features, Task, list[str] | None, int]:
-    """Choose inputs, drop unusable rows, encode the target."""
+    """Choose inputs, drop unusable rows, encode the target; the frame comes persisted."""
     check_reserved(df)
     features = choose_features(df, target, skip=(key,))
     present = df.where(quoted(target).isNotNull())
@@ -100,8 +101,13 @@ def model_frame(
     else:
         actual = quoted(target).try_cast("double")
     frame = usable.select(key, *[quoted(c) for c in features.names], actual.alias("actual"))
+    frame = with_split_hash(frame, key, seed)
+    # Kept because everything from here on reads it: the split, the fill values, the
+    # learner's set-up, the metrics and the explanations.
+    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     rows = frame.count()
     if rows < LEAST_ROWS:
+        frame.unpersist()
         raise AnalysisError("tooFewRows", f"Only {rows} rows have a numeric target.")
     return frame, features, kind, classes, rows
 
@@ -119,15 +125,14 @@ def fit_model(
     """Profile-typed table (see ``load_table``) with a unique ``key`` -> fitted model."""
     if algorithm not in ALGORITHMS:
         raise AnalysisError("invalidAlgorithm", f"Use one of {', '.join(ALGORITHMS)}.")
-    frame, features, kind, classes, rows = model_frame(df, target, task, key)
+    frame, features, kind, classes, rows = model_frame(df, target, task, key, seed)
     stratify = "actual" if kind.is_classification else None
     frame = holdout_split(frame, key, seed, stratify=stratify)
-    # A small table is read in few tasks; ``coalesce`` never adds any to a large one.
-    frame = frame.coalesce(max(1, rows // ROWS_PER_TASK))
-    # Read by every boosting round's set-up, the metrics and the explanations.
-    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     train = frame.where(F.col("split") != "test")
     fill = fill_values(train, features)
+    # The learner runs many short jobs: few tasks for few rows. ``coalesce`` never adds
+    # any, so a large table keeps its own.
+    train = train.coalesce(max(1, rows // ROWS_PER_TASK))
     pipeline = fit_pipeline(train, features, fill, algorithm, kind, settings.for_rows(rows))
     scorer = PipelineScorer(pipeline, classes)
     metrics = {

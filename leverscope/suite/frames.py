@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leverscope.operators.prepare import Features
 from leverscope.operators.scorers import ExprScorer
+from leverscope.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table much work is done on; the given files have one row group each."""
+    return spread(table(spark, sf_dir, name))
+
+
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
@@ -68,7 +74,7 @@ def line_scorer() -> ExprScorer:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "lineitem"), LINES)
+    return derive(wide_table(spark, sf_dir, "lineitem"), LINES)
 
 
 LINES_SQL = select_sql("lineitem", LINES)
@@ -134,7 +140,7 @@ def grade_scorer() -> ExprScorer:
 
 def orders(spark: SparkSession, sf_dir: str, target: str | None = None) -> DataFrame:
     """All columns, or the model frame of one target with ``actual``."""
-    df = derive(table(spark, sf_dir, "orders"), ORDERS)
+    df = derive(wide_table(spark, sf_dir, "orders"), ORDERS)
     if target is None:
         return df
     return df.selectExpr("row_key", *ORDER_FEATURES.names, f"{actual_of(target)} AS actual")
@@ -192,7 +198,7 @@ RAW = {
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "lineitem"), RAW)
+    return derive(wide_table(spark, sf_dir, "lineitem"), RAW)
 
 
 RAW_SQL = select_sql("lineitem", RAW)

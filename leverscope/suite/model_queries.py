@@ -12,7 +12,7 @@ from leverscope.operators.profile import load_table
 from leverscope.operators.scorers import pick_class, response
 from leverscope.plans.train import fit_model, load_model, save_model
 from leverscope.suite.explain_queries import scenarios
-from leverscope.suite.frames import ORDER_FEATURES, derive, orders, table
+from leverscope.suite.frames import ORDER_FEATURES, derive, orders, table, wide_table
 from leverscope.suite.profile_queries import scratch
 
 # Fewer trees than the library's default, so that a run of all queries stays short.
@@ -136,7 +136,7 @@ def whatif_probabilities(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Raw lines to ranked, explained drivers: profile, prepare, fit, permute, tell."""
     raw = derive(
-        table(spark, sf_dir, "lineitem"),
+        wide_table(spark, sf_dir, "lineitem"),
         {
             "row_key": "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
             " cast(round(l_extendedprice * 100) AS bigint))",

@@ -15,6 +15,7 @@ from leverscope.suite.frames import (
     orders,
     rounded,
     table,
+    wide_table,
 )
 
 TARGETS = ("l_linestatus", "l_returnflag", "l_quantity", "nothing", "constant")
@@ -94,7 +95,7 @@ AMOUNT = (
 
 
 def usable_rows(spark, sf_dir):
-    df = derive(table(spark, sf_dir, "orders"), {"row_key": "o_orderkey", "amount": AMOUNT})
+    df = derive(wide_table(spark, sf_dir, "orders"), {"row_key": "o_orderkey", "amount": AMOUNT})
     parts = [
         prepare.usable_rows(df, "amount", prepare.Task(kind)).select(
             F.lit(kind).alias("task"), "row_key"
@@ -161,13 +162,13 @@ def impute_median(spark, sf_dir):
         "feature",
         F.round("fill_value", 6).alias("fill_value"),
         "cells_filled",
-        F.round("after", 6).alias("mean_after"),
+        F.round("after", 7).alias("mean_after"),
     )
 
 
 MEDIAN_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {rounded('m')} AS fill_value, count(*) - count({c}) AS cells_filled,"
-    f" {rounded(f'avg(coalesce({c}, m))')} AS mean_after"
+    f" {rounded(f"avg(coalesce({c}, m))", 7)} AS mean_after"
     f" FROM ({LINES_SQL}), (SELECT median({c}) AS m FROM ({LINES_SQL})) GROUP BY m"
     for c in LINE_FEATURES.numeric
 )

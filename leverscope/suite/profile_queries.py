@@ -35,6 +35,7 @@ from leverscope.suite.frames import (
     rounded,
     select_sql,
     table,
+    wide_table,
 )
 
 
@@ -56,7 +57,7 @@ CSV_COLUMNS = {
 
 def csv_roundtrip(spark, sf_dir):
     path = scratch(spark, "csv")
-    write_csv(derive(table(spark, sf_dir, "orders"), CSV_COLUMNS), path)
+    write_csv(derive(wide_table(spark, sf_dir, "orders"), CSV_COLUMNS), path)
     loaded, _ = load_csv(spark, path)
     return loaded.select("order_id", "total", "state", "note", "urgent")
 
@@ -155,11 +156,11 @@ SELECT o_orderkey, LineId, {', '.join(columns)}, {outcome} AS {name} FROM drawn
 
 
 def synth_quality(spark, sf_dir):
-    return process_quality(table(spark, sf_dir, "orders"), "o_orderkey", 42)
+    return process_quality(wide_table(spark, sf_dir, "orders"), "o_orderkey", 42)
 
 
 def synth_okng(spark, sf_dir):
-    return process_okng(table(spark, sf_dir, "orders"), "o_orderkey", 42)
+    return process_okng(wide_table(spark, sf_dir, "orders"), "o_orderkey", 42)
 
 
 SETTING_COLUMNS = {
@@ -177,7 +178,7 @@ SETTING_COLUMNS = {
 
 
 def settings(spark, sf_dir):
-    df = derive(table(spark, sf_dir, "lineitem"), SETTING_COLUMNS)
+    df = derive(wide_table(spark, sf_dir, "lineitem"), SETTING_COLUMNS)
     return df.withColumns({n: F.col(n).cast("double") for n, *_ in SETTINGS})
 
 
@@ -216,7 +217,7 @@ ODD_NAMES = [" Quantity ", "Unnamed: 1", "EmptyNamed", "Unnamed: 3", "  "]
 
 
 def drop_empty_columns(spark, sf_dir):
-    odd = derive(table(spark, sf_dir, "lineitem"), ODD_COLUMNS).toDF(*ODD_NAMES)
+    odd = derive(wide_table(spark, sf_dir, "lineitem"), ODD_COLUMNS).toDF(*ODD_NAMES)
     return profile.column_counts(profile.normalise_columns(odd)).select("position", "name", "filled")
 
 
