@@ -172,33 +172,12 @@ def dependence_points(
     )
 
 
-def curve_direction(curves: DataFrame) -> DataFrame:
-    """(feature, slope, direction) from the curve's two ends."""
-    ends = curves.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("points"),
-        *[
-            f(F.col(c), F.col("grid_id")).alias(f"{c}_{name}")
-            for c in ("x", "y")
-            for f, name in ((F.min_by, "first"), (F.max_by, "last"))
-        ],
-    )
-    slope = F.try_divide(
-        F.col("y_last") - F.col("y_first"), F.col("x_last") - F.col("x_first") + F.lit(1e-9)
-    )
-    return ends.select(
-        "feature", F.when(F.col("points") >= 2, slope).alias("slope")
-    ).withColumn(
-        "direction",
-        F.when(F.col("slope") > FLAT_SLOPE, "up")
-        .when(F.col("slope") < -FLAT_SLOPE, "down")
-        .when(F.col("slope").isNotNull(), "flat"),
-    )
-
-
-def steepest_range(curves: DataFrame) -> DataFrame:
-    """(feature, steepest_from, steepest_to): the first interval of the largest slope.
+def describe_curves(curves: DataFrame) -> DataFrame:
+    """(feature, slope, direction, steepest_from, steepest_to) per curve.
 
-    The whole range when no interval has a width; NULL under two points.
+    The slope joins the curve's two ends. The steepest interval is the first with
+    the largest slope, the whole range when no interval has a width. Both are NULL
+    under two points. One pass, so a curve is computed once.
     """
     along = Window.partitionBy("feature").orderBy("grid_id")
     width = F.col("x") - F.col("x_before")
@@ -206,23 +185,45 @@ def steepest_range(curves: DataFrame) -> DataFrame:
         "feature",
         "grid_id",
         "x",
+        "y",
         F.lag("x").over(along).alias("x_before"),
         (F.col("y") - F.lag("y").over(along)).alias("rise"),
     ).withColumn(
         "steepness",
         F.when(F.abs(width) >= LEAST_STEP, F.abs(F.try_divide(F.col("rise"), width))),
     )
-    order = F.struct(F.col("steepness"), -F.col("grid_id"))
-    best = F.when(F.col("steepness").isNotNull(), order)
+    order = F.when(
+        F.col("steepness").isNotNull(), F.struct(F.col("steepness"), -F.col("grid_id"))
+    )
     found = steps.groupBy("feature").agg(
         F.count(F.lit(1)).alias("points"),
-        F.max_by(F.struct("x_before", "x"), best).alias("interval"),
-        F.min_by("x", "grid_id").alias("first_x"),
-        F.max_by("x", "grid_id").alias("last_x"),
+        F.max_by(F.struct("x_before", "x"), order).alias("interval"),
+        *[
+            f(F.col(c), F.col("grid_id")).alias(f"{c}_{name}")
+            for c in ("x", "y")
+            for f, name in ((F.min_by, "first"), (F.max_by, "last"))
+        ],
     )
     enough = F.col("points") >= 2
+    slope = F.try_divide(
+        F.col("y_last") - F.col("y_first"), F.col("x_last") - F.col("x_first") + F.lit(1e-9)
+    )
     return found.select(
         "feature",
-        F.when(enough, F.coalesce("interval.x_before", "first_x")).alias("steepest_from"),
-        F.when(enough, F.coalesce("interval.x", "last_x")).alias("steepest_to"),
+        F.when(enough, slope).alias("slope"),
+        F.when(enough, F.coalesce("interval.x_before", "x_first")).alias("steepest_from"),
+        F.when(enough, F.coalesce("interval.x", "x_last")).alias("steepest_to"),
+    ).withColumn(
+        "direction",
+        F.when(F.col("slope") > FLAT_SLOPE, "up")
+        .when(F.col("slope") < -FLAT_SLOPE, "down")
+        .when(F.col("slope").isNotNull(), "flat"),
     )
+
+
+def curve_direction(curves: DataFrame) -> DataFrame:
+    return describe_curves(curves).select("feature", "slope", "direction")
+
+
+def steepest_range(curves: DataFrame) -> DataFrame:
+    return describe_curves(curves).select("feature", "steepest_from", "steepest_to")

@@ -20,6 +20,9 @@ REPEATS = 8
 LEAST_PAIRS = 5
 FLAT_CORRELATION = 0.08
 FLAT_STEP = 1e-6
+# Names carried through the permutation; ``actual`` is what a scored frame calls it.
+ACTUAL = "actual"
+OWN_LOSS = "own_loss"
 
 
 def with_donors(
@@ -82,23 +85,36 @@ def permutation_scores(
     seed: int | str = 42,
     digits: int | None = None,
 ) -> DataFrame:
-    """Loss per (feature, repeat) after permuting that feature; feature_pos 0 is unpermuted.
+    """Added loss per (feature, repeat) when that feature alone is permuted.
 
-    ``loss`` is the squared error sum, or the number of misses. Each pair of rows
-    is expanded to one variant per feature and all of them are scored in one pass;
-    the partial aggregate leaves a row per (feature, repeat) and task to shuffle.
+    Loss is the squared error, or 1 for a miss. Each row's own loss is carried along
+    and subtracted row by row, so a feature the model does not use adds exactly 0
+    whatever the order of summation. Each pair of rows is expanded to one variant
+    per feature and all of them are scored in one pass; the partial aggregate leaves
+    a row per (feature, repeat) and task to shuffle.
     """
     names = features.names
-    pairs = with_donors(df, key, [*names, actual], repeats, seed, digits)
-    # The unpermuted row is scored once, along with the first repeat.
-    wanted = F.when(F.col("repeat") == 1, F.sequence(F.lit(0), F.lit(len(names)))).otherwise(
-        F.sequence(F.lit(1), F.lit(len(names)))
+
+    def loss() -> Column:
+        if scorer.classes is None:
+            error = F.col("prediction") - F.col(ACTUAL)
+            return error * error
+        return (F.col("prediction") != F.col(ACTUAL)).cast("double")
+
+    plain = df.select(key, *[quoted(c) for c in names], quoted(actual).alias(ACTUAL))
+    own = scorer.score(plain).withColumn(OWN_LOSS, loss())
+    pairs = with_donors(own, key, [*names, ACTUAL, OWN_LOSS], repeats, seed, digits)
+    spread = pairs.select(
+        "own",
+        "donor",
+        "repeat",
+        F.explode(F.sequence(F.lit(1), F.lit(len(names)))).alias("feature_pos"),
     )
-    spread = pairs.select("own", "donor", "repeat", F.explode(wanted).alias("feature_pos"))
     variants = spread.select(
         "feature_pos",
-        F.when(F.col("feature_pos") == 0, 0).otherwise(F.col("repeat")).alias("repeat"),
-        F.col("own")[actual].alias("actual"),
+        "repeat",
+        F.col("own")[ACTUAL].alias(ACTUAL),
+        F.col("own")[OWN_LOSS].alias(OWN_LOSS),
         *[
             F.when(F.col("feature_pos") == i, F.col("donor")[c])
             .otherwise(F.col("own")[c])
@@ -106,16 +122,10 @@ def permutation_scores(
             for i, c in enumerate(names, 1)
         ],
     )
-    scored = scorer.score(variants)
-    if scorer.classes is None:
-        error = F.col("prediction") - F.col("actual")
-        loss = F.sum(error * error)
-    else:
-        loss = F.count_if(F.col("prediction") != F.col("actual")).cast("double")
-    return scored.groupBy("feature_pos", "repeat").agg(
+    return scorer.score(variants).groupBy("feature_pos", "repeat").agg(
         F.count(F.lit(1)).alias("rows"),
-        loss.alias("loss"),
-        F.var_pop("actual").alias("variance"),
+        F.sum(loss() - F.col(OWN_LOSS)).alias("added_loss"),
+        F.var_pop(ACTUAL).alias("variance"),
     )
 
 
@@ -131,25 +141,16 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature_pos, feature, importance): mean drop of R² or accuracy, never below 0."""
     losses = permutation_scores(df, features, scorer, key, actual, repeats, seed, digits)
-    scale = F.col("variance") * F.col("rows") if scorer.classes is None else F.col("rows")
-    # At most 1 + features x repeats rows from here on.
-    base = F.max(F.when(F.col("feature_pos") == 0, F.col("loss")))
-    whole = F.max(F.when(F.col("feature_pos") == 0, scale))
-    mean_by_feature = losses.groupBy("feature_pos").agg(
-        F.avg("loss").alias("loss"), F.first("rows").alias("rows"), F.first("variance").alias("variance")
-    )
-    everything = Window.partitionBy()
-    drop = F.try_divide(F.col("loss") - F.col("base_loss"), F.col("base_scale"))
+    scale = F.col("rows").cast("double")
+    if scorer.classes is None:
+        scale = scale * F.col("variance")
+    drop = finite_or_null(F.try_divide("added_loss", scale))
     names = F.array(*[F.lit(c) for c in features.names])
-    return (
-        mean_by_feature.withColumn("base_loss", base.over(everything))
-        .withColumn("base_scale", whole.over(everything))
-        .where(F.col("feature_pos") > 0)
-        .select(
-            F.col("feature_pos").cast("int").alias("feature_pos"),
-            F.element_at(names, F.col("feature_pos").cast("int")).alias("feature"),
-            F.greatest(finite_or_zero(drop), F.lit(0.0)).alias("importance"),
-        )
+    # features x repeats rows from here on.
+    return losses.groupBy("feature_pos").agg(F.avg(drop).alias("drop")).select(
+        F.col("feature_pos").cast("int").alias("feature_pos"),
+        F.element_at(names, F.col("feature_pos").cast("int")).alias("feature"),
+        F.greatest(finite_or_zero(F.col("drop")), F.lit(0.0)).alias("importance"),
     )
 
 

@@ -24,6 +24,9 @@ from leverscope.functions.hashing import HASH_DIGITS, hash_long
 FINISH_BELOW = 50_000
 SKETCH_ACCURACY = 10_000
 SEARCHES_PER_PASS = 24
+# Largest part of a range that lies between the outer two of three sketched pivots:
+# their distance (4 / accuracy) and the sketch's own error at both.
+PIVOT_GAP = 6.0 / SKETCH_ACCURACY
 MOST_BUCKETS = 4096
 
 
@@ -82,40 +85,55 @@ def _sketch(df: DataFrame, searches: list[_Search]) -> list[list]:
     return list(df.agg(*[p.alias(f"p{i}") for i, p in enumerate(proposals)]).first())
 
 
-def _narrow(df: DataFrame, searches: list[_Search], pivots: list[list]) -> None:
+def _narrow(
+    df: DataFrame, searches: list[_Search], pivots: list[list], sketched: bool
+) -> None:
     """Count exactly around the pivots and shrink each range accordingly.
 
     Pivots only guide: they are clamped to the range, so each round drops at least
-    the pivot value itself and the search always ends.
+    the pivot value itself and the search always ends. Between sketched pivots of a
+    range that is not too long the values are fetched along: a value not itself a
+    pivot repeats less often than the pivots are apart, so they are few.
     """
     pivots = [
         sorted({min(max(v, s.low), s.high) for v in values}) for s, values in zip(searches, pivots)
     ]
-    counts = []
+    parts = []
     for s, values in zip(searches, pivots):
         value = F.col(s.name)
         for v in values:
-            counts += [
+            parts += [
                 F.count_if(value < F.lit(v)),
                 F.count_if(value <= F.lit(v)),
                 F.max(F.when(value < F.lit(v), value)),
                 F.min(F.when(value > F.lit(v), value)),
             ]
-    counted = df.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()
+        fetch = sketched and s.inside * PIVOT_GAP <= FINISH_BELOW
+        inner = (value > F.lit(values[0])) & (value < F.lit(values[-1])) & ~value.isin(*values)
+        parts.append(F.collect_list(F.when(inner, value)) if fetch else F.array())
+    row = df.agg(*[c.alias(f"n{i}") for i, c in enumerate(parts)]).first()
     at = 0
     for s, values in zip(searches, pivots):
+        fetched = sorted(row[at + 4 * len(values)])
+        below_pivot, pivot = None, None
         for v in values:
-            less, upto, before, after = counted[at : at + 4]
+            less, upto, before, after = row[at : at + 4]
             at += 4
+            if s.done:
+                continue
             if less < s.rank <= upto:
                 s.low = s.high = v
-            elif s.done:
-                continue
             elif s.rank <= less:
-                if before < s.high:
+                if fetched and below_pivot is not None:
+                    gap = [x for x in fetched if pivot < x < v]
+                    s.low = s.high = gap[s.rank - below_pivot - 1]
+                elif before < s.high:
                     s.high, s.upto = before, less
-            elif after > s.low:
-                s.low, s.below = after, upto
+            else:
+                below_pivot, pivot = upto, v
+                if after > s.low:
+                    s.low, s.below = after, upto
+        at += 1
 
 
 def order_statistics(
@@ -123,12 +141,13 @@ def order_statistics(
     wanted: dict[str, list[int]],
     ends: dict[str, tuple[int, Any, Any]] | None = None,
     guesses: dict[str, dict[int, list]] | None = None,
+    sketched: bool = False,
 ) -> dict[str, dict[int, Any]]:
     """Exact k-th smallest non-null values: ``{column: [1-based ranks]}``.
 
     Driver state is a few numbers per wanted rank, whatever the table's size. A
     caller that knows (count, least, most) of a column, or values near a rank, saves
-    the passes that would find them.
+    the passes that would find them; ``sketched`` says those values are a sketch's.
     """
     columns = [c for c, ranks in wanted.items() if ranks]
     found: dict[str, dict[int, Any]] = {c: {} for c in wanted}
@@ -154,8 +173,8 @@ def order_statistics(
             if large:
                 known = [guesses.get(s.name, {}).pop(s.rank, None) for s in large]
                 if None in known:
-                    known = [k or v for k, v in zip(known, _sketch(narrow, large))]
-                _narrow(narrow, large, known)
+                    known, sketched = _sketch(narrow, large), True
+                _narrow(narrow, large, known, sketched)
     for s in searches:
         found[s.name][s.rank] = s.low
     return found
@@ -209,7 +228,7 @@ def exact_quantiles(
                 for rank in (first, last):
                     guesses[c][rank] = list(sketched[3 * j : 3 * j + 3])
     wanted = {c: [r for first, last, _ in spots for r in (first, last)] for c, spots in places.items()}
-    values = order_statistics(df, wanted, ends, guesses)
+    values = order_statistics(df, wanted, ends, guesses, sketched=True)
     return {
         c: [
             float(values[c][first])

@@ -17,15 +17,16 @@ from leverscope.operators.profile import ColumnProfile, load_table, quoted
 _OVERFLOW = "overflow_cell"
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core: re-partition a table that has fewer parts than there are cores.
 
     A file with a single row group is one task however large the cluster. A table
     with enough parts is left alone, so nothing large is ever shuffled here. Meant
     for tables as read, whose number of parts is known without running anything.
+    ``keys`` should tell rows apart (a hash of them places a row, which needs no sort).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

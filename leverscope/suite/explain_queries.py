@@ -54,10 +54,15 @@ _PLACE = "row_number() OVER (ORDER BY substr(md5('42|order|' || row_key), 1, 15)
 
 
 def _losses_sql() -> str:
-    """Importance of each feature, stated with one plain global row number."""
+    """Importance of each feature, stated with one plain global row number.
+
+    Squared errors are subtracted row by row: the difference of two large parallel
+    sums would not be the same from run to run.
+    """
     columns = ", ".join(f"b.{c} AS d_{c}" for c in LINE_FEATURES.names)
     drops = " UNION ALL ".join(
-        f"SELECT {i} AS feature_pos, '{c}' AS feature, ({_mse({c: 'd_' + c})}) AS mse FROM pairs"
+        f"SELECT {i} AS feature_pos, '{c}' AS feature,"
+        f" avg({_square({c: 'd_' + c})} - {_square({})}) AS added FROM pairs"
         for i, c in enumerate(LINE_FEATURES.names, 1)
     )
     return f"""
@@ -65,15 +70,15 @@ placed AS (SELECT *, {_PLACE} AS place, count(*) OVER () AS n FROM ({LINES_SQL})
 pairs AS (
   SELECT a.*, {columns} FROM placed a CROSS JOIN (SELECT unnest(range(1, {REPEATS + 1})) AS r) s
   JOIN placed b ON b.place = (a.place - 1 + s.r) % a.n + 1),
-base AS (SELECT {_mse({})} AS mse, var_pop(actual) AS variance FROM placed),
+base AS (SELECT var_pop(actual) AS variance FROM placed),
 drops AS ({drops}),
 found AS (SELECT cast(feature_pos AS int) AS feature_pos, feature,
-                 greatest((d.mse - b.mse) / b.variance, 0.0) AS importance FROM drops d, base b)"""
+                 greatest(added / variance, 0.0) AS importance FROM drops, base)"""
 
 
-def _mse(columns: dict[str, str]) -> str:
+def _square(columns: dict[str, str]) -> str:
     error = f"({line_prediction(**columns)} - actual)"
-    return f"avg({error} * {error})"
+    return f"{error} * {error}"
 
 
 PERMUTATION_SQL = f"""

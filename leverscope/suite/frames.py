@@ -18,9 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROW_KEYS = {
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey"),
+    "orders": ("o_orderkey",),
+    "events": ("event_id",),
+}
+
+
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table much work is done on; the given files have one row group each."""
-    return spread(table(spark, sf_dir, name))
+    return spread(table(spark, sf_dir, name), *ROW_KEYS[name])
 
 
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:

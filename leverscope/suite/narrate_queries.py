@@ -83,11 +83,9 @@ def dependence_insight(spark, sf_dir):
     curves = line_curves(spark, sf_dir, [*NUMERIC_CURVES, "flag"])
     curves = curves.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
     kind = F.when(F.col("feature") == "flag", "categorical").otherwise("numeric")
-    described = (
-        dependence.curve_direction(curves)
-        .join(dependence.steepest_range(curves), "feature")
-        .withColumn("feature_type", kind)
-    )
+    described = dependence.describe_curves(curves).withColumn("feature_type", kind)
+    # One short row per curve: kept, because it is told twice.
+    described = described.persist()
     parts = [
         narrate.dependence_insight(described, "yield"),
         narrate.dependence_insight(described, "verdict", "NG"),

@@ -128,36 +128,27 @@ SELECT o_orderkey, o_orderpriority,
 """
 
 
-def _filled(spark, sf_dir, names, total):
+def _filled(spark, sf_dir, features, total):
+    """Per input: the fill value, the cells it fills, and a figure after filling."""
     df = lines(spark, sf_dir)
-    fill = prepare.fill_values(df, LINE_FEATURES)
-    both = prepare.fill_missing(df, fill).select(*names)
-    kind = "double" if names[0] in LINE_FEATURES.numeric else "string"
-    values = fill.numeric if kind == "double" else fill.categorical
-    before = df.agg(*[F.count(c).alias(c) for c in names], F.count(F.lit(1)).alias("all_rows"))
-    after = both.agg(*[total(c).alias(c) for c in names])
-    left = before.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("feature"),
-                        F.lit(values[c]).cast(kind).alias("fill_value"),
-                        (F.col("all_rows") - F.col(c)).alias("cells_filled"),
-                    )
-                    for c in names
-                ]
-            )
-        )
-    )
-    right = after.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("after")) for c in names]))
+    fill = prepare.fill_values(df, features)
+    kind, values = ("double", fill.numeric) if features.numeric else ("string", fill.categorical)
+    counted = df.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.lit(values[c]).cast(kind).alias("fill_value"),
+                F.count_if(F.col(c).isNull()).alias("cells_filled"),
+                total(fill.column(c)).alias("after"),
+            ).alias(c)
+            for c in features.names
+        ]
     )
-    return left.join(F.broadcast(right), "feature")
+    return counted.select(F.inline(F.array(*features.names)))
 
 
 def impute_median(spark, sf_dir):
-    out = _filled(spark, sf_dir, list(LINE_FEATURES.numeric), F.avg)
+    out = _filled(spark, sf_dir, prepare.Features(LINE_FEATURES.numeric, ()), F.avg)
     return out.select(
         "feature",
         F.round("fill_value", 6).alias("fill_value"),
@@ -175,9 +166,8 @@ MEDIAN_SQL = " UNION ALL ".join(
 
 
 def impute_mode(spark, sf_dir):
-    return _filled(spark, sf_dir, list(LINE_FEATURES.categorical), F.count).withColumnRenamed(
-        "after", "filled_after"
-    )
+    out = _filled(spark, sf_dir, prepare.Features((), LINE_FEATURES.categorical), F.count)
+    return out.withColumnRenamed("after", "filled_after")
 
 
 MODE_SQL = " UNION ALL ".join(
