@@ -24,15 +24,17 @@ def lookup_join(
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
     broadcast_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join ``many`` to ``one`` (unique on ``key``).
 
-    A counted-small ``one`` is broadcast. Otherwise keys with more than
+    A counted-small ``one`` is broadcast; a caller that has counted already says so
+    with ``small``. Otherwise keys with more than
     ``hot_rows`` rows in ``many`` are salted: their row in ``one`` is copied once
     per salt and their rows in ``many`` spread over the copies. There are at most
     rows / ``hot_rows`` such keys.
     """
-    if small_enough(one, broadcast_rows):
+    if small_enough(one, broadcast_rows) if small is None else small:
         return many.join(F.broadcast(one), key, how)
     hot = (
         many.groupBy(key)

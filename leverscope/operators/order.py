@@ -24,6 +24,8 @@ from leverscope.functions.hashing import HASH_DIGITS, hash_long
 FINISH_BELOW = 50_000
 SKETCH_ACCURACY = 10_000
 SEARCHES_PER_PASS = 24
+# A task holds one sketch per column of a pass.
+COLUMNS_PER_PASS = 50
 # Largest part of a range that lies between the outer two of three sketched pivots:
 # their distance (4 / accuracy) and the sketch's own error at both.
 PIVOT_GAP = 6.0 / SKETCH_ACCURACY
@@ -196,6 +198,11 @@ def exact_quantiles(
     """Quantiles with linear interpolation between neighbours (``percentile_cont``)."""
     if not columns:
         return {}
+    if len(columns) > COLUMNS_PER_PASS:
+        found = {}
+        for chunk in _chunks(columns, COLUMNS_PER_PASS):
+            found |= exact_quantiles(df, chunk, probabilities)
+        return found
     step = 2.0 / SKETCH_ACCURACY
     near = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-step, 0.0, step)]
     row = df.agg(

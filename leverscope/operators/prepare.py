@@ -152,6 +152,9 @@ def choose_features(df: DataFrame, target: str, skip: tuple[str, ...] = ()) -> F
     """Numeric columns first, then the text columns that are not id-like."""
     validate_target(df, target)
     fields = [f for f in df.schema.fields if f.name != target and f.name not in skip]
+    odd = [f.name for f in fields if not isinstance(f.dataType, (T.NumericType, T.StringType))]
+    if odd:
+        raise AnalysisError("invalidColumns", f"Neither number nor text: {', '.join(odd)}.")
     numeric = tuple(f.name for f in fields if isinstance(f.dataType, T.NumericType))
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     id_like = (
@@ -179,10 +182,20 @@ def usable_rows(df: DataFrame, target: str, task: Task) -> DataFrame:
     return df.where(nan_to_null(value).isNotNull())
 
 
+def label_text(df: DataFrame, target: str) -> Column:
+    """The target as class label; a whole number is written without decimals."""
+    value = quoted(target)
+    text = value.cast("string")
+    if isinstance(df.schema[target].dataType, (T.FloatType, T.DoubleType)):
+        whole = (value == F.floor(value)) & (F.abs(value) < F.lit(1e15))
+        return F.when(whole, value.cast("long").cast("string")).otherwise(text)
+    return text
+
+
 def class_labels(df: DataFrame, target: str, most: int = MOST_CLASSES) -> list[str]:
     """Sorted distinct target texts; refuses a target that is no set of classes."""
     rows = (
-        df.select(quoted(target).cast("string").alias("label"))
+        df.select(label_text(df, target).alias("label"))
         .where(F.col("label").isNotNull())
         .distinct()
         .limit(most + 1)
@@ -196,7 +209,7 @@ def class_labels(df: DataFrame, target: str, most: int = MOST_CLASSES) -> list[s
 def encode_label(label: Column, classes: list[str]) -> Column:
     """Class index as double: the label's place in the sorted classes."""
     places = F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (c, float(i))])
-    return F.element_at(places, label.cast("string"))
+    return F.element_at(places, label)
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leverscope.functions.scalars import finite_or_null, parse_number
-from leverscope.operators.joins import lookup_join
+from leverscope.operators.joins import lookup_join, small_enough
 from leverscope.operators.prepare import Features, Fill
 from leverscope.operators.profile import quoted
 from leverscope.operators.scorers import Scorer, response
@@ -33,9 +33,12 @@ def scenario_rows(
     when neither exists. Many scenarios may name one row: the join spreads it.
     """
     base = rows.select(key, F.struct(*[quoted(c) for c in features.names]).alias("base"))
-    # Only the named rows take part in the join.
+    # Only the named rows take part. When they are few the table is filtered where it
+    # is read and neither side is shuffled.
     named = scenarios.select(key).where(F.col(key).isNotNull()).distinct()
-    joined = lookup_join(scenarios, base.join(named, key, "left_semi"), key)
+    few = small_enough(named)
+    base = base.join(F.broadcast(named) if few else named, key, "left_semi")
+    joined = lookup_join(scenarios, base, key, small=few)
     names = [F.lit(c) for c in features.names]
     edits = F.map_filter(
         F.coalesce("edits", F.create_map().cast("map<string,string>")),

@@ -24,6 +24,7 @@ from leverscope.operators.prepare import (
     encode_label,
     fill_values,
     holdout_split,
+    label_text,
     resolve_task,
     usable_rows,
     with_split_hash,
@@ -97,7 +98,7 @@ def model_frame(
     classes = None
     if kind.is_classification:
         classes = class_labels(usable, target)
-        actual = encode_label(quoted(target), classes)
+        actual = encode_label(label_text(usable, target), classes)
     else:
         actual = quoted(target).try_cast("double")
     frame = usable.select(key, *[quoted(c) for c in features.names], actual.alias("actual"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leverscope.functions.hashing import hash_long, normal, uniform
 from leverscope.operators.order import order_statistics
+from leverscope.sources.tables import write_csv
 
 # Fixed values: (column, mean, spread, least, most, decimals) of each setting.
 SETTINGS = (
@@ -152,3 +153,9 @@ def generate_process_quality(spark: SparkSession, n: int = 200, seed: int = 42)
 
 def generate_process_okng(spark: SparkSession, n: int = 200, seed: int = 42) -> DataFrame:
     return process_okng(spark.range(n).toDF("row_key"), "row_key", seed)
+
+
+def write_sample(spark: SparkSession, path: str, kind: str = "quality", n: int = 200) -> None:
+    """A generated sample as a headed CSV: ``quality`` or ``okng``."""
+    make = generate_process_okng if kind == "okng" else generate_process_quality
+    write_csv(make(spark, n).drop("row_key"), path, mode="overwrite")
