@@ -21,19 +21,21 @@ def lookup_join(
     one: DataFrame,
     key: str,
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     small: bool | None = None,
 ) -> DataFrame:
     """Join ``many`` to ``one`` (unique on ``key``).
 
     A counted-small ``one`` is broadcast; a caller that has counted already says so
     with ``small``. Otherwise keys with more than
-    ``hot_rows`` rows in ``many`` are salted: their row in ``one`` is copied once
+    ``hot_rows`` (``HOT_ROWS``) rows in ``many`` are salted: their row in ``one`` is copied once
     per salt and their rows in ``many`` spread over the copies. There are at most
     rows / ``hot_rows`` such keys.
     """
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     if small_enough(one, broadcast_rows) if small is None else small:
         return many.join(F.broadcast(one), key, how)
     hot = (

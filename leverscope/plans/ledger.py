@@ -156,22 +156,22 @@ class Ledger:
         self.root = root.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        schema = T._parse_datatype_string(SCHEMAS[name])
+        schema = T.StructType.fromDDL(SCHEMAS[name])
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException:  # nothing was appended yet
             return self.spark.createDataFrame([], schema)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        wanted = T._parse_datatype_string(SCHEMAS[name])
+        wanted = T.StructType.fromDDL(SCHEMAS[name])
         cells = [
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in wanted
         ]
         rows.select(*cells).write.mode("append").parquet(f"{self.root}/{name}")
 
-    def _append_one(self, name: str, **values) -> None:
-        schema = T._parse_datatype_string(SCHEMAS[name])
+    def _append_one(self, table: str, /, **values) -> None:
+        schema = T.StructType.fromDDL(SCHEMAS[table])
         stamped = {
             f.name: values.get(f.name) for f in schema if not isinstance(f.dataType, T.TimestampType)
         }
@@ -182,7 +182,7 @@ class Ledger:
             for f in schema
             if isinstance(f.dataType, T.TimestampType)
         }
-        self.append(name, row.withColumns(times).coalesce(1))
+        self.append(table, row.withColumns(times).coalesce(1))
 
     def remember_dataset(self, **values) -> None:
         self._append_one("datasets", **values)
