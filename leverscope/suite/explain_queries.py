@@ -203,8 +203,15 @@ CLASS_PUSH_SQL = " UNION ALL ".join(
 # --- partial dependence ---------------------------------------------------------
 
 
+# Averages of short decimals over 6 * 10**k rows can end exactly in a 5 after six
+# digits, where the last bit of a sum decides the rounding; after eight they cannot.
+MEAN_DIGITS = 8
+
+
 def _rounded_curve(df):
-    return df.select("feature", "grid_id", F.round("x", 6).alias("x"), "x_label", F.round("y", 6).alias("y"))
+    return df.select(
+        "feature", "grid_id", F.round("x", 6).alias("x"), "x_label", F.round("y", MEAN_DIGITS).alias("y")
+    )
 
 
 def line_curves(spark, sf_dir, wanted):
@@ -242,7 +249,7 @@ def _curve_sql(column: str, source: str, answer: str) -> str:
 LINE_CURVES_SQL = " UNION ALL ".join(
     _curve_sql(c, LINES_SQL, line_prediction(**{c: "g.x"})) for c in NUMERIC_CURVES
 )
-CURVE_COLUMNS = f"feature, grid_id, {rounded('x')} AS x, x_label, {rounded('y')} AS y"
+CURVE_COLUMNS = f"feature, grid_id, {rounded('x')} AS x, x_label, {rounded('y', MEAN_DIGITS)} AS y"
 
 
 def pdp_categorical(spark, sf_dir):
@@ -275,7 +282,7 @@ def pdp_class(spark, sf_dir):
 
 
 PDP_CLASS_SQL = " UNION ALL ".join(
-    f"SELECT feature, grid_id, {rounded('x')} AS x, {rounded('y')} AS y, '{label}' AS class_label FROM ("
+    f"SELECT feature, grid_id, {rounded('x')} AS x, {rounded('y', MEAN_DIGITS)} AS y, '{label}' AS class_label FROM ("
     + _curve_sql(c, ORDERS_SQL, grade_chances(**{c: "g.x"})[i])
     + ")"
     for c in ("month", "total_k")
@@ -481,11 +488,11 @@ def mean_prediction(spark, sf_dir):
     )
     classes = whatif.mean_prediction(scored_grades(spark, sf_dir), grade_scorer())
     both = one.unionByName(classes.select("label", "mean_prediction"))
-    return both.withColumn("mean_prediction", F.round("mean_prediction", 6))
+    return both.withColumn("mean_prediction", F.round("mean_prediction", MEAN_DIGITS))
 
 
-MEAN_SQL = f"SELECT 'line' AS label, {rounded('avg(prediction)')} AS mean_prediction FROM ({SCORED_LINES_SQL})" + "".join(
-    f" UNION ALL SELECT '{label}', {rounded(f'avg(p{i})')} FROM ({SCORED_GRADES_SQL})"
+MEAN_SQL = f"SELECT 'line' AS label, {rounded('avg(prediction)', MEAN_DIGITS)} AS mean_prediction FROM ({SCORED_LINES_SQL})" + "".join(
+    f" UNION ALL SELECT '{label}', {rounded(f'avg(p{i})', MEAN_DIGITS)} FROM ({SCORED_GRADES_SQL})"
     for i, label in enumerate(GRADES)
 )
 

@@ -14,6 +14,7 @@ from leverscope.suite.explain_queries import (
     EDITED,
     E_COLUMNS,
     LINE_CURVES_SQL,
+    MEAN_DIGITS,
     NUMERIC_CURVES,
     RANKED_SQL,
     SCENARIOS_SQL,
@@ -81,7 +82,7 @@ IMPORTANCE_SQL = IMPORTANCE_SQL.replace(
 def dependence_insight(spark, sf_dir):
     """Numeric curves as they are, then as curves of a class, and a categorical one."""
     curves = line_curves(spark, sf_dir, [*NUMERIC_CURVES, "flag"])
-    curves = curves.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+    curves = curves.withColumns({"x": F.round("x", 6), "y": F.round("y", MEAN_DIGITS)})
     kind = F.when(F.col("feature") == "flag", "categorical").otherwise("numeric")
     described = dependence.describe_curves(curves).withColumn("feature_type", kind)
     # One short row per curve: kept, because it is told twice.
@@ -98,7 +99,7 @@ def dependence_insight(spark, sf_dir):
 _STEPS = f"""
 SELECT feature, arg_max(x_before, steepness) AS low, arg_max(x, steepness) AS high
 FROM (SELECT feature, x, lag(x) OVER w AS x_before, abs((y - lag(y) OVER w) / (x - lag(x) OVER w)) AS steepness
-      FROM (SELECT feature, grid_id, {rounded('x')} AS x, {rounded('y')} AS y FROM ({LINE_CURVES_SQL}))
+      FROM (SELECT feature, grid_id, {rounded('x')} AS x, {rounded('y', MEAN_DIGITS)} AS y FROM ({LINE_CURVES_SQL}))
       WINDOW w AS (PARTITION BY feature ORDER BY grid_id)) GROUP BY feature"""
 DEPENDENCE_SQL = f"""
 WITH described AS (
