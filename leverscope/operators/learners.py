@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from leverscope.errors import AnalysisError
 from leverscope.operators.prepare import Features, Fill, Task
+from leverscope.session import checkpoint_dir
 
 # The algorithm names a caller passes and the names reported back.
 ALGORITHMS = {"gbr": "gradient_boosting", "rf": "random_forest"}
@@ -21,7 +22,7 @@ SMALL_ROWS = 40
 
 @dataclass(frozen=True)
 class LearnerSettings:
-    """Tree counts and depths; the defaults are the reference sizes.
+    """Tree counts and depths.
 
     ``forest_depth`` is bounded because Spark's trees are (30 at most).
     """
@@ -133,6 +134,11 @@ def fit_pipeline(
     task: Task,
     settings: LearnerSettings,
 ) -> PipelineModel:
-    """Fit on ``train`` (the features and ``actual``)."""
+    """Fit on ``train`` (the features and ``actual``).
+
+    With a checkpoint folder, boosting cuts its lineage every ten rounds, so a lost
+    executor costs a few rounds at most.
+    """
+    checkpoint_dir(train.sparkSession, required=False)
     stages = [*preparation_stages(features, fill), learner(algorithm, task, settings)]
     return Pipeline(stages=stages).fit(train.select(*features.names, "actual"))

@@ -66,7 +66,10 @@ def fold_trainings(trainings: DataFrame) -> DataFrame:
 
 def version_numbers(versions: DataFrame, rows_per_bucket: int = 500_000) -> DataFrame:
     """Add ``version_number``: 1, 2, ... per dataset in order of training."""
-    timed = versions.withColumn("trained_micros", F.unix_micros(F.col("trained_at").cast("timestamp")))
+    start = F.lit("1970-01-01").cast(versions.schema["trained_at"].dataType)
+    timed = versions.withColumn(
+        "trained_micros", F.timestamp_diff("MICROSECOND", start, F.col("trained_at"))
+    )
     return rank_in_group(
         timed, ("dataset_id",), "trained_micros", "version_id", "version_number", rows_per_bucket
     ).drop("trained_micros")

@@ -162,7 +162,15 @@ def fit_model(
 
 def model_metrics(scored: DataFrame, task: Task, classes: list[str] | None) -> dict:
     """Test metrics, the training figure beside them, and per-class detail."""
-    sides = evaluate.both_splits(scored)
+    outcome = ["split", "actual", "prediction"] + (["probability"] if classes else [])
+    scored = scored.select(*outcome).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _metrics(evaluate.both_splits(scored), task, classes)
+    finally:
+        scored.unpersist()
+
+
+def _metrics(sides: DataFrame, task: Task, classes: list[str] | None) -> dict:
     none = dict.fromkeys(
         ("rSquared", "rmse", "mae", "accuracy", "auc", "f1", "trainRSquared", "trainAccuracy")
     )
@@ -180,7 +188,7 @@ def model_metrics(scored: DataFrame, task: Task, classes: list[str] | None) -> d
     test = sides.where(F.col("split") == "test")
     # k * k cells: small enough to hold and to read three ways.
     cells = evaluate.confusion_matrix(test, classes).collect()
-    matrix = scored.sparkSession.createDataFrame(
+    matrix = sides.sparkSession.createDataFrame(
         cells,
         "actual_index int, predicted_index int, actual_label string, predicted_label string, rows long",
     )

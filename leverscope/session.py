@@ -4,35 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from leverscope.errors import AnalysisError
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession, required: bool = True) -> str | None:
     """The shared folder for checkpoints, as the cluster names it.
 
     Only a ``local`` session without the setting gets a folder of its own: there
     driver and executors are one machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-        return configured
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if configured:
+            context.setCheckpointDir(configured)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="leverscope-checkpoint-"))
+        elif required:
             raise AnalysisError(
                 "checkpointDirMissing",
                 "Set spark.checkpoint.dir to a folder every executor can reach.",
             )
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="leverscope-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through replicated storage, so a lost executor loses nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    return configured or context.getCheckpointDir()
