@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from leverscope.errors import AnalysisError
 from leverscope.operators.order import exact_quantiles
 from leverscope.operators.prepare import MOST_LEVELS, Features
-from leverscope.operators.profile import quoted
+from leverscope.functions.scalars import quoted
 from leverscope.operators.scorers import Scorer, response
 
 # Grid points on a small and on an ordinary table, where small ends,

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from leverscope.functions.scalars import finite_or_null, finite_or_zero, pair_correlation, pair_count
 from leverscope.operators.order import bucket_starts, hash_buckets
 from leverscope.operators.prepare import Features
-from leverscope.operators.profile import quoted
+from leverscope.functions.scalars import quoted
 from leverscope.operators.scorers import Scorer, response
 
 # Repeats on a small and on an ordinary table, and where small ends.

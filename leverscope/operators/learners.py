@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 
 from leverscope.errors import AnalysisError
+from leverscope.functions.scalars import quoted
 from leverscope.operators.prepare import Features, Fill, Task
 from leverscope.session import checkpoint_dir
 
@@ -141,4 +142,6 @@ def fit_pipeline(
     """
     checkpoint_dir(train.sparkSession, required=False)
     stages = [*preparation_stages(features, fill), learner(algorithm, task, settings)]
-    return Pipeline(stages=stages).fit(train.select(*features.names, "actual"))
+    return Pipeline(stages=stages).fit(
+        train.select(*[quoted(c) for c in features.names], "actual")
+    )

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leverscope.functions.hashing import HASH_DIGITS, hash_long
+from leverscope.functions.scalars import quoted
 
 # A narrowed range holding at most this many values is finished by sorting it.
 FINISH_BELOW = 50_000
@@ -203,6 +204,13 @@ def exact_quantiles(
         for chunk in _chunks(columns, COLUMNS_PER_PASS):
             found |= exact_quantiles(df, chunk, probabilities)
         return found
+    plain = [f"q{i}" for i in range(len(columns))]
+    df = df.select(*[quoted(c).alias(p) for c, p in zip(columns, plain)])
+    found = _plain_quantiles(df, plain, probabilities)
+    return dict(zip(columns, found.values()))
+
+
+def _plain_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict:
     step = 2.0 / SKETCH_ACCURACY
     near = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-step, 0.0, step)]
     row = df.agg(

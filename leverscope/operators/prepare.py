@@ -13,7 +13,8 @@ from leverscope.errors import AnalysisError
 from leverscope.functions.hashing import HASH_DIGITS, hash_long
 from leverscope.functions.scalars import nan_to_null
 from leverscope.operators.order import exact_medians, order_statistics
-from leverscope.operators.profile import quoted, validate_target
+from leverscope.functions.scalars import quoted
+from leverscope.operators.profile import validate_target
 
 # The rule for text columns that identify rather than describe.
 MOST_LEVELS = 50

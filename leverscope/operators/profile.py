@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leverscope.errors import AnalysisError
-from leverscope.functions.scalars import nan_to_null, parse_boolean, parse_number
+from leverscope.functions.scalars import nan_to_null, parse_boolean, parse_number, quoted
 
 NUMERIC = "numeric"
 CATEGORICAL = "categorical"
@@ -85,11 +85,6 @@ def _present(df: DataFrame, name: str) -> Column:
     return value
 
 
-def quoted(name: str) -> Column:
-    """The column of that exact name, dots and all."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def column_counts(df: DataFrame) -> DataFrame:
     """Per column: rows, filled cells, cells that parse as numbers / booleans.
 

@@ -6,6 +6,7 @@ A scorer adds ``prediction`` (a number, or a class index) and, for classes,
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import Protocol
 
 from pyspark.ml import PipelineModel
@@ -15,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leverscope.errors import AnalysisError
+from leverscope.functions.scalars import quoted
 
-# Columns a scorer writes; inputs must not use these names.
-RESERVED = ("prediction", "probability")
+# Columns the library itself adds to a model frame; inputs must not use these names.
+RESERVED = ("prediction", "probability", "actual", "split", "split_hash", "own_loss", "inputs")
 
 
 class Scorer(Protocol):
@@ -26,8 +28,8 @@ class Scorer(Protocol):
     def score(self, df: DataFrame) -> DataFrame: ...
 
 
-def check_reserved(df: DataFrame) -> None:
-    taken = [c for c in df.columns if c in RESERVED]
+def check_reserved(names: Iterable[str]) -> None:
+    taken = [c for c in names if c.lower() in RESERVED]
     if taken:
         raise AnalysisError("reservedColumn", f"Rename input column(s) {', '.join(taken)}.")
 
@@ -106,7 +108,7 @@ class PipelineScorer:
             if self.classes is not None:
                 scored = scored.withColumn("probability", vector_to_array("probability"))
         keep = [*df.columns, "prediction"] + (["probability"] if self.classes is not None else [])
-        return scored.select(*keep)
+        return scored.select(*[quoted(c) for c in keep])
 
 
 def _one_vs_rest(ready: DataFrame, learner: OneVsRestModel) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leverscope.functions.scalars import finite_or_null, parse_number
 from leverscope.operators.joins import lookup_join, small_enough
 from leverscope.operators.prepare import Features, Fill
-from leverscope.operators.profile import quoted
+from leverscope.functions.scalars import quoted
 from leverscope.operators.scorers import Scorer, response
 
 # Fixed value: rows shown to a reader; the table itself is never cut.

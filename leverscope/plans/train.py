@@ -29,7 +29,7 @@ from leverscope.operators.prepare import (
     usable_rows,
     with_split_hash,
 )
-from leverscope.operators.profile import quoted
+from leverscope.functions.scalars import quoted
 from leverscope.operators.scorers import PipelineScorer, check_reserved
 
 # A learner pass over fewer rows than this is not worth another task.
@@ -88,8 +88,8 @@ def model_frame(
     df: DataFrame, target: str, task: str = "auto", key: str = "row_key", seed: int = 42
 ) -> tuple[DataFrame, Features, Task, list[str] | None, int]:
     """Choose inputs, drop unusable rows, encode the target; the frame comes persisted."""
-    check_reserved(df)
     features = choose_features(df, target, skip=(key,))
+    check_reserved((key, *features.names))
     present = df.where(quoted(target).isNotNull())
     if present.limit(LEAST_ROWS).count() < LEAST_ROWS:
         raise AnalysisError("tooFewRows", f"At least {LEAST_ROWS} rows with a target are needed.")

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from leverscope.errors import AnalysisError
 from leverscope.functions.scalars import NA_TOKENS
-from leverscope.operators.profile import ColumnProfile, load_table, quoted
+from leverscope.functions.scalars import quoted
+from leverscope.operators.profile import ColumnProfile, load_table
 
 _OVERFLOW = "overflow_cell"
 

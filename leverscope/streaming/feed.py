@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from leverscope.operators.profile import NUMERIC, ColumnProfile, quoted
+from leverscope.functions.scalars import quoted
+from leverscope.operators.profile import NUMERIC, ColumnProfile
 from leverscope.functions.scalars import parse_boolean, parse_number
 from leverscope.operators.scorers import Scorer, batch_score
 from leverscope.session import checkpoint_dir

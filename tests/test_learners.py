@@ -180,3 +180,18 @@ def test_numeric_two_value_target(spark):
     assert model.spec.classes == ["0", "1"]
     split = {r["split"]: r["n"] for r in model.frame.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert split == {"test": 8, "train": 22}
+
+
+def test_names_with_dots_and_signs(spark):
+    rows = [(float(i), ["x y", "z'", None][i % 3], 2.0 * i) for i in range(30)]
+    df = keyed(spark, rows, "`Temp. (°C)` double, `Line's no.` string, `y.1` double")
+    model = fit_model(df, "y.1", settings=LearnerSettings(trees=4))
+    assert model.spec.features.names == ("Temp. (°C)", "Line's no.")
+    assert model.importance(repeats=2).orderBy("rank").first()["feature"] == "Temp. (°C)"
+    grid = dependence.build_grid(model.frame, model.spec.features)
+    curves = dependence.partial_dependence(model.frame, model.spec.features, model.scorer, grid)
+    assert curves.where("x_label = 'x y'").count() == 1
+    asked = spark.createDataFrame([(1, 2, {"Temp. (°C)": "29"})], "scenario_id long, row_key long, edits map<string,string>")
+    rows = whatif.scenario_rows(asked, model.frame, model.spec.features)
+    found = whatif.whatif(rows, model.spec.features, model.scorer, model.spec.fill).first()
+    assert found["delta"] > 0 and len(found["contributions"]) == 2
