@@ -26,7 +26,10 @@ def _cell(value):
 
 def compare(spark, con, query, sql, sf_dir):
     """'' when equal, else what differs."""
-    df = query(spark, sf_dir)
+    return compare_rows(query(spark, sf_dir), con, sql)
+
+
+def compare_rows(df, con, sql):
     names = sorted(df.columns)
     mine = [tuple(r[n] for n in names) for r in df.select(*[f"`{n}`" for n in names]).collect()]
     cursor = con.execute(sql)

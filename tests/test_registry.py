@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import __spark_entry__ as registry
-from oracle import compare, connect
+from oracle import compare, compare_rows, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -23,9 +23,25 @@ def duck():
     return connect(SF_DIR)
 
 
+def check_plan(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for forbidden in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert forbidden not in plan
+    lines = [line.strip(" :+-*()0123456789") for line in plan.splitlines()]
+    for i, line in enumerate(lines):
+        # All rows may meet in one task only after they were aggregated (importance has
+        # a row per feature) or cut to a top-k.
+        if line.startswith("Exchange SinglePartition"):
+            assert lines[i + 1].startswith(
+                ("HashAggregate", "ObjectHashAggregate", "SortAggregate", "Project [feature_pos")
+            ), lines[i + 1]
+
+
 @pytest.mark.parametrize("name", CHECKED)
-def test_query_equals_its_sql(spark, duck, name):
-    assert compare(spark, duck, QUERIES[name], SQL[name], SF_DIR) == ""
+def test_query_equals_its_sql_by_a_distributed_plan(spark, duck, name):
+    df = QUERIES[name](spark, SF_DIR)
+    check_plan(df)
+    assert compare_rows(df, duck, SQL[name]) == ""
 
 
 def test_comparison_notices_differences(spark, duck):
@@ -45,21 +61,6 @@ def test_entry(spark):
     assert rows[0]["feature"] == "quantity" and rows[0]["code"] == "topFactor"
 
 
-PLANNED = [n for n in CHECKED if not n.startswith("model_")]
-
-
-@pytest.mark.parametrize("name", PLANNED)
-def test_plan_is_distributed(spark, name):
-    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
-    for forbidden in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
-        assert forbidden not in plan
-    lines = [line.strip(" :+-*()0123456789") for line in plan.splitlines()]
-    for i, line in enumerate(lines):
-        # All rows may meet in one task only after they were aggregated or cut to a top-k.
-        if line.startswith("Exchange SinglePartition"):
-            assert lines[i + 1].startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate", "Project [feature_pos")), lines[i + 1]
-
-
 def test_scans_read_only_what_is_used(spark):
     plan = QUERIES["target_cardinality"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "l_linestatus" in plan and "l_extendedprice" not in plan
