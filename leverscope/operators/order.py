@@ -350,7 +350,11 @@ def rank_in_group(
     rows_per_bucket: int = 500_000,
     least: int = 8,
 ) -> DataFrame:
-    """``row_number`` per group in (value, tie) order, without a task per group."""
+    """``row_number`` per group in (value, tie) order, without a task per group.
+
+    A group is spread over value ranges. ``value`` should tell most rows of a group
+    apart (a time stamp); rows sharing one value stay in one range.
+    """
     cut = order_buckets(df, value, "order_bucket", rows_per_bucket, least)
     ranked = running_before(
         cut, "order_bucket", [F.col(value), F.col(tie)], {name: F.lit(1)}, group

@@ -12,7 +12,14 @@ from leverscope.operators.profile import load_table
 from leverscope.operators.scorers import pick_class, response
 from leverscope.plans.train import fit_model, load_model, save_model
 from leverscope.suite.explain_queries import scenarios
-from leverscope.suite.frames import ORDER_FEATURES, derive, orders, table, wide_table
+from leverscope.suite.frames import (
+    ORDER_FEATURES,
+    ORDERS_SQL,
+    derive,
+    orders,
+    table,
+    wide_table,
+)
 from leverscope.suite.profile_queries import scratch
 
 # Fewer trees than the library's default, so that a run of all queries stays short.
@@ -94,6 +101,41 @@ def model_metrics(spark, sf_dir):
     return spark.createDataFrame(out, "target string, metric string, value double")
 
 
+def model_quality(spark, sf_dir):
+    """What can be said exactly about a fit: its rows, classes, test rows, and that it
+    beats the constant answer (the mean, or the most frequent class) on them."""
+    out = []
+    for target, task in (("outcome", "auto"), ("verdict", "auto"), ("grade", "multiclass")):
+        model = fit(spark, sf_dir, target, "rf", task, with_metrics=True)
+        metrics, classes = model.spec.metrics, model.spec.classes or []
+        if classes:
+            support = [m["support"] for m in metrics["classMetrics"]]
+            tested, better = sum(support), metrics["accuracy"] > max(support) / sum(support)
+        else:
+            tested = model.frame.where("split = 'test'").count()
+            better = metrics["rSquared"] > 0
+        out.append(
+            (target, model.spec.task_kind, metrics["nRows"], metrics["nFeatures"], tested, ",".join(classes), better)
+        )
+    return spark.createDataFrame(
+        out,
+        "target string, task_kind string, rows long, features int, test_rows long, classes string,"
+        " beats_constant boolean",
+    )
+
+
+QUALITY_SQL = " UNION ALL ".join(
+    f"SELECT '{target}' AS target, '{kind}' AS task_kind, count(*) AS rows, cast(4 AS int) AS features,"
+    f" cast(ceil(0.25 * count(*)) AS bigint) AS test_rows, {classes} AS classes, true AS beats_constant"
+    f" FROM ({ORDERS_SQL})"
+    for target, kind, classes in (
+        ("outcome", "regression", "''"),
+        ("verdict", "binary", "string_agg(DISTINCT verdict, ',' ORDER BY verdict)"),
+        ("grade", "multiclass", "string_agg(DISTINCT grade, ',' ORDER BY grade)"),
+    )
+)
+
+
 def model_roundtrip(spark, sf_dir):
     """Scores before saving and after loading, side by side."""
     path = scratch(spark, "model")
@@ -163,6 +205,7 @@ ENTRIES = {
     "fit_rf_classification": (fit_rf_classification, None),
     "fit_rf_documents": (fit_rf_documents, None),
     "model_metrics": (model_metrics, None),
+    "model_quality": (model_quality, QUALITY_SQL),
     "model_roundtrip": (model_roundtrip, ROUNDTRIP_SQL),
     "permutation_importance_gbt": (permutation_importance_gbt, None),
     "pdp_gbt": (pdp_gbt, None),
