@@ -1,3 +1,5 @@
+import uuid
+
 from leverscope.operators.profile import ColumnProfile
 from leverscope.operators.scorers import ExprScorer
 from leverscope.session import checkpoint_dir
@@ -12,10 +14,13 @@ def test_batches_are_typed_scored_and_stored_once(spark, tmp_path):
     scorer = ExprScorer("coalesce(a, 0.0) * 2")
     checkpoint_dir(spark)
 
+    # A feed goes on from its checkpoint, so a new one needs a new name.
+    name = f"feed-{uuid.uuid4().hex}"
+
     def run():
         raw = spark.readStream.schema(schema).json(str(source))
         typed = type_feed(raw, columns, keep=("row_key",))
-        query = store_feed(score_feed(typed, scorer), str(sink), f"feed-{tmp_path.name}")
+        query = store_feed(score_feed(typed, scorer), str(sink), name)
         query = query.trigger(availableNow=True).start()
         query.awaitTermination(60)
 
