@@ -14,8 +14,6 @@ from leverscope.suite.frames import (
     ORDERS_SQL,
     SCORED_GRADES_SQL,
     SCORED_LINES_SQL,
-    VERDICTS,
-    chances_sql,
     derive,
     grade_chances,
     grade_scorer,
@@ -23,7 +21,6 @@ from leverscope.suite.frames import (
     line_scorer,
     lines,
     order_frame_sql,
-    order_latent,
     order_prediction,
     order_scorer,
     orders,

@@ -11,14 +11,12 @@ from leverscope.suite.explain_queries import (
     CURVE_DIRECTION_SQL,
     DIRECTION_SQL,
     EDIT_COUNT,
-    EDITED,
     E_COLUMNS,
     LINE_CURVES_SQL,
     MEAN_DIGITS,
     NUMERIC_CURVES,
     RANKED_SQL,
     SCENARIOS_SQL,
-    SLOPE_SQL,
     VERDICT_PAIR_SQL,
     CATEGORICAL_SQL,
     _importance,
