@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from leverscope.llm import common, sharding
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from leverscope.llm import common, packing, sharding
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark, sf_dir):
+    pieces = packing.pack(common.table(spark, sf_dir, "documents"), VOCABULARY)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
 def op7_kd_shards(spark, sf_dir):
@@ -10,5 +20,6 @@ def op7_kd_shards(spark, sf_dir):
 
 
 ENTRIES = {
+    "op5_packing": (op5_packing, None),
     "op7_kd_shards": (op7_kd_shards, None),
 }
