@@ -41,7 +41,7 @@ def _points(docs: DataFrame, dims: tuple[str, ...]) -> DataFrame:
         else:
             value = F.lit(0).cast("long")
         keys[f"k{i}"] = F.shiftleft(value, 42) + tie
-    return rows.withColumns(keys).select("doc_id", "size", "text_crc32", "row", *keys)
+    return rows.withColumns(keys).select("doc_id", "size", "text_crc32", "row", *keys, F.lit(0).cast("long").alias("low"))
 
 
 def _nodes(df: DataFrame, nodes: list[dict], schema: str) -> DataFrame:
@@ -117,7 +117,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 25
     leaves = shards or max(1, math.ceil(total / target_bytes))
     if leaves > MOST_LEAVES:
         raise ValueError(f"{leaves} leaves; raise target_bytes")
-    rows = points.withColumn("low", F.lit(0).cast("long")).withColumn("leaves", F.lit(leaves).cast("long"))
+    rows = points.withColumn("leaves", F.lit(leaves).cast("long"))
     more = True
     while more:
         rows, more = _split(rows, len(dims))
