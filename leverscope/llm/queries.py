@@ -5,11 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from leverscope.llm import common, packing, sharding
+from leverscope.llm import common, language, packing, sharding
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_language_id(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = common.fold(F.col("doc_id"), 4) == 2
+    model = language.learn(docs.filter(~held_out))
+    found = language.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_packing(spark, sf_dir):
     pieces = packing.pack(common.table(spark, sf_dir, "documents"), VOCABULARY)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -20,6 +28,7 @@ def op7_kd_shards(spark, sf_dir):
 
 
 ENTRIES = {
+    "op3_language_id": (op3_language_id, None),
     "op5_packing": (op5_packing, None),
     "op7_kd_shards": (op7_kd_shards, None),
 }
