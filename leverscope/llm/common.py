@@ -66,7 +66,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = (large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         links = stored(small, name)
-        now = links.agg(F.count("*"), F.sum("a"), F.sum("b"), F.countDistinct("a")).first()
+        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(now) == before or now[0] == 0:
             break
         before = tuple(now)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from leverscope.llm import common, language, packing, sharding
+from leverscope.llm import common, language, near_duplicates, packing, sharding
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,7 +27,12 @@ def op7_kd_shards(spark, sf_dir):
     return sharding.kd_shards(common.table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_minhash_forest(spark, sf_dir):
+    return near_duplicates.near_duplicates(common.table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 ENTRIES = {
+    "op8_minhash_forest": (op8_minhash_forest, None),
     "op3_language_id": (op3_language_id, None),
     "op5_packing": (op5_packing, None),
     "op7_kd_shards": (op7_kd_shards, None),
