@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from leverscope.llm import common, language, near_duplicates, packing, sharding
+from leverscope.llm import common, language, language_model, near_duplicates, packing, sharding
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,7 +31,15 @@ def op8_minhash_forest(spark, sf_dir):
     return near_duplicates.near_duplicates(common.table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op10_kneser_ney(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = common.fold(F.col("doc_id"), 5) == 1
+    scored = language_model.score(docs, language_model.learn(docs.filter(~held_out)))
+    return scored.withColumn("held_out", held_out)
+
+
 ENTRIES = {
+    "op10_kneser_ney": (op10_kneser_ney, None),
     "op8_minhash_forest": (op8_minhash_forest, None),
     "op3_language_id": (op3_language_id, None),
     "op5_packing": (op5_packing, None),
