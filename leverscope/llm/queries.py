@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from leverscope.llm import common, language, language_model, near_duplicates, packing, sharding
+from leverscope.llm import common, decontamination, language, language_model, near_duplicates, packing, sharding
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,6 +31,10 @@ def op8_minhash_forest(spark, sf_dir):
     return near_duplicates.near_duplicates(common.table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_qgram_lemma(spark, sf_dir):
+    return decontamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op10_kneser_ney(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = common.fold(F.col("doc_id"), 5) == 1
@@ -39,6 +43,7 @@ def op10_kneser_ney(spark, sf_dir):
 
 
 ENTRIES = {
+    "op9_qgram_lemma": (op9_qgram_lemma, None),
     "op10_kneser_ney": (op10_kneser_ney, None),
     "op8_minhash_forest": (op8_minhash_forest, None),
     "op3_language_id": (op3_language_id, None),
