@@ -5,11 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from leverscope.llm import common, decontamination, language, language_model, near_duplicates, packing, sharding
+from leverscope.llm import common, decontamination, language, language_model, near_duplicates, packing, privacy, quality, sharding
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality_pu(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = common.fold(F.col("doc_id"), 5) == 0
+    trusted = common.table(spark, sf_dir, "labels").filter("quality = 1").filter(~held_out)
+    scored = quality.score(docs, quality.learn(docs.filter(~held_out), trusted))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_language_id(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = common.fold(F.col("doc_id"), 4) == 2
@@ -18,6 +26,11 @@ def op3_language_id(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_skip_chain_crf(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return privacy.tag(docs, privacy.learn(docs)).drop("redacted")
+
+
 def op5_packing(spark, sf_dir):
     pieces = packing.pack(common.table(spark, sf_dir, "documents"), VOCABULARY)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -43,6 +56,8 @@ def op10_kneser_ney(spark, sf_dir):
 
 
 ENTRIES = {
+    "op4_skip_chain_crf": (op4_skip_chain_crf, None),
+    "op2_quality_pu": (op2_quality_pu, None),
     "op9_qgram_lemma": (op9_qgram_lemma, None),
     "op10_kneser_ney": (op10_kneser_ney, None),
     "op8_minhash_forest": (op8_minhash_forest, None),
