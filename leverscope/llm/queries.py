@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from leverscope.llm import common, decontamination, language, language_model, near_duplicates, packing, privacy, quality, sharding
+from leverscope.llm import common, decontamination, language, language_model, near_duplicates, packing, privacy, quality, sharding, vectors
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,6 +36,26 @@ def op5_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op6_itq(spark, sf_dir):
+    return vectors.near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS m FROM reach GROUP BY x),
+counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(m, e.vec_id) AS component_id, e.vec_id = coalesce(m, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN least ON least.x = e.vec_id LEFT JOIN counted ON counted.x = e.vec_id
+"""
+
+
 def op7_kd_shards(spark, sf_dir):
     return sharding.kd_shards(common.table(spark, sf_dir, "documents"), shards=8)
 
@@ -56,6 +76,7 @@ def op10_kneser_ney(spark, sf_dir):
 
 
 ENTRIES = {
+    "op6_itq": (op6_itq, OP6_SQL),
     "op4_skip_chain_crf": (op4_skip_chain_crf, None),
     "op2_quality_pu": (op2_quality_pu, None),
     "op9_qgram_lemma": (op9_qgram_lemma, None),
