@@ -5,11 +5,55 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from leverscope.llm import common, decontamination, language, language_model, near_duplicates, packing, privacy, quality, sharding, vectors
+from leverscope.llm import chat, common, decontamination, language, language_model, near_duplicates, packing, privacy, quality, sharding, vectors
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_role_repair(spark, sf_dir):
+    return chat.repair(common.table(spark, sf_dir, "conversations"))
+
+
+OP1_SQL = """
+WITH RECURSIVE d AS (SELECT conv_id, turn, role, text, count(*) AS copies FROM conversations GROUP BY ALL),
+t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, md5(text) NULLS FIRST) - 1 AS position,
+    count(*) OVER (PARTITION BY conv_id) AS n,
+    CASE WHEN lower(trim(role)) = 'system' THEN 0 WHEN lower(trim(role)) IN ('user', 'human', 'prompter') THEN 1
+         WHEN lower(trim(role)) IN ('assistant', 'bot', 'gpt', 'model', 'ai') THEN 2 ELSE 3 END AS seen FROM d),
+c AS (SELECT *, CASE seen WHEN 0 THEN 0 WHEN 3 THEN 1 ELSE 3 END AS l0, CASE seen WHEN 1 THEN 0 WHEN 3 THEN 1 ELSE 3 END AS l1,
+        CASE seen WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 3 END AS l2 FROM t),
+f AS (
+  SELECT conv_id, position, l0 AS s, l1 AS u, 2 + l2 AS a FROM c WHERE position = 0
+  UNION ALL
+  SELECT c.conv_id, c.position, f.s + 1 + l0, least(f.s, f.u + 1, f.a) + l1, least(f.s + 2, f.u, f.a + 1) + l2
+  FROM f JOIN c ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.position = f.position + 1),
+g AS (
+  SELECT f.conv_id, f.position, CASE WHEN f.s + 4 <= least(f.u + 2, f.a) THEN 0 WHEN f.u + 2 <= f.a THEN 1 ELSE 2 END AS o
+  FROM f JOIN c ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.position = f.position AND c.n = c.position + 1
+  UNION ALL
+  SELECT f.conv_id, f.position, CASE
+    WHEN g.o = 0 THEN 0
+    WHEN g.o = 1 THEN CASE WHEN f.s <= least(f.u + 1, f.a) THEN 0 WHEN f.u + 1 <= f.a THEN 1 ELSE 2 END
+    ELSE CASE WHEN f.s + 2 <= least(f.u, f.a + 1) THEN 0 WHEN f.u <= f.a + 1 THEN 1 ELSE 2 END END
+  FROM g JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.position = g.position - 1),
+r AS (
+  SELECT c.*, g.o, coalesce(p.o, 3) AS b, ['system', 'user', 'assistant'][g.o + 1] AS name, c.n = c.position + 1 AS ends
+  FROM c JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id AND g.position = c.position
+  LEFT JOIN g p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.position = c.position - 1)
+SELECT conv_id, position, turn, role, name AS role_out,
+  CASE WHEN b = o THEN 'merge' WHEN seen <> o THEN 'relabel' ELSE 'keep' END AS action,
+  concat_ws(',', CASE WHEN b IN (0, 3) AND o = 2 THEN 'user' END,
+    CASE WHEN ends AND o = 0 THEN 'user,assistant' WHEN ends AND o = 1 THEN 'assistant' END) AS inserted, copies,
+  CASE WHEN b = o THEN E'\n\n' ELSE concat(CASE WHEN b <> 3 THEN E'<|im_end|>\n' END,
+    CASE WHEN b IN (0, 3) AND o = 2 THEN E'<|im_start|>user\n<|im_end|>\n' END, '<|im_start|>', name, E'\n') END
+  || replace(coalesce(text, ''), '<|', '< |')
+  || CASE WHEN NOT ends THEN '' ELSE concat(E'<|im_end|>\n', CASE WHEN o = 0 THEN E'<|im_start|>user\n<|im_end|>\n' END,
+       CASE WHEN o < 2 THEN E'<|im_start|>assistant\n<|im_end|>\n' END) END AS piece
+FROM r
+"""
+
+
 def op2_quality_pu(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = common.fold(F.col("doc_id"), 5) == 0
@@ -44,7 +88,7 @@ OP6_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
@@ -68,6 +112,21 @@ def op9_qgram_lemma(spark, sf_dir):
     return decontamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, md5(array_to_string(unnest(s), ' ')) AS h FROM s),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON x = doc_id
+"""
+
+
 def op10_kneser_ney(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = common.fold(F.col("doc_id"), 5) == 1
@@ -76,12 +135,13 @@ def op10_kneser_ney(spark, sf_dir):
 
 
 ENTRIES = {
+    "op1_role_repair": (op1_role_repair, OP1_SQL),
     "op6_itq": (op6_itq, OP6_SQL),
     "op4_skip_chain_crf": (op4_skip_chain_crf, None),
     "op2_quality_pu": (op2_quality_pu, None),
     "op9_qgram_lemma": (op9_qgram_lemma, None),
     "op10_kneser_ney": (op10_kneser_ney, None),
-    "op8_minhash_forest": (op8_minhash_forest, None),
+    "op8_minhash_forest": (op8_minhash_forest, OP8_SQL),
     "op3_language_id": (op3_language_id, None),
     "op5_packing": (op5_packing, None),
     "op7_kd_shards": (op7_kd_shards, None),
