@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,62 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def place(docs: DataFrame, name: str) -> int | None:
+    """Index of the column of this name in any case, None if there is none."""
+    return next((i for i, c in enumerate(docs.columns) if c.lower() == name), None)
+
+
+def mapped(docs: DataFrame, change: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], slice_rows: int = 1000) -> DataFrame:
+    """Rows with all their columns, changed or dropped in Arrow batches; ``change()`` is called once per task."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = change()
+        for batch in batches:
+            for at in range(0, batch.num_rows, slice_rows):
+                yield own(batch.slice(at, slice_rows))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
+def replaced(batch: pa.RecordBatch, at: int, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([values.cast(c.type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+
+class Sieve:
+    """A bitmap of hashed numbers, at most 128 MB however many there are: a clear bit means surely not among them."""
+
+    LEAST, MOST = 20, 30  # bits, as powers of two
+
+    def __init__(self, numbers: DataFrame):
+        """``numbers``: one column of longs. Tasks hash, Spark gathers 4 KB pieces, the driver joins them."""
+        spark, column = numbers.sparkSession, numbers.columns[0]
+        count = numbers.count()
+        self.power = min(self.MOST, max(self.LEAST, (16 * count).bit_length()))
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = self._at(batch.column(0).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 32767)], names=["piece", "bit"])
+
+        pieces = numbers.filter(F.col(column).isNotNull()).mapInArrow(hashed, "piece long, bit long").groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        bitmap = np.zeros(1 << (self.power - 3), np.uint8)
+        for r in pieces.toLocalIterator():
+            bitmap[r["piece"] << 12 : (r["piece"] + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        self.held = spark.sparkContext.broadcast(bitmap)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__
+
+    def _at(self, numbers: np.ndarray) -> np.ndarray:
+        x = numbers.astype(np.int64).view(np.uint64)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x >> np.uint64(64 - self.power)).astype(np.int64)
+
+    def maybe(self, numbers: np.ndarray) -> np.ndarray:
+        at = self._at(numbers)
+        return (self.held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``(a, b)``: one row ``(node, component)`` per linked node.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverscope.llm.common import stored
+from leverscope.llm.common import mapped, place, stored
 
 Q = 8  # characters of a q-gram
 ERRORS = 0.08  # edit budget as a share of an item's length
@@ -216,6 +216,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS)
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
+    """The rows that hold no benchmark item, with all their columns; blocks of items filter one after the other."""
+    text = place(docs, "text")
+    for items in _blocks(benchmark):
+        held = docs.sparkSession.sparkContext.broadcast(items)
+
+        def change(held=held):
+            index = Index(held.value, errors)
+
+            def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+                clean = np.ones(batch.num_rows, bool)
+                column = batch.column(text)
+                for i in range(batch.num_rows):
+                    if column[i].is_valid:
+                        clean[i] = not _found_in(index, normalised(np.frombuffer(column[i].as_buffer(), np.uint8))[0])
+                return batch.filter(pa.array(clean))
+
+            return keep
+
+        docs = mapped(docs, change)
+    return docs
+
+
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple]:
     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
         if text.is_valid:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leverscope.errors import AnalysisError
+from leverscope.llm.common import mapped, place, replaced
 
 DIMENSIONS = 1 << 12  # hashed n-gram features
 CLUSTERS = 6  # centroids per language
@@ -158,37 +159,57 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, clusters: int = CLUSTER
             "centres": np.array([np.frombuffer(r["centre"], np.float32) for r in fitted]).reshape(len(fitted), dimensions)}
 
 
+def _nearest(texts: list[str], model: dict) -> tuple[list[str], np.ndarray]:
+    """Language of the nearest centroid and the cosine; ``und`` and 0 where nothing can be compared."""
+    idf, langs, centres = (model[k] for k in ("idf", "langs", "centres"))
+    text, feature, value = vectors(texts, idf)
+    found = np.flatnonzero(np.bincount(text, minlength=len(texts)))
+    pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    if len(langs) and len(found):
+        x = np.zeros((len(texts), len(idf)), np.float32)
+        x[text, feature] = value
+        like = x[found] @ centres.T
+        best = np.argmax(like, axis=1)
+        score[found] = np.clip(like[np.arange(len(found)), best], 0, 1)
+        for i, k in zip(found, best):
+            pred[i] = langs[k]
+    return pred, score
+
+
+def _rejected(pred: list[str], score: np.ndarray, reject_below: float) -> np.ndarray:
+    return np.array([p == UNDETERMINED for p in pred], bool) | (score < reject_below)
+
+
 def identify(docs: DataFrame, model: dict, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """``docs`` (doc_id, text) with lang_pred, score and rejected, one row per row.
+    """(doc_id, lang_pred, score, rejected), one row per row.
 
     The language is that of the nearest centroid by cosine, the score that cosine. ``rejected``
     says that it is under ``reject_below``, or that there is nothing to compare: null text, no
     letter, or no learned language, which give ``und`` and score 0. Ties go to the language first
     in order. Repeated rows are rows of their own; other columns are not read.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # at most MOST_CENTROIDS vectors
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_CENTROIDS vectors
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, langs, centres = (held.value[k] for k in ("idf", "langs", "centres"))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = _texts(part.column(1))
-                text, feature, value = vectors(texts, idf)
-                found = np.flatnonzero(np.bincount(text, minlength=len(texts)))
-                pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-                if len(langs) and len(found):
-                    x = np.zeros((len(texts), len(idf)), np.float32)
-                    x[text, feature] = value
-                    like = x[found] @ centres.T
-                    best = np.argmax(like, axis=1)
-                    score[found] = np.clip(like[np.arange(len(found)), best], 0, 1)
-                    for i, k in zip(found, best):
-                        pred[i] = langs[k]
-                rejected = np.array([p == UNDETERMINED for p in pred]) | (score < reject_below)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)],
+            for at in range(0, batch.num_rows, BLOCK_TEXTS):
+                part = batch.slice(at, BLOCK_TEXTS)
+                pred, score = _nearest(_texts(part.column(1)), held.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(_rejected(pred, score, reject_below))],
                                                  names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         task, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, model: dict, reject_below: float = REJECT_BELOW) -> DataFrame:
+    """The rows that ``identify`` does not reject, with all their columns; ``lang``, if there, becomes the language found."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    text, lang = place(docs, "text"), place(docs, "lang")
+
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pred, score = _nearest(_texts(batch.column(text)), held.value)
+        batch = batch if lang is None else replaced(batch, lang, pa.array(pred, pa.string()))
+        return batch.filter(pa.array(~_rejected(pred, score, reject_below)))
+
+    return mapped(docs, lambda: change, BLOCK_TEXTS)

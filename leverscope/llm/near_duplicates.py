@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverscope.llm.common import components, stored
+from leverscope.llm.common import Sieve, components, stored
 from leverscope.llm.words import WordHasher, shingles
 
 TREES = 24
@@ -58,7 +58,7 @@ def _class(found: np.ndarray) -> int:
 
 
 def _sketch(docs: DataFrame, width: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, class long, root array<long>, path array<long>, bits0 long, bits1 long"
+    schema = "doc_id long, row long, n_shingles long, class long, root array<long>, path array<long>, bits0 long, bits1 long"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHasher()
@@ -66,7 +66,7 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 columns: list[list] = [[] for _ in range(6)]
-                for text in part.column(1):
+                for text in part.column(2):
                     found = shingles(hashed(text.as_py()), width)
                     if len(found):
                         root, path, bits = labels(minima(found))
@@ -76,8 +76,8 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
                     for column, value in zip(columns, row):
                         column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                                                 names=["doc_id", "n_shingles", "class", "root", "path", "bits0", "bits1"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                                                 names=["doc_id", "row", "n_shingles", "class", "root", "path", "bits0", "bits1"])
 
     return docs.mapInArrow(task, schema)
 
@@ -168,8 +168,8 @@ def _roots(spark, links: DataFrame) -> DataFrame:
     return stored(components(links, "near"), "near")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, row, n_shingles, component_id, kept.
 
     Equal shingle sets are one class from the start, met map-side. Every class goes into ``TREES``
     sorted orders of MinHash values. A region of an order shares its first ``ROOT`` values; while
@@ -183,23 +183,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Words: A-Z lower-cased, split at ASCII white space. Null and empty texts and texts of white
     space have no set and are linked with nothing; a text of fewer than ``width`` words is one
-    shingle. component_id is the smallest doc_id of the component, kept the rows that carry it, so
-    repeated rows of one id stay together. Sets, shingles and classes are compared by 64-bit hashes.
+    shingle. component_id is the smallest doc_id of the component (null ids last), kept the rows that
+    carry it, so repeated rows of one id stay together; with ``row``, a column of distinct longs,
+    only that of the least number is kept. Sets, shingles and classes are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    texts = docs.toDF(*[c.lower() for c in docs.columns]).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    named = docs.toDF(*[c.lower() for c in docs.columns])
+    texts = named.select(F.col("doc_id").cast("long"), (F.col(row.lower()) if row else F.lit(0)).cast("long").alias("row"), F.col("text").cast("string"))
     sketched = stored(_sketch(texts, width), "sketch")
     full = sketched.filter("class is not null")
     classes = stored(full.groupBy("class").agg(
-        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), *[F.any_value(c).alias(c) for c in ("root", "path", "bits0", "bits1")]), "classes")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.max("n_shingles").alias("n"), *[F.any_value(c).alias(c) for c in ("root", "path", "bits0", "bits1")]), "classes")
     forest = classes.select("class", "n", "bits0", "bits1", F.explode(F.arrays_zip("root", "path")).alias("at")).select("class", "n", "bits0", "bits1", "at.root", "at.path")
     found = stored(_candidates(forest.select(*ROW.names), percent), "candidates")
     pairs = stored(found.filter("a <> b").select("a", "b").distinct(), "pairs")
     crowded = found.filter("a = b").select(F.col("a").alias("class"), "root", "path", "n", "bits0", "bits1")
 
     member = pairs.select("a").union(pairs.select("b")).union(crowded.select("class")).distinct().toDF("class")
-    wanted = classes.join(member, "class", "left_semi").select(F.col("first_id").alias("doc_id"))
-    sets = stored(_sets(texts.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["class"]), "sets")
+    member = stored(member, "members")
+    key = "row" if row else "doc_id"
+    wanted = Sieve(classes.join(member, "class", "left_semi").select(F.coalesce(f"first.{key}", F.lit(-1)).alias(key)))
+    few = texts.select(F.coalesce(key, F.lit(-1)).alias("key"), "text")
+    sets = stored(_sets(few, width, wanted).join(member, "class", "left_semi").dropDuplicates(["class"]), "sets")
 
     # One candidate per class first; most others then lie within a component.
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -212,21 +217,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         links = links.unionByName(stored(_confirmed(more, sets, percent), "links"))
         root = _roots(spark, links)
 
-    own = classes.select("class", "first_id").join(root.select(F.col("node").alias("class"), "component"), "class", "left").select(
-        "class", "first_id", F.coalesce("component", "class").alias("component"))
-    least = own.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    own = own.join(least, "component").select("class", "component_id")
-    linked = full.select("doc_id", "n_shingles", "class").join(own, "class").select("doc_id", "n_shingles", "component_id")
-    alone = sketched.filter("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = classes.select("class", "first").join(root.select(F.col("node").alias("class"), "component"), "class", "left").select(
+        "class", "first", F.coalesce("component", "class").alias("component"))
+    least = own.groupBy("component").agg(F.min("first").alias("least"))
+    own = own.join(least, "component").select("class", "least")
+    linked = full.select("doc_id", "row", "n_shingles", "class").join(own, "class").select(
+        "doc_id", "row", "n_shingles", F.col("least.doc_id").alias("component_id"), F.col("least.row").eqNullSafe(F.col("row")).alias("kept"))
+    alone = sketched.filter("class is null").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    if not row:  # all rows are 0 apart from their id
+        linked = linked.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return linked.unionByName(alone)
 
 
-def _sets(texts: DataFrame, width: int) -> DataFrame:
+def _sets(texts: DataFrame, width: int, wanted: Sieve) -> DataFrame:
+    """Class and full set of the texts (key, text) whose key may be wanted; others are not split into words."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHasher()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                found = [shingles(hashed(t.as_py()), width) for t in batch.column(1).slice(at, 1000)]
+            some = batch.filter(pa.array(wanted.maybe(batch.column(0).to_numpy())))
+            for at in range(0, some.num_rows, 1000):
+                found = [shingles(hashed(t.as_py()), width) for t in some.column(1).slice(at, 1000)]
                 found = [f for f in found if len(f)]
                 yield pa.RecordBatch.from_arrays([pa.array([_class(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["class", "found"])
 

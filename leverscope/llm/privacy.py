@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leverscope.llm.common import mapped, place, replaced
+
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)  # the label of what is no personal data
 # The base patterns, written so that no start is tried twice: a match can begin only where a run does.
@@ -275,3 +277,19 @@ def tag(docs: DataFrame, potentials: Potentials) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(task, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+
+
+def redact(docs: DataFrame, potentials: Potentials) -> DataFrame:
+    """All rows with all their columns, personal data replaced in ``text``; ``n_chars``, if there, follows the new text."""
+    text, n_chars = place(docs, "text"), place(docs, "n_chars")
+
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        old = batch.column(text).to_pylist()
+        spans = [spans_of(t or "", potentials)[1] for t in old]
+        new = [redacted(t, s) if s else t for t, s in zip(old, spans)]
+        if n_chars is not None:
+            known = batch.column(n_chars).to_pylist()
+            batch = replaced(batch, n_chars, pa.array([len(t) if s else n for t, s, n in zip(new, spans, known)], batch.column(n_chars).type))
+        return replaced(batch, text, pa.array(new, pa.string()))
+
+    return mapped(docs, lambda: change)

@@ -105,7 +105,7 @@ def op7_kd_shards(spark, sf_dir):
 
 
 def op8_minhash_forest(spark, sf_dir):
-    return near_duplicates.near_duplicates(common.table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates.near_duplicates(common.table(spark, sf_dir, "documents"), width=3, percent=85).drop("row")
 
 
 def op9_qgram_lemma(spark, sf_dir):
