@@ -60,6 +60,22 @@ def mapped(docs: DataFrame, change: Callable[[], Callable[[pa.RecordBatch], pa.R
     return docs.mapInArrow(task, docs.schema)
 
 
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each run of one key, over batch borders; for partitions sorted by it."""
+    held, last = [], None
+    for batch in batches:
+        values = batch.column(key).to_numpy()
+        cut = np.r_[0, np.flatnonzero(np.diff(values)) + 1, len(values)] if len(values) else []
+        for start, stop in zip(cut, cut[1:]):
+            if held and values[start] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = values[start]
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def replaced(batch: pa.RecordBatch, at: int, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([values.cast(c.type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leverscope.llm.common import components, stored
+from leverscope.llm.common import components, runs, stored
 
 BITS, TABLES = 64, 8  # of a code; parts of a code that are a table's key, a byte each
 SAMPLE = 4096  # distinct vectors from which the rotation is learnt, those of least hash
@@ -91,13 +91,11 @@ def _links(coded: DataFrame, threshold: float) -> DataFrame:
             .withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with"))
             .withColumn("g", F.xxhash64(*bucket, "i", "j")).select("g", "label", "t", "own", "i", "j", "class", "n", "code", "e"))
 
-    def of_group(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(rows)
+    def of_group(t: pa.Table) -> pa.RecordBatch | None:
         column = {c: t.column(c).to_numpy() for c in ("label", "t", "own", "i", "j", "class", "n", "code")}
-        if len(set(zip(column["label"], column["t"], column["i"], column["j"]))) > 1:  # two buckets of one hash
-            keys = list(zip(column["label"], column["t"], column["i"], column["j"]))
-            parts = [of_group(t.filter(pa.array([k == one for k in keys])).to_batches()) for one in sorted(set(keys))]
-            parts = [p for p in parts if p is not None]
+        keys = list(zip(column["label"], column["t"], column["i"], column["j"]))
+        if len(set(keys)) > 1:  # two buckets of one hash
+            parts = [p for one in sorted(set(keys)) if (p := of_group(t.filter(pa.array([k == one for k in keys])))) is not None]
             return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
         x = _unit(t.column("e").combine_chunks())
         code, i, j = column["code"].view(np.uint64), column["i"][0], column["j"][0]
@@ -119,20 +117,9 @@ def _links(coded: DataFrame, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(column["class"][at]), pa.array(add[at].astype("i8")), pa.array(column["class"][root[at]])], names=["class", "add", "root"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, g = [], None
-        for batch in batches:
-            value = batch.column("g").to_numpy()
-            cut = np.r_[0, np.flatnonzero(np.diff(value)) + 1, len(value)]
-            for start, stop in zip(cut, cut[1:]):
-                if stop == start:
-                    continue
-                if value[start] != g:
-                    if held and (out := of_group(held)) is not None:
-                        yield out
-                    held, g = [], value[start]
-                held.append(batch.slice(start, stop - start))
-        if held and (out := of_group(held)) is not None:
-            yield out
+        for table in runs(batches, "g"):
+            if (out := of_group(table)) is not None:
+                yield out
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(task, "class long, add long, root long")
 
