@@ -106,11 +106,12 @@ def _fit(table: DataFrame, mean, scale, prior: float, trusted: float, rows: floa
 
     While the second term is positive the risk is E_U[softplus(g)] - prior * E_P[g] and convex: a
     Newton step. Where it is negative the model explains more negatives than there can be, and the
-    step goes against that term alone, back to where it is not.
+    step goes against that term alone, back to where it is not. The weights of least risk are kept.
     """
     d = 2 * len(mean)  # intercept, values, squares of all but the first
     w = np.zeros(d)
     penalty = np.r_[0.0, np.full(d - 1, RIDGE)]
+    best, least = w, np.inf
     for _ in range(ROUNDS):
         def of_batch(x, positive, w=w):
             z = _design(x, mean, scale)
@@ -123,6 +124,9 @@ def _fit(table: DataFrame, mean, scale, prior: float, trusted: float, rows: floa
         s = _sums(table, of_batch)
         grad_u, hessian, mean_p, grad_p = s[:d] / rows, s[d : d + d * d].reshape(d, d) / rows, s[d + d * d : 2 * d + d * d] / trusted, s[2 * d + d * d : 3 * d + d * d] / trusted
         negative = s[-2] / rows - prior * s[-1] / trusted
+        risk = prior * (s[-1] / trusted - mean_p @ w) + max(0.0, negative) + penalty @ (w * w) / 2
+        if risk < least:
+            best, least = w, risk
         hessian += np.diag(penalty + 1e-9)
         if negative >= 0:
             step = np.linalg.solve(hessian, grad_u - prior * mean_p + penalty * w)
@@ -132,14 +136,14 @@ def _fit(table: DataFrame, mean, scale, prior: float, trusted: float, rows: floa
         w = w - step * min(1.0, 2.0 / max(size, 1e-12))
         if size < 1e-4:
             break
-    return w
+    return best
 
 
 def _prior(table: DataFrame, mean, scale, w: np.ndarray, trusted: float, rows: float) -> float:
     """Share of positives: the least ratio of unlabelled to trusted rows above any score.
 
     Above a score that only positives reach, unlabelled rows hold the prior's share of the trusted
-    rows' mass. Both masses get a deviation's slack, so thin tails decide nothing.
+    rows' mass. The score is chosen with a deviation's slack, so that thin tails decide nothing.
     """
     def of_batch(x, positive):
         g = _design(x, mean, scale) @ w
@@ -149,8 +153,8 @@ def _prior(table: DataFrame, mean, scale, w: np.ndarray, trusted: float, rows: f
     s = _sums(table, of_batch)
     above_u, above_p = (np.cumsum(x[::-1])[::-1] / n for x, n in ((s[:BINS], rows), (s[BINS:], trusted)))
     slack = lambda n: np.sqrt(np.log(4 / 0.1) / (2 * n))
-    ratio = (above_u + slack(rows) + slack(trusted)) / np.maximum(above_p, 1e-12)
-    return float(np.clip(ratio[above_p > 0].min(), 0.01, 0.99))
+    at = int(np.argmin((above_u + slack(rows) + slack(trusted)) / np.maximum(above_p, 1e-12)))
+    return float(np.clip(above_u[at] / max(above_p[at], 1e-12), 0.01, 0.99))
 
 
 def learn(docs: DataFrame, trusted: DataFrame) -> Model | None:
