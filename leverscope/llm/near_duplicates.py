@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverscope.llm.common import Sieve, components, stored
+from leverscope.llm.common import Sieve, components, runs, stored
 from leverscope.llm.words import WordHasher, shingles
 
 TREES = 24
 ROOT, DEEPER = 4, 4  # hash values that a region shares at least; more levels to which it may go
 CROWD = 16  # members from which a region goes one level deeper
 SKETCH_BITS = 128
+BLOCK = 256  # members of a crowded region that one task compares with as many others
+COLUMNS = 4096  # shingles of one incidence matrix
 _RANDOM = np.random.default_rng(20)
 _FACTORS = (_RANDOM.integers(0, 1 << 32, TREES * (ROOT + DEEPER), dtype=np.uint64) | 1).astype(np.uint32)
 _SHIFTS = _RANDOM.integers(0, 1 << 32, TREES * (ROOT + DEEPER), dtype=np.uint64).astype(np.uint32)
@@ -176,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str
     it holds more than ``CROWD`` classes it goes a value deeper. Classes of a region are candidates
     if set sizes and a bit sketch (five deviations under the threshold) allow a link. At full depth
     a crowded region pairs neighbours and the first; its members that end in other components than
-    its largest are then paired with all. Candidates are confirmed on full sets (``100 * common >=
+    its largest are then compared with all, block by block. Candidates are confirmed on full sets (``100 * common >=
     percent * all``): first one per class, then those whose ends are in different components, since
     a link within a component changes nothing. A missed link at the threshold needs all orders to
     part the pair: (1 - 0.8 ** 4) ** 24 = 3e-6, less above it.
@@ -212,10 +214,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str
     root = _roots(spark, links)
     links = links.unionByName(stored(_confirmed(_between(pairs, root), sets, percent), "links"))
     root = _roots(spark, links)
-    more = stored(_between(_outsiders(crowded, root, percent), root).distinct(), "pairs")
+    more = stored(_outsiders(crowded, root, sets, percent), "links")
     if more.limit(1).count():
-        links = links.unionByName(stored(_confirmed(more, sets, percent), "links"))
-        root = _roots(spark, links)
+        root = _roots(spark, links.unionByName(more))
 
     own = classes.select("class", "first").join(root.select(F.col("node").alias("class"), "component"), "class", "left").select(
         "class", "first", F.coalesce("component", "class").alias("component"))
@@ -251,14 +252,59 @@ def _between(pairs: DataFrame, root: DataFrame) -> DataFrame:
     return ends.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def _outsiders(crowded: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """In regions crowded at full depth, members outside the largest component with all others."""
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``, by products of bounded incidence matrices."""
+    shared = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)))
+    out = np.zeros((len(a), len(b)), np.float32)
+    places = []
+    for sets in (a, b):
+        row, value = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(shared, value), max(0, len(shared) - 1))
+        known = shared[at] == value if len(shared) else np.zeros(len(value), bool)
+        order = np.argsort(at[known], kind="stable")
+        places.append((row[known][order], at[known][order]))
+    for first in range(0, len(shared), COLUMNS):
+        sides = []
+        for (row, at), n in zip(places, out.shape):
+            cut = slice(*np.searchsorted(at, [first, first + COLUMNS]))
+            dense = np.zeros((n, min(COLUMNS, len(shared) - first)), np.float32)
+            dense[row[cut], at[cut] - first] = 1
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _outsiders(crowded: DataFrame, root: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of members outside the largest component of a region that is crowded at full depth.
+
+    Such members are compared with all members, on full sets, in blocks: a task holds two blocks of
+    a region and gives only links, one for each member and component; no pair is a row.
+    """
     of = crowded.join(root.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     share = of.groupBy("root", "path", "component").agg(F.count("*").alias("k"))
-    major = share.groupBy("root", "path").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    mixed = of.join(major, ["root", "path"])
-    out = mixed.filter("component <> major").select("root", "path", *[F.col(c).alias(f"{c}_o") for c in ("class", "n", "bits0", "bits1", "component")])
-    agree = SKETCH_BITS - F.bit_count(F.col("bits0").bitwiseXOR(F.col("bits0_o"))) - F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits1_o")))
-    return (mixed.join(out, ["root", "path"]).filter("component <> component_o")
-            .filter((100 * F.least("n", "n_o") >= percent * F.greatest("n", "n_o")) & (agree >= _least_bits(percent)))
-            .select(F.least("class", "class_o").alias("a"), F.greatest("class", "class_o").alias("b")))
+    regions = share.groupBy("root", "path").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.sum("k").alias("members"),
+                                                F.max("k").alias("inner"), F.count("*").alias("parts")).filter("parts > 1")
+    regions = regions.select("root", "path", "major", F.ceil((F.col("members") - F.col("inner")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("members") / BLOCK).cast("int").alias("all"))
+    members = of.join(regions, ["root", "path"]).withColumn("h", F.xxhash64("class"))
+    left = members.filter("component <> major").withColumn("i", F.pmod("h", "outer")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).withColumn("left", F.lit(True))
+    right = members.withColumn("j", F.pmod("h", "all")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).withColumn("left", F.lit(False))
+    columns = ["class", "component", "root", "path", F.col("i").cast("long"), F.col("j").cast("long"), "left"]
+    rows = left.select(*columns).unionByName(right.select(*columns)).withColumn("g", F.xxhash64("root", "path", "i", "j")).select("g", "class", "component", "left")
+
+    def of_block(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, names, parts = (t.column(c).to_numpy() for c in ("left", "class", "component"))
+        found = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("found")]
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        if len(a) and len(b):
+            size = np.array([len(f) for f in found])
+            both = _common([found[i] for i in a], [found[i] for i in b])
+            linked = (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)) & (parts[a][:, None] != parts[b][None, :])
+            i, j = np.nonzero(linked)
+            _, first = np.unique(np.stack([i, parts[b][j]]), axis=1, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names[a][i[first]]), pa.array(names[b][j[first]])], names=["a", "b"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "g"):
+            yield from of_block(table)
+
+    return rows.join(sets, "class").repartition("g").sortWithinPartitions("g").mapInArrow(task, "a long, b long")
