@@ -34,6 +34,7 @@ class ColumnProfile:
     name: str
     type: str
     missing_count: int
+    encoding: str = ""  # number, boolean or none: how its text becomes a value
 
 
 def _kind(data_type: T.DataType) -> str:
@@ -156,32 +157,45 @@ def collect_types(types: DataFrame) -> list:
     return types.orderBy("position").collect()
 
 
-def coerce(df: DataFrame, types: list) -> DataFrame:
-    """Numeric columns to double (unparsable becomes NULL), the others to text."""
-    out = []
+# How a column that was boolean words or a boolean says so: its labels stay True and False.
+BOOLEAN_MARK = {"encoding": "boolean"}
+
+
+def coerced_cell(value: Column, kind: str, type_: str, encoding: str) -> Column:
+    """One cell of a typed column; what does not fit its type becomes NULL."""
+    if encoding == "boolean" and kind == "text":
+        return parse_boolean(value)
+    if type_ == NUMERIC:
+        return parse_number(value) if kind == "text" else nan_to_null(value.cast("double"))
+    return value.cast("string")
+
+
+def coerce(df: DataFrame, types: list, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Numeric columns to double (unparsable becomes NULL), the others to text; ``keep`` as they are."""
+    out = [quoted(c) for c in keep]
     for t in types:
-        value = quoted(t["name"])
-        kind = _kind(df.schema[t["name"]].dataType)
-        if t["encoding"] == "boolean":
-            value = parse_boolean(value)
-        elif t["type"] == NUMERIC:
-            value = parse_number(value) if kind == "text" else nan_to_null(value.cast("double"))
-        else:
-            value = value.cast("string")
-        out.append(value.alias(t["name"]))
+        data_type = df.schema[t["name"]].dataType
+        value = coerced_cell(quoted(t["name"]), _kind(data_type), t["type"], t["encoding"])
+        boolean = t["encoding"] == "boolean" or isinstance(data_type, T.BooleanType)
+        out.append(value.alias(t["name"], metadata=BOOLEAN_MARK) if boolean else value.alias(t["name"]))
     return df.select(*out)
 
 
-def load_table(df: DataFrame) -> tuple[DataFrame, list[ColumnProfile]]:
-    """Clean, type and coerce a raw table."""
+def load_table(df: DataFrame, key: str | None = None) -> tuple[DataFrame, list[ColumnProfile]]:
+    """Clean, type and coerce a raw table; the column ``key`` comes first and stays as it is, digit for digit."""
     if not df.columns:
         raise AnalysisError("emptyDataset", "The table has no columns.")
     named = normalise_columns(df)
-    types = collect_types(infer_types(column_counts(named)))
+    if key is not None and key not in named.columns:
+        raise AnalysisError("invalidColumns", f"There is no key column '{key}'.")
+    typed = named.drop(quoted(key)) if key is not None else named
+    if not typed.columns:
+        raise AnalysisError("emptyDataset", "The table has no column besides its key.")
+    types = collect_types(infer_types(column_counts(typed)))
     if types[0]["row_count"] == 0:
         raise AnalysisError("emptyDataset", "The table has no rows.")
-    columns = [ColumnProfile(t["name"], t["type"], t["missing_count"]) for t in types]
-    return coerce(named, types), columns
+    columns = [ColumnProfile(t["name"], t["type"], t["missing_count"], t["encoding"]) for t in types]
+    return coerce(named, types, (key,) if key is not None else ()), columns
 
 
 def dataset_overview(types: DataFrame, target: str | None = None) -> DataFrame:

@@ -30,26 +30,60 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """A headed CSV as text columns; a missing-cell word becomes NULL.
+# Quotes inside a quoted cell are doubled and a backslash is text, as in RFC 4180.
+CSV_FORMAT = {"quote": '"', "escape": '"'}
 
-    Names are kept as written (the reader would rename repeated and blank ones), a
-    blank one becomes ``Unnamed: <position>``. The schema is given, so nothing is
-    inferred. A row wider than the header fails the read with ``invalidCsv``.
-    """
+
+def _header(spark: SparkSession, path: str | list[str], multi_line: bool) -> list[str]:
     try:
-        head = spark.read.csv(path, header=False, multiLine=multi_line).limit(1).collect()
+        head = spark.read.options(**CSV_FORMAT).csv(path, header=False, multiLine=multi_line).limit(1).collect()
     except AnalysisException as problem:
         raise AnalysisError("sampleMissing", f"Nothing to read at {path}.") from problem
     if not head:
         raise AnalysisError("emptyDataset", "The file is empty.")
-    names = [
-        f"Unnamed: {i}" if cell is None or cell == "" else cell for i, cell in enumerate(head[0])
-    ]
+    return [f"Unnamed: {i}" if cell is None or cell == "" else cell for i, cell in enumerate(head[0])]
+
+
+def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files below ``path``, those with the same first line together; a scan of the text if there are several."""
+    text = spark.read.text(path)
+    files = text.inputFiles()
+    if len(files) < 2:
+        return [files]
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_block_start").alias("start"))
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by(F.rtrim("value"), "place").alias("line"))
+    alike = first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    return sorted(r["files"] for r in alike if r["line"] != "") or [files]
+
+
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A headed CSV as text columns; a missing-cell word becomes NULL.
+
+    Names are kept as written (the reader would rename repeated and blank ones), a
+    blank one becomes ``Unnamed: <position>``. The schema is given, so nothing is
+    inferred. A row wider than the header fails the read with ``invalidCsv``. Files of a
+    folder are read by name: another order of columns is followed, other names fail
+    with ``invalidCsv``. Cells may hold line breaks, so a file is one task; give
+    ``multi_line=False`` for large files without such cells, which are then split.
+    """
+    names = _header(spark, path, multi_line)
+    out = None
+    for files in _by_header(spark, path):
+        own = _header(spark, files, multi_line)
+        if sorted(own) != sorted(names):
+            raise AnalysisError("invalidCsv", f"Files differ in their columns: {', '.join(names)} and {', '.join(own)}.")
+        part = _read_alike(spark, files, own, multi_line)
+        if own != names:
+            part = part.select(*[quoted(n) for n in names])
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _read_alike(spark: SparkSession, files: list[str], names: list[str], multi_line: bool) -> DataFrame:
     fields = [f"c{i}" for i in range(len(names))] + [_OVERFLOW]
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    raw = spark.read.schema(schema).csv(
-        path, header=True, enforceSchema=True, mode="PERMISSIVE", multiLine=multi_line
+    raw = spark.read.schema(schema).options(**CSV_FORMAT).csv(
+        files, header=True, enforceSchema=True, mode="PERMISSIVE", multiLine=multi_line
     )
     # Checked where the first cell is read, in the same pass as everything else.
     width_ok = F.when(
@@ -62,11 +96,11 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> D
 
 
 def load_csv(
-    spark: SparkSession, path: str, multi_line: bool = False
+    spark: SparkSession, path: str, multi_line: bool = True, key: str | None = None
 ) -> tuple[DataFrame, list[ColumnProfile]]:
-    """Read, type and coerce a CSV file or folder."""
+    """Read, type and coerce a CSV file or folder; ``key`` is passed through as text."""
     try:
-        return load_table(read_csv_text(spark, path, multi_line))
+        return load_table(read_csv_text(spark, path, multi_line), key)
     except AnalysisError:
         raise
     except Exception as problem:
@@ -76,8 +110,8 @@ def load_csv(
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """One headed CSV file per partition; missing cells are empty."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """One headed CSV file per partition; missing cells are empty, quotes are doubled."""
+    df.write.mode(mode).options(**CSV_FORMAT).option("header", True).csv(path)
 
 
 def column_names(columns: Iterable) -> list[str]:

@@ -10,24 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from leverscope.functions.scalars import quoted
-from leverscope.operators.profile import NUMERIC, ColumnProfile
-from leverscope.functions.scalars import parse_boolean, parse_number
+from leverscope.functions.scalars import NA_TOKENS, quoted
+from leverscope.operators.profile import NUMERIC, ColumnProfile, coerced_cell
 from leverscope.operators.scorers import Scorer, batch_score
 from leverscope.session import checkpoint_dir
 
 
 def type_feed(raw: DataFrame, columns: list[ColumnProfile], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Text cells to the types a registered table already has; a new stream decides nothing."""
+    """Text cells to the types a registered table already has; a new stream decides nothing.
+
+    A missing-cell word is NULL and a cell is read as its column's profile says, as in a batch.
+    """
     cells = []
     for c in columns:
-        value = quoted(c.name)
-        if c.type == NUMERIC:
-            text = value.cast("string")
-            value = F.coalesce(parse_number(text), parse_boolean(text))
-        else:
-            value = value.cast("string")
-        cells.append(value.alias(c.name))
+        text = quoted(c.name).cast("string")
+        present = F.when(~text.isin(*NA_TOKENS), text)
+        encoding = c.encoding or ("number" if c.type == NUMERIC else "none")
+        cells.append(coerced_cell(present, "text", c.type, encoding).alias(c.name))
     return raw.select(*keep, *cells)
 
 
@@ -36,7 +35,10 @@ def score_feed(typed: DataFrame, scorer: Scorer, class_index: int | None = None)
 
 
 def store_feed(scored: DataFrame, path: str, name: str) -> DataStreamWriter:
-    """A Parquet sink; its file log makes a repeated batch harmless."""
+    """A Parquet sink; its file log makes a repeated batch harmless.
+
+    A restart finds its place only in a folder that outlives the process: set spark.checkpoint.dir.
+    """
     folder = checkpoint_dir(scored.sparkSession)
     return (
         scored.writeStream.queryName(name)

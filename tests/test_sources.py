@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from leverscope.errors import AnalysisError
 from leverscope.operators import profile
 from leverscope.sources.synthetic import generate_process_quality, write_sample
-from leverscope.sources.tables import load_csv, load_json_table
+from leverscope.sources.tables import load_csv, load_json_table, write_csv
 
 
 def raises(code, call):
@@ -116,19 +116,51 @@ def test_json_errors(spark):
 
 def test_unnamed_empty_columns_go_named_ones_stay(spark):
     df = spark.createDataFrame(
-        [(1.0, 10.0, None, None, None), (2.0, 11.0, None, None, None)],
-        "Temperature double, Quality double, `Unnamed: 3` string, `Unnamed: 4` string, EmptyNamed string",
+        [(None, 4.5, "u", None), (None, 6.5, "v", None)], "`Unnamed: 0` string, depth double, kind string, remark string"
     )
     out, columns = profile.load_table(df)
-    assert out.columns == ["Temperature", "Quality", "EmptyNamed"]
-    assert {c.name: c.type for c in columns}["EmptyNamed"] == "categorical"
+    assert out.columns == ["depth", "kind", "remark"]
+    assert {c.name: c.type for c in columns}["remark"] == "categorical"
 
 
 def test_nulls_and_nan_are_one_notion(spark):
-    df = spark.createDataFrame([("L1", 1.0), (None, float("nan")), ("L2", 3.0)], "Line string, y double")
+    df = spark.createDataFrame([(float("nan"), None), (4.0, "p"), (None, "q"), (5.0, None)], "depth double, kind string")
     out, columns = profile.load_table(df)
-    assert [c.missing_count for c in columns] == [1, 1]
-    assert out.where("Line IS NULL AND y IS NULL").count() == 1
+    assert [c.missing_count for c in columns] == [2, 2]
+    assert out.where("depth IS NULL AND kind IS NULL").count() == 1
+
+
+def test_standard_csv(spark, tmp_path):
+    path = csv(tmp_path, 'note,n\n"say ""hi"", ok",1\n"C:\\dir\\",2\n"two\nlines",3\nplain,4\n')
+    df, _ = load_csv(spark, path)
+    assert [tuple(r) for r in df.orderBy("n").collect()] == [('say "hi", ok', 1.0), ("C:\\dir\\", 2.0), ("two\nlines", 3.0), ("plain", 4.0)]
+
+
+def test_written_csv_is_read_by_others(spark, tmp_path):
+    import duckdb
+
+    rows = [('a "b", c', 1.5), ("back\\slash", 2.5), ("line\nbreak", None), (None, 3.5), (",", 4.5)]
+    write_csv(spark.createDataFrame(rows, "note string, n double").coalesce(1), str(tmp_path / "out"))
+    found = duckdb.connect().execute(f"SELECT note, n FROM read_csv('{tmp_path}/out/*.csv', header = true, quote = '\"', escape = '\"')").fetchall()
+    assert sorted(found, key=str) == sorted(rows, key=str)
+
+
+def test_folders_are_read_by_column_name(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,2\n")
+    (folder / "2.csv").write_text("b,a\n20,10\n")
+    df, _ = load_csv(spark, str(folder))
+    assert sorted(tuple(r) for r in df.select("a", "b").collect()) == [(1.0, 2.0), (10.0, 20.0)]
+    (folder / "3.csv").write_text("a,c\n1,2\n")
+    raises("invalidCsv", lambda: load_csv(spark, str(folder)))
+
+
+def test_keys_keep_their_digits(spark, tmp_path):
+    df, columns = load_csv(spark, csv(tmp_path, "k,v\n9007199254740992,1\n9007199254740993,2\n"), key="k")
+    assert [r["k"] for r in df.orderBy("v").collect()] == ["9007199254740992", "9007199254740993"]
+    assert [c.name for c in columns] == ["v"]
+    raises("invalidColumns", lambda: profile.load_table(df, key="absent"))
 
 
 def test_typed_columns(spark):
@@ -147,10 +179,10 @@ def test_column_names_with_dots(spark):
 
 
 def test_target_checks(spark):
-    df, _ = load_json_table(spark, ["Temperature", "Quality"], [[1, None], [3, None]])
-    raises("missingTarget", lambda: profile.validate_target(df, "Missing"))
+    df, _ = load_json_table(spark, ["depth", "out"], [[8, None], {"depth": 9}, []])
+    raises("missingTarget", lambda: profile.validate_target(df, "absent"))
     raises("missingTarget", lambda: profile.validate_target(df, ""))
-    raises("emptyTarget", lambda: profile.validate_target(df, "Quality"))
+    raises("emptyTarget", lambda: profile.validate_target(df, "out"))
 
 
 def test_overview_names_target_and_gaps(spark):
