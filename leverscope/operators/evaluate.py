@@ -168,17 +168,22 @@ def class_metrics(counts: DataFrame) -> DataFrame:
 
 
 def f1_scores(counts: DataFrame) -> DataFrame:
-    """F1 of class index 1 (two classes) or the mean over the classes present."""
+    """of class index 1 when two classes are present, else the mean over the classes seen.
+
+    Two present classes make it a two-class score, which has no value (NULL) when a third class
+    is predicted or class 1 is not among them.
+    """
     f1 = _or_zero(2 * F.col("hits"), F.col("support") + F.col("predicted"))
     seen = (F.col("support") > 0) | (F.col("predicted") > 0)
+    two_class = (F.col("classes_seen") == 2) & F.col("one_seen")
     return counts.agg(
         F.max(F.when(F.col("class_index") == 1, f1)).alias("f1_positive"),
         F.avg(F.when(seen, f1)).alias("f1_macro"),
-        F.count_if(F.col("support") > 0).cast("int").alias("classes_present"),
+        F.count_if(F.col("support") > 0).alias("classes_present"),
+        F.count_if(seen).alias("classes_seen"),
+        F.bool_or(seen & (F.col("class_index") == 1)).alias("one_seen"),
     ).select(
-        F.when(F.col("classes_present") == 2, F.col("f1_positive"))
-        .otherwise(F.col("f1_macro"))
-        .alias("f1"),
+        F.when(F.col("classes_present") != 2, F.col("f1_macro")).when(two_class, F.col("f1_positive")).alias("f1"),
         "f1_positive",
         "f1_macro",
     )

@@ -54,9 +54,15 @@ def dependence_insight(
     target: str,
     class_label: str | None = None,
 ) -> DataFrame:
-    """One sentence per curve (needs feature, feature_type, direction, steepest_from/to)."""
+    """One sentence per curve (needs feature, feature_type, direction, steepest_from/to).
+
+    Levels have no order, so the curve of a categorical input has no slope, direction or
+    steepest part, whatever was measured over its level numbers.
+    """
     name = F.col("feature")
     numeric = F.col("feature_type") == "numeric"
+    ordered = [c for c in ("slope", "direction", "steepest_from", "steepest_to") if c in described.columns]
+    described = described.withColumns({c: F.when(numeric, F.col(c)) for c in ordered})
     start, end = fixed(F.col("steepest_from"), 3), fixed(F.col("steepest_to"), 3)
     if class_label is None:
         code = F.when(numeric, "dependenceNumeric").otherwise("dependenceCategorical")

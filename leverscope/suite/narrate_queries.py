@@ -110,8 +110,8 @@ SELECT feature, 'dependenceNumeric' AS code,
 UNION ALL
 SELECT feature, 'dependenceClassProbability', 'Average chance of NG as ' || feature || ' alone varies.',
        direction, 'NG' FROM described
-UNION ALL SELECT 'flag', 'dependenceCategorical', 'Average predicted yield for each value of flag.', 'up', NULL
-UNION ALL SELECT 'flag', 'dependenceCategorical', 'Average chance of NG as flag alone varies.', 'up', 'NG'"""
+UNION ALL SELECT 'flag', 'dependenceCategorical', 'Average predicted yield for each value of flag.', 'flat', NULL
+UNION ALL SELECT 'flag', 'dependenceCategorical', 'Average chance of NG as flag alone varies.', 'flat', 'NG'"""
 
 # Stored ranks as an importance table would hold them; ``site`` has none.
 STORED_RANKS = (("total_k", 2), ("month", 3), ("priority", 1))

@@ -54,6 +54,20 @@ def test_confusion_keeps_empty_cells(spark):
     assert f1["f1_macro"] == pytest.approx((2 / 3 + 0.8) / 2)
 
 
+@pytest.mark.parametrize(
+    "rows, expected",
+    [
+        ([(0.0, 0.0), (2.0, 2.0), (2.0, 0.0)], None),  # two of three classes, not class 1
+        ([(0.0, 0.0), (1.0, 1.0), (1.0, 2.0)], None),  # a third class is predicted
+        ([(0.0, 0.0), (1.0, 1.0), (1.0, 0.0)], 2 / 3),
+        ([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], 1.0),
+    ],
+)
+def test_two_present_classes_are_a_two_class_score(spark, rows, expected):
+    counts = evaluate.class_counts(evaluate.confusion_matrix(scored(spark, rows), ["A", "B", "C"]))
+    assert evaluate.f1_scores(counts).first()["f1"] == (None if expected is None else pytest.approx(expected))
+
+
 def test_rows_in_both_splits_count_twice(spark):
     df = scored(spark, [(1.0, 1.0), (2.0, 1.0)]).withColumn("split", F.lit("both"))
     found = {r["split"]: r["accuracy"] for r in evaluate.accuracy(evaluate.both_splits(df), ("split",)).collect()}

@@ -47,7 +47,9 @@ def test_dependence(models):
     assert by_class["code"] == "dependenceClassProbability" and by_class["args"]["classLabel"] == "NG"
     levels = explain.dependence(models["y"], "line")
     assert [r["x_label"] for r in levels.curve.orderBy("grid_id").collect()] == ["L1", "L2"]
-    assert levels.insight.first()["code"] == "dependenceCategorical"
+    told = levels.insight.first()
+    assert (told["code"], told["direction"], told["slope"], told["steepest_from"]) == ("dependenceCategorical", None, None, None)
+    assert told["args"]["direction"] == "flat"
     with pytest.raises(AnalysisError, match="unknownFeature"):
         explain.dependence(models["y"], "LotNo")
 
