@@ -5,16 +5,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leverscope.errors import AnalysisError
 from leverscope.functions.hashing import HASH_DIGITS, hash_long
 from leverscope.functions.scalars import nan_to_null
+from leverscope.operators.joins import BROADCAST_ROWS
 from leverscope.operators.order import exact_medians, order_statistics
 from leverscope.functions.scalars import quoted
-from leverscope.operators.profile import validate_target
+from leverscope.operators.profile import BOOLEAN_MARK, validate_target
 
 # The rule for text columns that identify rather than describe.
 MOST_LEVELS = 50
@@ -30,8 +31,6 @@ TEST_SHARE = 0.25
 # sketch is above this mark therefore has more than 50 levels for certain.
 SKETCH_MARK = 100
 
-MOST_CLASSES = 1000
-
 
 @dataclass(frozen=True)
 class Features:
@@ -184,33 +183,29 @@ def usable_rows(df: DataFrame, target: str, task: Task) -> DataFrame:
 
 
 def label_text(df: DataFrame, target: str) -> Column:
-    """The target as class label; a whole number is written without decimals."""
+    """The target as class label: a whole number without decimals, a boolean as True or False."""
     value = quoted(target)
     text = value.cast("string")
+    field = df.schema[target]
+    if isinstance(field.dataType, T.BooleanType) or field.metadata == BOOLEAN_MARK:
+        return F.when(value.cast("double") == 1.0, "True").when(value.isNotNull(), "False")
     if isinstance(df.schema[target].dataType, (T.FloatType, T.DoubleType)):
         whole = (value == F.floor(value)) & (F.abs(value) < F.lit(1e15))
         return F.when(whole, value.cast("long").cast("string")).otherwise(text)
     return text
 
 
-def class_labels(df: DataFrame, target: str, most: int = MOST_CLASSES) -> list[str]:
-    """Sorted distinct target texts; refuses a target that is no set of classes."""
-    rows = (
-        df.select(label_text(df, target).alias("label"))
-        .where(F.col("label").isNotNull())
-        .distinct()
-        .limit(most + 1)
-        .collect()
-    )
-    if len(rows) > most:
-        raise AnalysisError("tooManyClasses", f"'{target}' has more than {most} values.")
+def class_labels(df: DataFrame, target: str) -> list[str]:
+    """Sorted distinct target texts. They are part of a fitted model, so they are kept on the driver."""
+    rows = df.select(label_text(df, target).alias("label")).where(F.col("label").isNotNull()).distinct().collect()
     return sorted(r["label"] for r in rows)
 
 
-def encode_label(label: Column, classes: list[str]) -> Column:
-    """Class index as double: the label's place in the sorted classes."""
-    places = F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (c, float(i))])
-    return F.element_at(places, label)
+def encode_labels(df: DataFrame, label: str, classes: list[str], name: str) -> DataFrame:
+    """Add the class index as double: the label's place in the sorted classes, NULL for an unknown label."""
+    places = df.sparkSession.createDataFrame(list(zip(classes, map(float, range(len(classes))))), f"`{label}` string, `{name}` double")
+    small = len(classes) <= BROADCAST_ROWS
+    return df.join(F.broadcast(places) if small else places, label, "left")
 
 
 @dataclass(frozen=True)
@@ -241,20 +236,6 @@ def fill_values(df: DataFrame, features: Features) -> Fill:
     return Fill(medians, modes)
 
 
-def fill_missing(df: DataFrame, fill: Fill) -> DataFrame:
-    return df.withColumns({c: fill.column(c) for c in (*fill.numeric, *fill.categorical)})
-
-
-def one_hot(df: DataFrame, column: str, levels: list[str], prefix: str) -> DataFrame:
-    """One 0/1 column per level; an unknown or missing value has none set."""
-    return df.withColumns(
-        {
-            f"{prefix}_{level}": F.coalesce((quoted(column) == level).cast("int"), F.lit(0))
-            for level in levels
-        }
-    )
-
-
 def _cut(
     df: DataFrame, key: str, wanted: dict[str, int], rows: dict[str, int]
 ) -> dict[str, tuple[int, object]]:
@@ -283,6 +264,35 @@ def _cut(
     return cuts
 
 
+# Leading bits of the split hash that one bucket of a class shares.
+CUT_BITS = 12
+
+
+def _class_cuts(hashed: DataFrame, key: str, stratify: str, wanted: list[tuple]) -> DataFrame:
+    """(cut_class, cut_hash, cut_key): per class the last row that is held out.
+
+    Two passes for any number of classes: rows per class and leading hash bits give the bucket
+    that holds the last row, then the rows of these buckets alone, a 4,096th of a class, are ordered.
+    """
+    field = hashed.schema[stratify]
+    asked = hashed.sparkSession.createDataFrame(
+        wanted, T.StructType([T.StructField("cut_class", field.dataType), T.StructField("wanted", T.LongType())])
+    )
+    asked = F.broadcast(asked) if len(wanted) <= BROADCAST_ROWS else asked
+    bucket = F.shiftright(SPLIT_HASH, 4 * HASH_DIGITS - CUT_BITS).alias("bucket")
+    counts = hashed.groupBy(F.col(stratify).alias("of_class"), bucket).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("of_class").orderBy("bucket"))
+    reached = counts.withColumn("upto", upto).join(asked, F.col("of_class").eqNullSafe(F.col("cut_class")))
+    last = reached.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted"))).select(
+        "cut_class", "bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("left")
+    )
+    last = F.broadcast(last) if len(wanted) <= BROADCAST_ROWS else last
+    rows = hashed.select(F.col(stratify).alias("of_class"), F.col(key).alias("cut_key"), F.col(SPLIT_HASH).alias("cut_hash"), bucket)
+    near = rows.join(last, F.col("of_class").eqNullSafe(F.col("cut_class")) & (rows["bucket"] == last["bucket"]))
+    place = F.row_number().over(Window.partitionBy("cut_class").orderBy("cut_hash", "cut_key"))
+    return near.withColumn("place", place).where(F.col("place") == F.col("left")).select("cut_class", "cut_hash", "cut_key")
+
+
 def _before(hash_column: Column, key: Column, cut: tuple[int, object]) -> Column:
     mark, last = cut
     if last is None:
@@ -333,29 +343,16 @@ def holdout_split(
         cut = _cut(narrow, key, wanted, {SPLIT_HASH: total})[SPLIT_HASH]
         is_test = _before(F.col(SPLIT_HASH), F.col(key), cut)
     else:
-        counted = (
-            hashed.groupBy(stratify).count().orderBy(stratify).limit(MOST_CLASSES + 1).collect()
-        )
-        if len(counted) > MOST_CLASSES:
-            raise AnalysisError("tooManyClasses", f"'{stratify}' is no set of classes.")
+        counted = hashed.groupBy(stratify).count().orderBy(stratify).collect()  # a row per class
         rows = [r["count"] for r in counted]
         if sum(rows) < SPLIT_ROWS or min(rows) < 2:
             return holdout_split(hashed, key, seed, share)
-        labels = [r[stratify] for r in counted]
-        narrow = hashed.select(
-            key,
-            *[
-                F.when(F.col(stratify).eqNullSafe(F.lit(v)), F.col(SPLIT_HASH)).alias(f"s{i}")
-                for i, v in enumerate(labels)
-            ],
-        )
-        wanted = {f"s{i}": n for i, n in enumerate(holdout_allocation(rows, share))}
-        cuts = _cut(narrow, key, wanted, {f"s{i}": n for i, n in enumerate(rows)})
-        is_test = F.lit(False)
-        for i, v in enumerate(labels):
-            if f"s{i}" in cuts:
-                is_test = is_test | (
-                    F.col(stratify).eqNullSafe(F.lit(v))
-                    & _before(F.col(SPLIT_HASH), F.col(key), cuts[f"s{i}"])
-                )
+        wanted = [(r[stratify], n) for r, n in zip(counted, holdout_allocation(rows, share)) if n > 0]
+        cuts = _class_cuts(hashed, key, stratify, wanted)
+        same = hashed[stratify].eqNullSafe(cuts["cut_class"])
+        joined = hashed.join(F.broadcast(cuts) if len(wanted) <= BROADCAST_ROWS else cuts, same, "left")
+        mark, here = F.col("cut_hash"), F.col(SPLIT_HASH)
+        is_test = (here < mark) | ((here == mark) & (F.col(key) <= F.col("cut_key")))
+        hashed = joined.withColumn("is_test", F.coalesce(is_test, F.lit(False))).select(*hashed.columns, "is_test")
+        return hashed.withColumn("split", F.when(F.col("is_test"), "test").otherwise("train")).drop(SPLIT_HASH, "is_test")
     return hashed.withColumn("split", F.when(is_test, "test").otherwise("train")).drop(SPLIT_HASH)

@@ -14,7 +14,7 @@ from leverscope.operators import whatif as scenarios_
 from leverscope.operators.importance import class_push
 from leverscope.operators.prepare import fill_values
 from leverscope.operators.scorers import pick_class, response
-from leverscope.plans.train import FittedModel
+from leverscope.plans.train import FittedModel, model_metrics
 
 
 def _held(df: DataFrame) -> DataFrame:
@@ -43,10 +43,13 @@ def drivers(model: FittedModel, top: int | None = None, ranked: DataFrame | None
             [(i, c, leader, "flat") for i, c in enumerate(labels)],
             "class_index int, label string, feature string, direction string",
         )
+    stored = model.spec.metrics.get("classMetrics")
+    if stored is None:  # fitted without metrics
+        stored = model_metrics(model.scored(), model.spec.task, labels)["classMetrics"]
     metrics = spark.createDataFrame(
         [
             (i, m["label"], m["support"], m["supportPct"], m["precision"], m["recall"])
-            for i, m in enumerate(model.spec.metrics["classMetrics"])
+            for i, m in enumerate(stored)
         ],
         "class_index int, label string, support long, support_pct double, precision_pct double,"
         " recall_pct double",
@@ -90,6 +93,8 @@ def whatif(model: FittedModel, scenarios: DataFrame, ranked: DataFrame | None =
     edits = dict(scenarios.dtypes).get("edits")
     if edits != "map<string,string>":
         raise AnalysisError("invalidEdits", "edits must be a text map of input to value.")
+    if not scenarios.groupBy("scenario_id").count().where("count > 1").isEmpty():
+        raise AnalysisError("duplicateScenarios", "Every scenario needs a scenario_id of its own.")
     features = spec.features
     rows = scenarios_.scenario_rows(scenarios, model.frame, features, spec.key)
     # Standard values are those of all usable rows, not only the training ones.

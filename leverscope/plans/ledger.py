@@ -162,8 +162,10 @@ class Ledger:
         schema = T.StructType.fromDDL(SCHEMAS[name])
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:  # nothing was appended yet
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # nothing was appended yet
 
     def append(self, name: str, rows: DataFrame) -> None:
         wanted = T.StructType.fromDDL(SCHEMAS[name])

@@ -6,6 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from leverscope.operators.prepare import (
     Task,
     choose_features,
     class_labels,
-    encode_label,
+    encode_labels,
     fill_values,
     holdout_split,
     label_text,
@@ -32,8 +33,10 @@ from leverscope.operators.prepare import (
 from leverscope.functions.scalars import quoted
 from leverscope.operators.scorers import PipelineScorer, check_reserved
 
-# A learner pass over fewer rows than this is not worth another task.
+# Learners seed their draws per partition, so the partitions of the training rows must follow from
+# the rows alone: their number from the row count, their contents and order from the key.
 ROWS_PER_TASK = 20_000
+MOST_TASKS = 8192
 
 
 @dataclass(frozen=True)
@@ -96,12 +99,13 @@ def model_frame(
     kind = resolve_task(present, target, task)
     usable = usable_rows(df, target, kind)
     classes = None
+    inputs = [quoted(c) for c in features.names]
     if kind.is_classification:
         classes = class_labels(usable, target)
-        actual = encode_label(label_text(usable, target), classes)
+        labelled = usable.select(quoted(key), *inputs, label_text(usable, target).alias("class_label"))
+        frame = encode_labels(labelled, "class_label", classes, "actual").select(quoted(key), *inputs, "actual")
     else:
-        actual = quoted(target).try_cast("double")
-    frame = usable.select(key, *[quoted(c) for c in features.names], actual.alias("actual"))
+        frame = usable.select(quoted(key), *inputs, quoted(target).try_cast("double").alias("actual"))
     frame = with_split_hash(frame, key, seed)
     # Kept because everything from here on reads it: the split, the fill values, the
     # learner's set-up, the metrics and the explanations.
@@ -131,9 +135,8 @@ def fit_model(
     frame = holdout_split(frame, key, seed, stratify=stratify)
     train = frame.where(F.col("split") != "test")
     fill = fill_values(train, features)
-    # The learner runs many short jobs: few tasks for few rows. ``coalesce`` never adds
-    # any, so a large table keeps its own.
-    train = train.coalesce(max(1, rows // ROWS_PER_TASK))
+    tasks = min(MOST_TASKS, -(-rows // ROWS_PER_TASK))
+    train = train.repartition(tasks, quoted(key)).sortWithinPartitions(quoted(key))
     pipeline = fit_pipeline(train, features, fill, algorithm, kind, settings.for_rows(rows))
     scorer = PipelineScorer(pipeline, classes)
     metrics = {
@@ -186,28 +189,23 @@ def _metrics(sides: DataFrame, task: Task, classes: list[str] | None) -> dict:
         }
     hits = {r["split"]: r["accuracy"] for r in evaluate.accuracy(sides, ("split",)).collect()}
     test = sides.where(F.col("split") == "test")
-    # k * k cells: small enough to hold and to read three ways.
-    cells = evaluate.confusion_matrix(test, classes).collect()
-    matrix = sides.sparkSession.createDataFrame(
-        cells,
-        "actual_index int, predicted_index int, actual_label string, predicted_label string, rows long",
-    )
+    matrix = evaluate.confusion_matrix(test, classes).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = matrix.where("rows > 0").collect()  # what was seen, not k * k cells
     counts = evaluate.class_counts(matrix)
     details = evaluate.class_metrics(counts).orderBy("class_index").collect()
     auc = None
     if task.kind == "binary":
         auc = evaluate.roc_auc(test, F.element_at("probability", 2)).first()["auc"]
-    table = [[0] * len(classes) for _ in classes]
-    for c in cells:
-        table[c["actual_index"]][c["predicted_index"]] = c["rows"]
+    f1 = evaluate.f1_scores(counts).first()["f1"]
+    matrix.unpersist()
     return none | {
         "task": "classification",
         "accuracy": hits["test"],
         "trainAccuracy": hits["train"],
         "auc": auc,
-        "f1": evaluate.f1_scores(counts).first()["f1"],
+        "f1": f1,
         "classes": classes,
-        "confusion": {"labels": classes, "matrix": table},
+        "confusion": {"labels": classes, "cells": [[c["actual_index"], c["predicted_index"], c["rows"]] for c in cells]},
         "classMetrics": [
             {
                 "label": r["label"],
@@ -222,19 +220,28 @@ def _metrics(sides: DataFrame, task: Task, classes: list[str] | None) -> dict:
 
 
 def save_model(model: FittedModel, path: str) -> None:
-    """Stages in Spark ML's own format, the description as one JSON line."""
+    """Stages in Spark ML's own format, the description as one JSON line, the model frame as Parquet."""
     spark = SparkSession.active()
     model.scorer.pipeline.write().overwrite().save(f"{path}/stages")
     line = json.dumps(asdict(model.spec), ensure_ascii=False)
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{path}/spec"
     )
+    if model.frame is not None:
+        model.frame.write.mode("overwrite").parquet(f"{path}/frame")
 
 
 def load_model(spark: SparkSession, path: str, frame: DataFrame | None = None) -> FittedModel:
+    """A saved model; its own frame comes back with it, so that everything can be explained again."""
     try:
         spec = ModelSpec(**json.loads(spark.read.text(f"{path}/spec").first()["value"]))
         pipeline = PipelineModel.load(f"{path}/stages")
     except Exception as problem:  # whatever the storage or the format raises
         raise AnalysisError("badArtifact", f"No readable model at {path}.") from problem
+    if frame is None:
+        try:
+            frame = spark.read.parquet(f"{path}/frame")
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
     return FittedModel(spec, PipelineScorer(pipeline, spec.classes), frame)

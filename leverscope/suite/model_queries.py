@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from leverscope.operators import dependence, whatif
 from leverscope.operators.importance import explain_importance
-from leverscope.operators.learners import LearnerSettings
 from leverscope.operators.narrate import importance_insights
 from leverscope.operators.profile import load_table
 from leverscope.operators.scorers import pick_class, response
@@ -22,21 +21,13 @@ from leverscope.suite.frames import (
 )
 from leverscope.suite.profile_queries import scratch
 
-# Fewer trees than the library's default, so that a run of all queries stays short.
-BOOSTING = LearnerSettings(trees=10)
-FOREST = LearnerSettings(trees=10, forest_depth=6)
-
 
 def order_table(spark, sf_dir, target):
     return orders(spark, sf_dir).select("row_key", *ORDER_FEATURES.names, target)
 
 
 def fit(spark, sf_dir, target, algorithm="gbr", task="auto", with_metrics=False):
-    settings = FOREST if algorithm == "rf" else BOOSTING
-    return fit_model(
-        order_table(spark, sf_dir, target), target, algorithm, task,
-        settings=settings, with_metrics=with_metrics,
-    )
+    return fit_model(order_table(spark, sf_dir, target), target, algorithm, task, with_metrics=with_metrics)
 
 
 def _regression(model):
@@ -85,7 +76,7 @@ def labelled_documents(spark, sf_dir):
 def fit_rf_documents(spark, sf_dir):
     """A two-class target the data brings along: document quality."""
     df = labelled_documents(spark, sf_dir)
-    return _classification(fit_model(df, "grade", "rf", settings=FOREST, with_metrics=False))
+    return _classification(fit_model(df, "grade", "rf", with_metrics=False))
 
 
 def model_metrics(spark, sf_dir):
@@ -154,7 +145,7 @@ ROUNDTRIP_SQL = "SELECT o_orderkey AS row_key, true AS same_after_loading FROM o
 
 def permutation_importance_gbt(spark, sf_dir):
     model = fit(spark, sf_dir, "outcome")
-    return model.importance(repeats=4)
+    return model.importance()
 
 
 def pdp_gbt(spark, sf_dir):
@@ -192,8 +183,8 @@ def flagship(spark, sf_dir):
         },
     )
     typed, _ = load_table(raw)
-    model = fit_model(typed, "revenue", settings=BOOSTING, with_metrics=False)
-    ranked = explain_importance(model.frame, model.spec.features, model.scorer, repeats=4)
+    model = fit_model(typed, "revenue", with_metrics=False)
+    ranked = explain_importance(model.frame, model.spec.features, model.scorer)
     return importance_insights(ranked, "revenue")
 
 

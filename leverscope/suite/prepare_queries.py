@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from leverscope.operators import prepare
+from leverscope.operators.learners import preparation_stages
 from leverscope.operators.profile import load_table
 from leverscope.suite.frames import (
     LINE_FEATURES,
@@ -115,10 +118,8 @@ UNION ALL SELECT 'multiclass', row_key FROM raw WHERE amount IS NOT NULL
 def label_encode(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
     classes = prepare.class_labels(df, "o_orderpriority")
-    return df.select(
-        "o_orderkey",
-        "o_orderpriority",
-        prepare.encode_label(F.col("o_orderpriority"), classes).alias("label_index"),
+    return prepare.encode_labels(df, "o_orderpriority", classes, "label_index").select(
+        "o_orderkey", "o_orderpriority", "label_index"
     )
 
 
@@ -179,15 +180,19 @@ MODE_SQL = " UNION ALL ".join(
 
 
 def one_hot(spark, sf_dir):
+    """The flags as the learners get them, from the fitted preparation stages."""
     df = lines(spark, sf_dir)
-    # 'X' is a level the data does not have; missing flags have no 1 at all.
-    return prepare.one_hot(df, "flag", ["A", "N", "R", "X"], "flag").select(
-        "row_key", "flag_A", "flag_N", "flag_R", "flag_X"
-    )
+    features = prepare.Features((), ("flag",))
+    # Fitted on two of the levels: the third is unknown and has no 1, as missing flags have none.
+    known = df.where("flag IN ('A', 'N')")
+    stages = preparation_stages(features, prepare.Fill({}, {"flag": None}))
+    ready = Pipeline(stages=stages).fit(known).transform(df)
+    flags = vector_to_array("inputs")
+    return ready.select("row_key", *[flags[i].cast("int").alias(f"flag_{v}") for i, v in enumerate("AN")])
 
 
 ONE_HOT_SQL = "SELECT row_key, {} FROM ({})".format(
-    ", ".join(f"CASE WHEN flag = '{v}' THEN 1 ELSE 0 END AS flag_{v}" for v in "ANRX"), LINES_SQL
+    ", ".join(f"CASE WHEN flag = '{v}' THEN 1 ELSE 0 END AS flag_{v}" for v in "AN"), LINES_SQL
 )
 
 

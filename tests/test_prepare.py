@@ -67,8 +67,24 @@ def test_features_keep_constant_numbers(spark):
 def test_class_labels(spark):
     assert prepare.class_labels(column(spark, [1.0, 0.0, None], "double"), "t") == ["0", "1"]
     assert prepare.class_labels(column(spark, [0.5, 2.0], "double"), "t") == ["0.5", "2"]
-    many = spark.range(30).select(F.col("id").cast("string").alias("t"))
-    raises("tooManyClasses", lambda: prepare.class_labels(many, "t", most=20))
+    many = spark.range(2400).select(F.format_string("%04d", F.col("id") % 1200).alias("t"))
+    classes = prepare.class_labels(many, "t")
+    assert len(classes) == 1200
+    found = prepare.encode_labels(many, "t", classes, "i").where("cast(t AS double) = i").count()
+    assert found == 2400
+    words = spark.createDataFrame([(True,), (False,), (None,)], "t boolean")
+    assert prepare.class_labels(words, "t") == ["False", "True"]
+
+
+def test_split_takes_two_passes_for_any_number_of_classes(spark):
+    df = spark.range(9000).select(F.col("id").alias("k"), (F.col("id") % 1500).cast("string").alias("g"), (F.col("id") % 3).alias("h"))
+    found = prepare.holdout_split(df, "k", stratify="g")
+    rows = {r["split"]: r["n"] for r in found.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert rows == {"test": 2250, "train": 6750}
+    per_class = found.where("split = 'test'").groupBy("g").count().agg(F.min("count"), F.max("count")).first()
+    assert tuple(per_class) == (1, 2)
+    scans = [prepare.holdout_split(df, "k", stratify=c)._jdf.queryExecution().optimizedPlan().toString().count("Range (") for c in ("g", "h")]
+    assert scans[0] == scans[1] <= 3
 
 
 def split_of(df, **options):
@@ -118,4 +134,3 @@ def test_fill_values(spark):
     df = spark.createDataFrame(rows, "x double, c string")
     fill = prepare.fill_values(df, prepare.Features(("x",), ("c",)))
     assert fill == prepare.Fill({"x": 2.5}, {"c": "a"})  # tie: the smaller level
-    assert prepare.fill_missing(df, fill).where("x = 2.5 AND c = 'a'").count() == 1
