@@ -25,7 +25,8 @@ SMALL_ROWS = 40
 class LearnerSettings:
     """Tree counts and depths.
 
-    ``forest_depth`` is bounded because Spark's trees are (30 at most).
+    ``forest_depth`` is bounded because Spark's trees are (30 at most). Without
+    ``bootstrap`` every tree of a forest sees each row once.
     """
 
     trees: int = 80
@@ -36,6 +37,7 @@ class LearnerSettings:
     bins: int = 32
     seed: int = 42
     parallel_classes: int = 4
+    bootstrap: bool = True
 
     def for_rows(self, rows: int) -> LearnerSettings:
         if rows >= SMALL_ROWS:
@@ -106,6 +108,7 @@ def learner(algorithm: str, task: Task, settings: LearnerSettings) -> Estimator:
             "numTrees": settings.trees,
             "maxDepth": settings.forest_depth,
             "minInstancesPerNode": settings.least_leaf,
+            "bootstrap": settings.bootstrap,
         }
         if task.is_classification:
             return RandomForestClassifier(featureSubsetStrategy="sqrt", **forest, **common)
