@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -23,13 +24,18 @@ from leverscope.functions.scalars import quoted
 
 # A narrowed range holding at most this many values is finished by sorting it.
 FINISH_BELOW = 50_000
-SKETCH_ACCURACY = 10_000
+# Size of a quantile sketch, and the share of the rows by which it may misplace a rank.
+SKETCH_SIZE, SKETCH_ERROR = 4096, 0.0015
+EDGE_SKETCH_SIZE = 16_384
+# Sketches are merged in so many groups of tasks first, then these few: no task meets one
+# sketch of every other task.
+SKETCH_GROUPS = 256
 SEARCHES_PER_PASS = 24
 # A task holds one sketch per column of a pass.
 COLUMNS_PER_PASS = 50
 # Largest part of a range that lies between the outer two of three sketched pivots:
-# their distance (4 / accuracy) and the sketch's own error at both.
-PIVOT_GAP = 6.0 / SKETCH_ACCURACY
+# their distance and the sketch's own error at both.
+PIVOT_GAP = 4 * SKETCH_ERROR
 MOST_BUCKETS = 4096
 
 
@@ -75,17 +81,50 @@ def _finish(df: DataFrame, searches: list[_Search]) -> None:
         s.low = s.high = row[i]
 
 
+def _sketched_quantiles(
+    df: DataFrame,
+    values: list[tuple[Column, str, list[float]]],
+    size: int = SKETCH_SIZE,
+    extra: list[tuple[Column, Callable[[str], Column]]] = (),
+) -> list:
+    """Approximate quantiles of several (value, type name, probabilities) in one pass, None without a value.
+
+    Sketches are merged by groups of tasks, then across the groups. ``extra`` are aggregates of the same
+    pass: how a group makes one and how groups are joined. Their values follow the quantiles.
+    """
+    kinds = ["bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "double" for _, kind, _ in values]
+    sketch = {"bigint": F.kll_sketch_agg_bigint, "double": F.kll_sketch_agg_double}
+    merge = {"bigint": F.kll_merge_agg_bigint, "double": F.kll_merge_agg_double}
+    read = {"bigint": F.kll_sketch_get_quantile_bigint, "double": F.kll_sketch_get_quantile_double}
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("sketch_group")
+    parts = [
+        part
+        for i, ((value, _, _), kind) in enumerate(zip(values, kinds))
+        for part in (F.count(value).alias(f"n{i}"), sketch[kind](value.cast(kind), F.lit(size)).alias(f"s{i}"))
+    ]
+    parts += [own.alias(f"x{i}") for i, (own, _) in enumerate(extra)]
+    joined = [
+        part
+        for i, kind in enumerate(kinds)
+        for part in (F.sum(f"n{i}").alias(f"n{i}"), merge[kind](F.when(F.col(f"n{i}") > 0, F.col(f"s{i}")), F.lit(size)).alias(f"s{i}"))
+    ]
+    joined += [join(f"x{i}").alias(f"x{i}") for i, (_, join) in enumerate(extra)]
+    merged = df.groupBy(group).agg(*parts).agg(*joined)
+    found = [
+        F.when(F.col(f"n{i}") > 0, read[kind](f"s{i}", F.array(*[F.lit(float(p)) for p in wanted]))).alias(f"q{i}")
+        for i, (kind, (_, _, wanted)) in enumerate(zip(kinds, values))
+    ]
+    return list(merged.select(*found, *[f"x{i}" for i in range(len(extra))]).first())
+
+
 def _sketch(df: DataFrame, searches: list[_Search]) -> list[list]:
     """Pivots near each wanted rank, from one sketch pass over the open ranges."""
-    step = 2.0 / SKETCH_ACCURACY
-    proposals = []
+    kinds, wanted = dict(df.dtypes), []
     for s in searches:
         place = (s.rank - s.below) / s.inside
-        wanted = [min(max(place + d, 0.0), 1.0) for d in (-step, 0.0, step)]
-        proposals.append(
-            F.percentile_approx(_in_range(F.col(s.name), s), wanted, SKETCH_ACCURACY)
-        )
-    return list(df.agg(*[p.alias(f"p{i}") for i, p in enumerate(proposals)]).first())
+        near = [min(max(place + d, 0.0), 1.0) for d in (-SKETCH_ERROR, 0.0, SKETCH_ERROR)]
+        wanted.append((_in_range(F.col(s.name), s), kinds[s.name], near))
+    return _sketched_quantiles(df, wanted)
 
 
 def _narrow(
@@ -211,28 +250,14 @@ def exact_quantiles(
 
 
 def _plain_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict:
-    step = 2.0 / SKETCH_ACCURACY
-    near = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-step, 0.0, step)]
-    row = df.agg(
-        *[
-            part.alias(f"e{i}")
-            for i, part in enumerate(
-                [
-                    f
-                    for c in columns
-                    for f in (
-                        F.count(c),
-                        F.min(c),
-                        F.max(c),
-                        F.percentile_approx(c, near, SKETCH_ACCURACY),
-                    )
-                ]
-            )
-        ]
-    ).first()
+    near = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-SKETCH_ERROR, 0.0, SKETCH_ERROR)]
+    kinds = dict(df.dtypes)
+    extra = [pair for c in columns for pair in ((F.count(c), F.sum), (F.min(c), F.min), (F.max(c), F.max))]
+    row = _sketched_quantiles(df, [(F.col(c), kinds[c], near) for c in columns], extra=extra)
+    sketches, row = row[: len(columns)], row[len(columns) :]
     ends, places, guesses = {}, {}, {}
     for i, c in enumerate(columns):
-        count, low, high, sketched = row[4 * i : 4 * i + 4]
+        count, low, high = row[3 * i : 3 * i + 3]
         ends[c] = (count, low, high)
         places[c], guesses[c] = [], {}
         if count:
@@ -241,7 +266,7 @@ def _plain_quantiles(df: DataFrame, columns: list[str], probabilities: list[floa
                 first, last = math.floor(spot) + 1, math.ceil(spot) + 1
                 places[c].append((first, last, spot - math.floor(spot)))
                 for rank in (first, last):
-                    guesses[c][rank] = list(sketched[3 * j : 3 * j + 3])
+                    guesses[c][rank] = list(sketches[i][3 * j : 3 * j + 3])
     wanted = {c: [r for first, last, _ in spots for r in (first, last)] for c, spots in places.items()}
     values = order_statistics(df, wanted, ends, guesses, sketched=True)
     return {
@@ -269,16 +294,8 @@ def order_buckets(
     """
     total = df.count()
     parts = min(max(math.ceil(total / rows_per_bucket), least), MOST_BUCKETS)
-    edges = (
-        df.agg(
-            F.percentile_approx(
-                F.col(column).cast("double"),
-                [i / parts for i in range(1, parts)],
-                max(SKETCH_ACCURACY, 20 * parts),
-            )
-        ).first()[0]
-        or []
-    )
+    wanted = [i / parts for i in range(1, parts)]
+    edges = _sketched_quantiles(df, [(F.col(column).cast("double"), "double", wanted)], EDGE_SKETCH_SIZE)[0] or []
     inner = sorted(set(edges)) or [0.0]
     number = f"{bucket}_number"
     splitter = Bucketizer(
