@@ -512,18 +512,24 @@ SELECT row_key, {rounded('actual')} AS actual, {rounded('prediction')} AS predic
 
 
 def scored_rows_classes(spark, sf_dir):
-    """Labels and the chance of the last class; the first 500 rows by key."""
+    """Labels and the chance of the last class."""
     rows = whatif.scored_rows(
         scored_verdicts(spark, sf_dir), ORDER_FEATURES, verdict_scorer(), keep=("row_key",)
     )
-    return whatif.shown_rows(rows, ["row_key"]).select(
-        "row_key", "actual", F.round("predicted", 6).alias("predicted"), "month", "priority"
-    )
+    return rows.select("row_key", "actual", F.round("predicted", 6).alias("predicted"), "month", "priority")
 
 
 SCORED_CLASS_SQL = f"""
 SELECT row_key, verdict AS actual, {rounded(verdict_chances()[1])} AS predicted, month, priority
-FROM ({ORDERS_SQL}) ORDER BY row_key LIMIT 500"""
+FROM ({ORDERS_SQL})"""
+
+
+def scored_rows_shown(spark, sf_dir):
+    """The first 500 rows by key, as a page shows them."""
+    return whatif.shown_rows(scored_rows_classes(spark, sf_dir), ["row_key"])
+
+
+SHOWN_SQL = f"{SCORED_CLASS_SQL} ORDER BY row_key LIMIT 500"
 
 ENTRIES = {
     "permutation_importance": (permutation_importance, PERMUTATION_SQL),
@@ -544,4 +550,5 @@ ENTRIES = {
     "mean_prediction": (mean_prediction, MEAN_SQL),
     "scored_rows": (scored_rows, SCORED_ROWS_SQL),
     "scored_rows_classes": (scored_rows_classes, SCORED_CLASS_SQL),
+    "scored_rows_shown": (scored_rows_shown, SHOWN_SQL),
 }

@@ -7,9 +7,11 @@ trainings, purchases approvals, errors rejections and views dataset uploads.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leverscope.plans import ledger
 from leverscope.suite.frames import derive, rounded, select_sql, table
+from leverscope.suite.profile_queries import scratch
 
 K = "cast(regexp_extract(props, '([0-9]+)', 1) AS int)"
 VERSION = f"concat(user_id, '-', {K} % 10)"
@@ -184,7 +186,46 @@ AUDIT_SQL = f"""
 SELECT event_id, strftime(ts, '{MOMENT}') AS at, user_id, event_type AS action FROM events
 ORDER BY ts DESC, event_id DESC LIMIT 200"""
 
+def whatif_notes(spark, sf_dir):
+    """Answers kept as notes and read back from their JSON."""
+    book = ledger.Ledger(spark, scratch(spark, "notes"))
+    answers = table(spark, sf_dir, "events").selectExpr(
+        "event_id AS scenario_id", "map('kind', event_type) AS applied", "event_id * 2 AS prediction"
+    )
+    book.remember_whatif("m1", answers)
+    return book.table("notes").select(
+        "note_id",
+        "model_id",
+        F.get_json_object("request_json", "$.applied.kind").alias("kind"),
+        F.get_json_object("response_json", "$.prediction").cast("long").alias("prediction"),
+    )
+
+
+NOTES_SQL = "SELECT cast(event_id AS varchar) AS note_id, 'm1' AS model_id, event_type AS kind, event_id * 2 AS prediction FROM events"
+
+
+def importance_cache(spark, sf_dir):
+    """A stored table answers the second request; ``top`` only filters it."""
+    book = ledger.Ledger(spark, scratch(spark, "importance"))
+    amounts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum("event_id").alias("amount"))
+    rank = F.row_number().over(Window.orderBy(F.col("amount").desc(), "event_type"))  # a row per event type
+    found = amounts.withColumn("rank", rank).selectExpr(
+        "rank AS feature_pos", "event_type AS feature", "cast(amount AS double) AS importance", "cast(NULL AS double) AS share",
+        "'up' AS direction", "cast(NULL AS double) AS correlation", "rank",
+    )
+    book.importance("m1", lambda: found)
+    return book.importance("m1", lambda: F.raise_error("computed twice"), top=3).select("model_id", "feature", "importance", "rank")
+
+
+CACHE_SQL = """
+SELECT 'm1' AS model_id, event_type AS feature, cast(sum(event_id) AS double) AS importance,
+       cast(row_number() OVER (ORDER BY sum(event_id) DESC, event_type) AS int) AS rank
+FROM events GROUP BY event_type QUALIFY row_number() OVER (ORDER BY sum(event_id) DESC, event_type) <= 3
+"""
+
 ENTRIES = {
+    "whatif_notes": (whatif_notes, NOTES_SQL),
+    "importance_cache": (importance_cache, CACHE_SQL),
     "catalog_upsert": (catalog_upsert, f"SELECT dataset_id, name, row_count FROM ({UPSERT_SQL})"),
     "version_numbers": (version_numbers, NUMBERS_SQL),
     "version_status": (version_status, VERSION_STATUS_SQL),

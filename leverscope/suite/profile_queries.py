@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from leverscope.errors import AnalysisError
 from leverscope.operators import profile
 from leverscope.session import checkpoint_dir
 from leverscope.sources.synthetic import (
@@ -25,7 +26,7 @@ from leverscope.sources.synthetic import (
     process_quality,
     reject_score,
 )
-from leverscope.sources.tables import json_rows, load_csv, write_csv
+from leverscope.sources.tables import json_rows, load_csv, read_csv_text, write_csv
 from leverscope.suite.frames import (
     RAW,
     RAW_SQL,
@@ -367,7 +368,53 @@ UNION ALL {_last_numeric_sql("customer")}
 UNION ALL SELECT 'labels', CASE WHEN count(toxic) >= 0 THEN 'QualityResult' END FROM labels
 """
 
+CHECKED_TARGETS = ("l_quantity", "nothing", "gaps", "absent")
+
+
+def validate_target(spark, sf_dir):
+    """What the target check says of a column with values, one without, one of NaN and one that is not there."""
+    df = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_quantity", "CASE WHEN l_quantity < 0 THEN 'x' END AS nothing", "CASE WHEN l_tax >= 0 THEN double('NaN') END AS gaps"
+    )
+    out = []
+    for target in CHECKED_TARGETS:
+        try:
+            profile.validate_target(df, target)
+            out.append((target, "ok"))
+        except AnalysisError as problem:
+            out.append((target, problem.code))
+    return spark.createDataFrame(out, "target string, code string")
+
+
+VALIDATE_SQL = """
+SELECT 'l_quantity' AS target, CASE WHEN count(l_quantity) > 0 THEN 'ok' ELSE 'emptyTarget' END AS code FROM lineitem
+UNION ALL SELECT 'nothing', CASE WHEN count(CASE WHEN l_quantity < 0 THEN 'x' END) > 0 THEN 'ok' ELSE 'emptyTarget' END FROM lineitem
+UNION ALL SELECT 'gaps', CASE WHEN count(CASE WHEN l_tax < 0 THEN 1 END) > 0 THEN 'ok' ELSE 'emptyTarget' END FROM lineitem
+UNION ALL SELECT 'absent', 'missingTarget'
+"""
+
+STANDARD_COLUMNS = {
+    "doc": "doc_id",
+    "note": (
+        "CASE doc_id % 4 WHEN 0 THEN concat('say \"', substr(text, 1, 40), '\", twice \"\"') WHEN 1 THEN concat('C:\\\\dir\\\\', source, ',')"
+        " WHEN 2 THEN text ELSE concat(lang, chr(10), source) END"
+    ),
+}
+
+
+def csv_standard(spark, sf_dir):
+    """Texts with doubled quotes, commas, backslashes and line breaks, written and read back, keys as they were."""
+    path = scratch(spark, "csv-standard")
+    rows = table(spark, sf_dir, "documents").selectExpr(*[f"{e} AS {c}" for c, e in STANDARD_COLUMNS.items()])
+    write_csv(rows, path)
+    return read_csv_text(spark, path).select(F.col("doc").cast("long").alias("doc"), "note")
+
+
+CSV_STANDARD_SQL = f"SELECT doc_id AS doc, {STANDARD_COLUMNS['note']} AS note FROM documents".replace("\\\\", "\\")
+
 ENTRIES = {
+    "validate_target": (validate_target, VALIDATE_SQL),
+    "csv_standard": (csv_standard, CSV_STANDARD_SQL),
     "csv_roundtrip": (csv_roundtrip, CSV_SQL),
     "json_table_ingest": (json_table_ingest, JSON_SQL),
     "synth_quality": (
