@@ -8,6 +8,7 @@ CODES = (
     "datasetNotFound",
     "dependenceFailed",
     "duplicateColumns",
+    "duplicateScenarios",
     "emptyDataset",
     "emptyTarget",
     "invalidAlgorithm",
@@ -24,10 +25,12 @@ CODES = (
     "reservedColumn",
     "rowNotFound",
     "sampleMissing",
+    "sharedFolderNotMounted",
     "tooFewRows",
-    "tooManyClasses",
+    "tooManyLanguages",
     "unboundedLevels",
     "unknownFeature",
+    "vocabularyTooLarge",
     "checkpointDirMissing",
 )
 

@@ -12,7 +12,6 @@ from leverscope.operators import dependence as curves
 from leverscope.operators import narrate
 from leverscope.operators import whatif as scenarios_
 from leverscope.operators.importance import class_push
-from leverscope.operators.prepare import fill_values
 from leverscope.operators.scorers import pick_class, response
 from leverscope.plans.train import FittedModel, model_metrics
 
@@ -98,9 +97,8 @@ def whatif(model: FittedModel, scenarios: DataFrame, ranked: DataFrame | None =
     features = spec.features
     rows = scenarios_.scenario_rows(scenarios, model.frame, features, spec.key)
     # Standard values are those of all usable rows, not only the training ones.
-    standard = fill_values(model.frame, features)
-    found = scenarios_.whatif(rows, features, scorer, standard)
-    means = scenarios_.mean_prediction(model.scored(), scorer).collect()
+    found = scenarios_.whatif(rows, features, scorer, model.standard)
+    means = model.means
     ranks = narrate.contribution_ranks() if ranked is None else narrate.rank_map(ranked)
     names = list(features.names)
     if spec.classes is None:

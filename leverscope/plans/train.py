@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -32,6 +33,7 @@ from leverscope.operators.prepare import (
 )
 from leverscope.functions.scalars import quoted
 from leverscope.operators.scorers import PipelineScorer, check_reserved
+from leverscope.operators.whatif import mean_prediction
 
 # Learners seed their draws per partition, so the partitions of the training rows must follow from
 # the rows alone: their number from the row count, their contents and order from the key.
@@ -83,6 +85,16 @@ class FittedModel:
             self.frame, self.spec.features, self.scorer, self.spec.key, repeats=repeats, top=top
         )
 
+    @cached_property
+    def standard(self) -> Fill:
+        """Standard values over all usable rows; computed once per model object."""
+        return fill_values(self.frame, self.spec.features)
+
+    @cached_property
+    def means(self) -> list:
+        """Mean answers (a row, or a row per class) over all usable rows; one scoring pass per model object."""
+        return mean_prediction(self.scored(), self.scorer).collect()
+
     def release(self) -> None:
         self.frame.unpersist()
 
