@@ -15,7 +15,7 @@ from leverscope.llm.words import WordHasher, shingles
 
 TREES = 24
 ROOT, DEEPER = 4, 4  # hash values that a region shares at least; more levels to which it may go
-CROWD = 16  # members from which a region goes one level deeper
+CROWD = 16  # members above which a region goes deeper for its first links and is then compared whole
 SKETCH_BITS = 128
 BLOCK = 256  # members of a crowded region that one task compares with as many others
 COLUMNS = 4096  # shingles of one incidence matrix
@@ -106,10 +106,12 @@ ROW = np.dtype([("root", "i8"), ("path", "i8"), ("class", "i8"), ("n", "i8"), ("
 
 
 def _candidates(forest: DataFrame, percent: int) -> DataFrame:
-    """Sorted orders of the trees to candidate pairs, and the members of regions crowded at full depth."""
+    """Sorted orders of the trees to candidate pairs, and the members of crowded roots (a = b)."""
     upper = np.triu_indices(CROWD, 1)
 
     def of_root(rows: np.ndarray) -> Iterator[tuple]:
+        if len(rows) > CROWD:
+            yield rows["class"], rows["class"], rows["root"]
         for region in _regions(rows, 0):
             n = len(region)
             if n <= CROWD:
@@ -117,14 +119,12 @@ def _candidates(forest: DataFrame, percent: int) -> DataFrame:
             else:  # neighbours in the order, and the first of all
                 i = np.r_[np.zeros(n - 1, int), np.arange(1, n - 1)]
                 j = np.r_[np.arange(1, n), np.arange(2, n)]
-                yield region["class"], region["class"], region["root"], region["path"], region["n"], region["bits0"], region["bits1"]
             near = _near(region[i], region[j], percent)
             a, b = region["class"][i[near]], region["class"][j[near]]
-            none = np.zeros(len(a), "i8")
-            yield np.minimum(a, b), np.maximum(a, b), *[none] * 5
+            yield np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), "i8")
 
     def packed(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "root", "path", "n", "bits0", "bits1"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "root"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found, size = np.zeros(0, ROW), [], 0
@@ -147,7 +147,7 @@ def _candidates(forest: DataFrame, percent: int) -> DataFrame:
             yield packed(found)
 
     ordered = forest.repartition("root").sortWithinPartitions("root", "path", "class")
-    return ordered.mapInArrow(task, "a long, b long, root long, path long, n long, bits0 long, bits1 long")
+    return ordered.mapInArrow(task, "a long, b long, root long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,14 +174,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str
     """One row per document: doc_id, row, n_shingles, component_id, kept.
 
     Equal shingle sets are one class from the start, met map-side. Every class goes into ``TREES``
-    sorted orders of MinHash values. A region of an order shares its first ``ROOT`` values; while
-    it holds more than ``CROWD`` classes it goes a value deeper. Classes of a region are candidates
-    if set sizes and a bit sketch (five deviations under the threshold) allow a link. At full depth
-    a crowded region pairs neighbours and the first; its members that end in other components than
-    its largest are then compared with all, block by block. Candidates are confirmed on full sets (``100 * common >=
+    sorted orders of MinHash values. A region of an order shares its first ``ROOT`` values. Classes
+    of a region are candidates if set sizes and a bit sketch (five deviations under the threshold)
+    allow a link. While a region holds more than ``CROWD`` classes it goes a value deeper; at full
+    depth it pairs neighbours and the first. Candidates are confirmed on full sets (``100 * common >=
     percent * all``): first one per class, then those whose ends are in different components, since
-    a link within a component changes nothing. A missed link at the threshold needs all orders to
-    part the pair: (1 - 0.8 ** 4) ** 24 = 3e-6, less above it.
+    a link within a component changes nothing. Going deeper only finds most links early: of a region
+    crowded at its root, all members that are outside its largest component by then are compared
+    with all members on full sets, block by block. A missed link at the threshold needs all orders
+    to part the pair, (1 - 0.8 ** 4) ** 24 = 3e-6 and less above it, or the sketch to be that far off.
 
     Words: A-Z lower-cased, split at ASCII white space. Null and empty texts and texts of white
     space have no set and are linked with nothing; a text of fewer than ``width`` words is one
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str
     forest = classes.select("class", "n", "bits0", "bits1", F.explode(F.arrays_zip("root", "path")).alias("at")).select("class", "n", "bits0", "bits1", "at.root", "at.path")
     found = stored(_candidates(forest.select(*ROW.names), percent), "candidates")
     pairs = stored(found.filter("a <> b").select("a", "b").distinct(), "pairs")
-    crowded = found.filter("a = b").select(F.col("a").alias("class"), "root", "path", "n", "bits0", "bits1")
+    crowded = found.filter("a = b").select(F.col("a").alias("class"), F.col("root"))
 
     member = pairs.select("a").union(pairs.select("b")).union(crowded.select("class")).distinct().toDF("class")
     member = stored(member, "members")
@@ -275,21 +276,21 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _outsiders(crowded: DataFrame, root: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of members outside the largest component of a region that is crowded at full depth.
+    """Links of members outside the largest component of a region that is crowded at its root.
 
     Such members are compared with all members, on full sets, in blocks: a task holds two blocks of
     a region and gives only links, one for each member and component; no pair is a row.
     """
     of = crowded.join(root.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    share = of.groupBy("root", "path", "component").agg(F.count("*").alias("k"))
-    regions = share.groupBy("root", "path").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.sum("k").alias("members"),
+    share = of.groupBy("root", "component").agg(F.count("*").alias("k"))
+    regions = share.groupBy("root").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.sum("k").alias("members"),
                                                 F.max("k").alias("inner"), F.count("*").alias("parts")).filter("parts > 1")
-    regions = regions.select("root", "path", "major", F.ceil((F.col("members") - F.col("inner")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("members") / BLOCK).cast("int").alias("all"))
-    members = of.join(regions, ["root", "path"]).withColumn("h", F.xxhash64("class"))
+    regions = regions.select("root", "major", F.ceil((F.col("members") - F.col("inner")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("members") / BLOCK).cast("int").alias("all"))
+    members = of.join(regions, "root").withColumn("h", F.xxhash64("class"))
     left = members.filter("component <> major").withColumn("i", F.pmod("h", "outer")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).withColumn("left", F.lit(True))
     right = members.withColumn("j", F.pmod("h", "all")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).withColumn("left", F.lit(False))
-    columns = ["class", "component", "root", "path", F.col("i").cast("long"), F.col("j").cast("long"), "left"]
-    rows = left.select(*columns).unionByName(right.select(*columns)).withColumn("g", F.xxhash64("root", "path", "i", "j")).select("g", "class", "component", "left")
+    columns = ["class", "component", "root", F.col("i").cast("long"), F.col("j").cast("long"), "left"]
+    rows = left.select(*columns).unionByName(right.select(*columns)).withColumn("g", F.xxhash64("root", "i", "j")).select("g", "class", "component", "left")
 
     def of_block(t: pa.Table) -> Iterator[pa.RecordBatch]:
         side, names, parts = (t.column(c).to_numpy() for c in ("left", "class", "component"))

@@ -59,6 +59,16 @@ def test_components_equal_brute_force(spark, monkeypatch, width, percent):
     assert got == brute(rows, width, percent)
 
 
+def test_pairs_at_the_threshold_in_a_large_family_that_is_not_linked(spark):
+    rows = []  # pair 44 shares four values in trees in which the crowd splits further
+    for pair in range(400):  # 108 of 144 words common to any two (0.75), 112 of 140 to a pair (0.8)
+        for side in range(2):
+            words = [f"f{k}" for k in range(108)] + [f"t{pair}x{k}" for k in range(4)] + [f"ot{pair}x{side}x{k}" for k in range(14)]
+            rows.append((2 * pair + side, " ".join(words)))
+    got = near_duplicates.near_duplicates(frame(spark, rows, "doc_id long, text string").repartition(4), 1, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(800)}
+
+
 def test_with_row_numbers_one_row_of_a_group_stays(spark):
     rows = [(7, "a b c d e f g", 3), (7, "a b c d e f g", 2), (9, "A b c d e f g", 1), (None, "a b c d e f g", 0), (5, None, 4), (5, None, 5)]
     got = near_duplicates.near_duplicates(frame(spark, rows, "doc_id long, text string, num long"), row="num").collect()
