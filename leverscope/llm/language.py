@@ -126,18 +126,19 @@ def _cluster(x: np.ndarray, clusters: int) -> np.ndarray:
 def learn(docs: DataFrame, dimensions: int = DIMENSIONS, clusters: int = CLUSTERS, sample: int = SAMPLE) -> dict:
     """Model of the languages in ``lang``: IDF over all given texts, centroids per language.
 
-    IDF and the number of texts per language cover all rows. Centroids are fitted on ``sample``
-    texts a language (those of least text hash; each language is one task of bounded size).
+    IDF covers all rows. Centroids are fitted on ``sample`` distinct texts a language (those of
+    least text hash; each language is one task of bounded size), on all if it has no more.
     Rows without a language or without a letter teach nothing.
     """
     known = docs.filter(F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
     frequency, rows = _document_frequencies(known, dimensions)
     idf = np.log((1 + rows) / (1 + frequency)) + 1
     known = known.filter(F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_CENTROIDS).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).limit(MOST_CENTROIDS).collect()}
     if len(sizes) * clusters > MOST_CENTROIDS:
         raise AnalysisError("tooManyLanguages", f"More than {MOST_CENTROIDS // clusters} languages.")
-    # Hash below share first, so a frequent language is thinned before any row moves.
+    # Hash below share first, so a language of many texts is thinned before any row moves. Copies
+    # stay or go together, so the share follows the distinct texts; its slack is 20 times the sketch's error.
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     if sizes:
         share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 2.0 * (sample + 20) / n)))])

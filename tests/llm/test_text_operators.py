@@ -77,6 +77,15 @@ def test_language_counts_equal_brute_force():
         assert sorted(mine.tolist()) == sorted(grams(text).values()), text
 
 
+def test_a_language_of_many_copies_of_few_texts_is_learnt(spark):
+    texts = [(" ".join(f"{chr(97 + k)}{chr(97 + k)}{w}" for w in ("ra", "to", "li")) + " " + "xyz"[i] * 3, f"l{k}") for k in range(10) for i in range(2)]
+    docs = frame(spark, texts, "text string, lang string").crossJoin(spark.range(2500)).selectExpr("id as doc_id", "text", "lang")
+    model = language.learn(docs)
+    assert set(model["langs"]) == {lang for _, lang in texts}
+    once = frame(spark, [(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(once, model).collect()} == {i: lang for i, (_, lang) in enumerate(texts)}
+
+
 def test_language_without_rows_or_labels(spark):
     nothing = frame(spark, [])
     model = language.learn(nothing)
