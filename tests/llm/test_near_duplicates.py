@@ -140,3 +140,18 @@ def test_recall_of_links_at_the_threshold(spark):
     rows = [(i, [float(v) for v in x], 0) for i, x in enumerate(np.concatenate([a, b]))]
     got = vectors.near_vectors(frame(spark, rows, "vec_id long, embedding array<double>, label int")).filter("n_links > 0").count()
     assert got >= 0.9 * 1200
+
+
+def test_recall_of_links_of_vectors_with_a_common_mean(spark):
+    rng = np.random.default_rng(8)
+    y = rng.standard_normal((600, 64))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    a = 0.7**0.5 * np.full(64, 64**-0.5) + 0.3**0.5 * y
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal(a.shape)
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([a, 0.935 * a + (1 - 0.935**2) ** 0.5 * side])
+    rows = [(i, [float(v) for v in one], 0) for i, one in enumerate(x)]
+    got = vectors.near_vectors(frame(spark, rows, "vec_id long, embedding array<double>, label int")).agg({"n_links": "sum"}).first()[0]
+    assert got >= 0.97 * (np.triu(x @ x.T, 1) >= 0.93).sum() * 2
