@@ -45,15 +45,20 @@ def _header(spark: SparkSession, path: str | list[str], multi_line: bool) -> lis
 
 
 def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
-    """The files below ``path``, those with the same first line together; a scan of the text if there are several."""
+    """The files below ``path``, those with the same header line together; a scan of the text if there are several.
+
+    The header is the first line that is not empty. A file that begins with empty lines stands
+    alone, so that its header is checked as the reader finds it.
+    """
     text = spark.read.text(path)
     files = text.inputFiles()
     if len(files) < 2:
         return [files]
     lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_block_start").alias("start"))
-    first = lines.where("start = 0").groupBy("file").agg(F.min_by(F.rtrim("value"), "place").alias("line"))
-    alike = first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
-    return sorted(r["files"] for r in alike if r["line"] != "") or [files]
+    full = F.when(F.col("value") != "", F.col("place"))
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by(F.rtrim("value"), full).alias("line"), (F.min(full) > F.min("place")).alias("late"))
+    alike = first.where("line is not null").groupBy("line", F.when(F.col("late"), F.col("file"))).agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    return sorted(r["files"] for r in alike) or [files]
 
 
 def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -145,6 +145,20 @@ def test_written_csv_is_read_by_others(spark, tmp_path):
     assert sorted(found, key=str) == sorted(rows, key=str)
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_files_of_a_folder_may_begin_with_blank_lines(spark, tmp_path, multi_line):
+    folder = tmp_path / "blank"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,2\n")
+    (folder / "2.csv").write_text("\n\na,b\n3,4\n5,6\n")
+    (folder / "3.csv").write_text("\nb,a\n8,7\n")
+    (folder / "4.csv").write_text("\n\n")
+    df, _ = load_csv(spark, str(folder), multi_line)
+    assert sorted(map(tuple, df.collect())) == [(1, 2), (3, 4), (5, 6), (7, 8)]
+    (folder / "2.csv").write_text(" \t\na,b\n3,4\n5,6\n")  # other columns to the reader
+    raises("invalidCsv", lambda: load_csv(spark, str(folder), multi_line))
+
+
 def test_folders_are_read_by_column_name(spark, tmp_path):
     folder = tmp_path / "many"
     folder.mkdir()
