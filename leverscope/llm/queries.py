@@ -5,9 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from leverscope.llm import chat, common, decontamination, language, language_model, near_duplicates, packing, privacy, quality, sharding, vectors
+from leverscope.llm import (
+    chat, common, decontamination, divergence, language, language_model, near_duplicates, packing, privacy, quality, sharding, token_counts, vectors,
+)
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_role_repair(spark, sf_dir):
@@ -134,7 +137,40 @@ def op10_kneser_ney(spark, sf_dir):
     return scored.withColumn("held_out", held_out)
 
 
+def op11_heap_bpe_count(spark, sf_dir):
+    return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), PIECES)
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(common.table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS l_n FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+c AS (SELECT g.lang, g.source, k.term, l_n, coalesce(n, 0) AS n FROM g JOIN k ON k.lang = g.lang
+      LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (SELECT *, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER w + count(*) OVER w) AS p,
+        1 + 1000000000::HUGEINT * (l_n + 1) // (sum(l_n) OVER w + count(*) OVER w) AS q FROM c WINDOW w AS (PARTITION BY lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 ENTRIES = {
+    "op11_heap_bpe_count": (op11_heap_bpe_count, None),
+    "op13_source_divergence": (op13_source_divergence, OP13_SQL),
     "op1_role_repair": (op1_role_repair, OP1_SQL),
     "op6_itq": (op6_itq, OP6_SQL),
     "op4_skip_chain_crf": (op4_skip_chain_crf, None),
