@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from leverscope.llm import (
-    chat, common, decontamination, divergence, language, language_model, near_duplicates, packing, privacy, quality, sharding, token_counts, vectors,
+    chat, common, decontamination, divergence, language, language_model, near_duplicates, packing, privacy, quality, sharding, structure, token_counts, vectors,
 )
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -141,6 +141,72 @@ def op11_heap_bpe_count(spark, sf_dir):
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), PIECES)
 
 
+def op12_structure_alignment(spark, sf_dir):
+    return structure.audit(common.table(spark, sf_dir, "conversations"))
+
+
+# Costs to go of the four states of the grammar (nothing yet, system, user, assistant), from the last row backwards.
+OP12_SQL = r"""
+WITH RECURSIVE
+bit AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS s FROM range(256) x(i)
+        UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, s + 1 FROM bit WHERE s < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE s = 8),
+d AS (SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''),
+          lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[((xor(a, b) & 255) + 1)::INTEGER])), 4294967295::BIGINT) % 20 AS draw
+      FROM conversations, tab),
+r AS (SELECT cid, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE draw WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+      FROM d WHERE draw <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, count(*) OVER (PARTITION BY cid) AS n,
+        row_number() OVER (PARTITION BY cid, role, text ORDER BY turn NULLS FIRST, copy) AS seen, rtrim(text, E' \t\n\x0b\x0c\r') AS bare FROM r),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS ro,
+        i > 1 AND concat(lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i), left(role, 1)) NOT IN ('su', 'ua', 'au') AS odd FROM p),
+g AS (SELECT *, (fault = 'truncated')::INTEGER AS e, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 ELSE 0 END AS no FROM f),
+v AS (
+  SELECT DISTINCT cid, n + 1 AS i, 0::BIGINT AS v0, 4::BIGINT AS v1, 2::BIGINT AS v2, 0::BIGINT AS v3 FROM g
+  UNION ALL
+  SELECT cid, i, least(w0, 2 + w2, 4 + w3), least(w1, 2 + w2, 4 + w3), least(w2, 2 + w3), least(w3, 2 + w2) FROM (
+    SELECT g.cid, g.i,
+      least(3 + v0, no + e + v2 + CASE ro WHEN 2 THEN 0 ELSE 2 END, no + e + CASE ro WHEN 1 THEN v1 ELSE 1000000000 END) AS w0,
+      least(3 + v1, no + e + v2 + CASE ro WHEN 2 THEN 0 ELSE 2 END) AS w1,
+      least(3 + v2, no + e + v3 + CASE ro WHEN 3 THEN 0 ELSE 2 END) AS w2,
+      least(3 + v3, no + e + v2 + CASE ro WHEN 2 THEN 0 ELSE 2 END) AS w3
+    FROM v JOIN g ON g.cid = v.cid AND g.i = v.i - 1)),
+edit AS (SELECT * FROM (VALUES (0, 'D', 1), (1, 'D', 2), (2, 'D', 3), (2, 'K', 4), (2, 'R', 5), (1, 'K', 6), (1, 'R', 7), (0, 'K', 8), (0, 'R', 9)) x(t, letter, ord)),
+q AS (SELECT unnest([0, 1, 2, 3]) AS q, unnest([2, 2, 3, 2]) AS nx, unnest([3, 3, 2, 3]) AS nx2),
+o AS (
+  SELECT g.cid, g.i, q, t, letter, ord, [v0, v1, v2, v3][q + 1] AS need, no, e, ro, t * 2 AS c, CASE t WHEN 0 THEN q WHEN 1 THEN nx ELSE nx2 END AS q1
+  FROM g JOIN v ON v.cid = g.cid AND v.i = g.i, q, edit),
+o2 AS (SELECT *, CASE q1 WHEN 2 THEN 3 ELSE 2 END AS nq FROM o),
+o3 AS (
+  SELECT *, CASE WHEN letter = 'D' THEN q1 WHEN letter = 'R' THEN nq WHEN ro = 1 AND q1 = 0 THEN 1 WHEN ro = nq THEN nq END AS to_,
+    c + CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN no + 2 + e ELSE no + e END AS paid FROM o2),
+best AS (
+  SELECT o3.cid, o3.i, q, arg_min({'t': t, 'letter': letter, 'to_': to_}, ord) AS x
+  FROM o3 JOIN v ON v.cid = o3.cid AND v.i = o3.i + 1 WHERE to_ IS NOT NULL AND paid + [v0, v1, v2, v3][to_ + 1] = need GROUP BY ALL),
+way AS (
+  SELECT cid, i, q, x FROM best WHERE i = 1 AND q = 0
+  UNION ALL
+  SELECT b.cid, b.i, b.q, b.x FROM way w JOIN best b ON b.cid = w.cid AND b.i = w.i + 1 AND b.q = w.x.to_),
+piece AS (
+  SELECT w.cid, w.i, repeat('I', w.x.t) || w.x.letter AS letters,
+    list_concat(list_transform(range(w.x.t), lambda k: CASE WHEN (w.q = 2) = (k = 0) THEN 'assistant:' ELSE 'user:' END),
+      CASE w.x.letter WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE w.x.to_ WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] END) AS lines
+  FROM way w JOIN g ON g.cid = w.cid AND g.i = w.i
+  UNION ALL
+  SELECT w.cid, w.i + 1, CASE w.x.to_ WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END, CASE w.x.to_ WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END
+  FROM way w JOIN g ON g.cid = w.cid AND g.i = w.i AND g.i = g.n),
+done AS (SELECT cid, string_agg(letters, '' ORDER BY i) AS audit, sha256(array_to_string(flatten(list(lines ORDER BY i)), E'\n')) AS digest FROM piece GROUP BY cid),
+sums AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal FROM g GROUP BY cid)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, cid FROM d) a LEFT JOIN sums ON sums.cid = a.cid LEFT JOIN v ON v.cid = a.cid AND v.i = 1 LEFT JOIN done ON done.cid = a.cid
+"""
+
+
 def op13_source_divergence(spark, sf_dir):
     return divergence.audit(common.table(spark, sf_dir, "documents"))
 
@@ -170,6 +236,7 @@ QUALIFY part = 'pair' OR rank <= 200
 
 ENTRIES = {
     "op11_heap_bpe_count": (op11_heap_bpe_count, None),
+    "op12_structure_alignment": (op12_structure_alignment, OP12_SQL),
     "op13_source_divergence": (op13_source_divergence, OP13_SQL),
     "op1_role_repair": (op1_role_repair, OP1_SQL),
     "op6_itq": (op6_itq, OP6_SQL),
