@@ -14,6 +14,7 @@ from leverscope.llm.common import stored
 
 SCALE = 1_000_000_000
 LEAST_DOCS = 3  # documents of a language that a term must be in
+MOST_SCALE = 1_500_000_000  # four squares of it fit a long
 RANKS = 200
 HELD_TERMS, HELD_BYTES = 400_000, 64 << 20  # distinct terms, and bytes of texts, that a task counts before it emits
 LETTERS = bytes(b if b >= 128 else b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
@@ -58,50 +59,47 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def _chance(count: str, total: str, terms: str, scale: int) -> Column:
-    """1 + floor(scale * (count + 1) / (total + terms)), in exact whole numbers."""
-    return F.expr(f"1 + (cast({count} + 1 as decimal(20, 0)) * cast({scale} as decimal(18, 0))) div cast({total} + {terms} as decimal(20, 0))")
+    """1 + floor(scale * (count + 1) / (total + terms)), in exact whole numbers; longs where the product fits."""
+    wide = f"(cast({count} + 1 as decimal(20, 0)) * cast({scale} as decimal(18, 0))) div cast({total} + {terms} as decimal(20, 0))"
+    return F.expr(f"1 + case when {count} < {(1 << 62) // scale} then (({count} + 1) * {scale}) div ({total} + {terms}) else {wide} end")
 
 
 def _distance(p: str, q: str) -> Column:
-    return F.expr(f"(cast({p} - {q} as decimal(19, 0)) * cast({p} - {q} as decimal(19, 0))) div cast({q} as decimal(19, 0))")
+    return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")  # fits a long up to MOST_SCALE
 
 
 def _pairs(groups: DataFrame, kept: DataFrame, scale: int) -> DataFrame:
     """For each source and other source of a language the distance summed over all kept terms.
 
-    Terms are grouped by their counts in the two sources. A term both sources have is one of a cell
-    (a, b); the cells (a, 0), (0, b) and (0, 0) follow from the sources' own counts by subtraction,
-    so terms that one of them lacks are never paired. Terms alike in all sources go as one row.
+    Terms are grouped by their counts in the two sources. With f(a, b) the distance of a cell, the sum
+    over all terms is terms * f(0, 0), plus f(a, 0) - f(0, 0) for each term the source has and f(0, b) - f(0, 0)
+    for each the other has, plus f(a, b) - f(a, 0) - f(0, b) + f(0, 0) for each both have. So terms that
+    one of them lacks are never paired. Terms alike in all sources go as one row.
     """
     alike = kept.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("at")).groupBy("lang", "at").agg(F.count("*").alias("w"))
     left = alike.filter(F.size("at") > 1).select("lang", "at", "w", F.explode("at").alias("s"))
     both = (left.select("lang", "s", "w", F.explode("at").alias("o")).filter("s.source <> o.source")
             .groupBy("lang", F.col("s.source").alias("source"), F.col("o.source").alias("item"), F.col("s.n").alias("a"), F.col("o.n").alias("b")).agg(F.sum("w").alias("w")))
-    other = groups.select("lang", F.col("source").alias("item"))
-    pairs = groups.select("lang", "source").join(other, "lang").filter("source <> item")
-    own = kept.groupBy("lang", "source", F.col("n").alias("a")).agg(F.count("*").alias("w"))
-    zero = F.lit(0).cast("long")
-
-    signed = []
-    for a, b, w in (("a", "b", 1), ("a", 0, -1), (0, "b", -1), (0, 0, 1)):
-        signed.append(both.select("lang", "source", "item", (F.col("a") if a else zero).alias("a"), (F.col("b") if b else zero).alias("b"), (w * F.col("w")).alias("w")))
-    mine = pairs.join(own, ["lang", "source"])
-    theirs = pairs.join(own.withColumnRenamed("source", "item").withColumnRenamed("a", "b"), ["lang", "item"])
-    for df, a, b in ((mine, "a", 0), (theirs, 0, "b")):
-        for keep, w in ((True, 1), (False, -1)):
-            signed.append(df.select("lang", "source", "item", (F.col("a") if a and keep else zero).alias("a"), (F.col("b") if b and keep else zero).alias("b"), (w * F.col("w")).alias("w")))
-    terms = groups.select("lang", "source", "terms").join(other, "lang").filter("source <> item")
-    signed.append(terms.select("lang", "source", "item", zero.alias("a"), zero.alias("b"), F.col("terms").alias("w")))
-    table = signed[0]
-    for part in signed[1:]:
-        table = table.unionByName(part)
-    table = table.groupBy("lang", "source", "item", "a", "b").agg(F.sum("w").alias("w"))
-    totals = groups.select("lang", "source", "terms", F.col("total").alias("s_total"))
-    valued = table.join(totals, ["lang", "source"]).join(groups.select("lang", F.col("source").alias("item"), F.col("total").alias("o_total")), ["lang", "item"])
-    # A language without kept terms has no chances: its one cell weighs nothing.
-    p, q = _chance("a", "s_total", "greatest(terms, 1)", scale), _chance("b", "o_total", "greatest(terms, 1)", scale)
-    value = valued.select("lang", "source", "item", "w", p.alias("p"), q.alias("q")).withColumn("f", _distance("p", "q").cast("decimal(19, 0)") * F.col("w").cast("decimal(19, 0)"))
-    summed = value.groupBy("lang", "source", "item").agg(F.sum("f").cast("long").alias("value"))
+    own = kept.groupBy("lang", "source", "n").agg(F.count("*").alias("w"))
+    # A language without kept terms has no chances: its sums have no addends but 0 * f(0, 0).
+    of = groups.withColumn("terms", F.greatest("terms", F.lit(1))).withColumn("zero", _chance("0L", "total", "terms", scale))
+    mine = of.select("lang", "source", F.col("total").alias("s_total"), "terms", F.col("zero").alias("p0"))
+    theirs = of.select("lang", F.col("source").alias("item"), F.col("total").alias("o_total"), F.col("zero").alias("q0"))
+    pairs = mine.join(theirs, "lang").filter("source <> item")
+
+    def added(df: DataFrame, weight: str, value: Column) -> DataFrame:
+        return df.select("lang", "source", "item", (value.cast("decimal(20, 0)") * F.col(weight).cast("decimal(18, 0)")).alias("f"))
+
+    shared = both.join(mine, ["lang", "source"]).join(theirs, ["lang", "item"]).withColumns(
+        {"p": _chance("a", "s_total", "terms", scale), "q": _chance("b", "o_total", "terms", scale)})
+    here = pairs.join(own, ["lang", "source"]).withColumn("p", _chance("n", "s_total", "terms", scale))
+    there = pairs.join(own.withColumnRenamed("source", "item"), ["lang", "item"]).withColumn("q", _chance("n", "o_total", "terms", scale))
+    whole = pairs.join(groups.select("lang", "source", F.col("terms").alias("w")), ["lang", "source"])
+    table = (added(shared, "w", (_distance("p", "q") - _distance("p", "q0")) - (_distance("p0", "q") - _distance("p0", "q0")))
+             .unionByName(added(here, "w", _distance("p", "q0") - _distance("p0", "q0")))
+             .unionByName(added(there, "w", _distance("p0", "q") - _distance("p0", "q0")))
+             .unionByName(added(whole, "w", _distance("p0", "q0"))))
+    summed = table.groupBy("lang", "source", "item").agg(F.sum("f").cast("long").alias("value"))
     rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     return summed.withColumn("rank", rank).select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
 
@@ -116,7 +114,7 @@ def _own_terms(groups: DataFrame, kept: DataFrame, scale: int, ranks: int) -> Da
     of = groups.groupBy("lang").agg(F.sum("total").alias("l_total"))
     cells = (kept.groupBy("lang", "source", "n", "l_n").agg(F.count("*").alias("m")).join(groups.select("lang", "source", "total", "terms"), ["lang", "source"]).join(of, "lang")
              .select("lang", "source", "n", "l_n", "m", _chance("n", "total", "terms", scale).alias("p"), _chance("l_n", "l_total", "terms", scale).alias("q"))
-             .filter("p > q").withColumn("value", _distance("p", "q").cast("long")))
+             .filter("p > q").withColumn("value", _distance("p", "q")))
     by = W.partitionBy("lang", "source").orderBy(F.desc("value"))
     first = cells.groupBy("lang", "source", "value").agg(F.sum("m").alias("m")).withColumn("r", F.row_number().over(by)).filter(F.col("r") <= ranks)
     begun = first.withColumn("upto", F.sum("m").over(by)).filter(F.col("upto") - F.col("m") < ranks)
@@ -141,6 +139,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, scale: int = SCALE, ran
     Null text, lang and source count as ''; a group without terms has rows of part ``pair``
     alone; repeated rows are documents of their own; no documents give no rows; other columns are not read.
     """
+    if not 0 < scale <= MOST_SCALE:
+        raise ValueError(f"scale {scale}; at most {MOST_SCALE}")
     named = docs.toDF(*[c.lower() for c in docs.columns])
     rows = named.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     counts = stored(_counted(rows), "divergence")
