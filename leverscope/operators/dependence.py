@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leverscope.errors import AnalysisError
+from leverscope.operators.ensemble import TreeScorer, point_means
+from leverscope.operators.evaluate import class_table
 from leverscope.operators.order import exact_quantiles
 from leverscope.operators.prepare import MOST_LEVELS, Features
 from leverscope.functions.scalars import quoted
@@ -91,20 +95,11 @@ def build_grid(
     return points
 
 
-def partial_dependence(
-    df: DataFrame,
-    features: Features,
-    scorer: Scorer,
-    grid: list[GridPoint],
-    answer: Column | None = None,
-) -> DataFrame:
-    """(feature, grid_id, x, x_label, y) for all features of the grid in one job.
+def _spread(df: DataFrame, features: Features, grid: list[GridPoint]) -> DataFrame:
+    """Rows expanded in place over the point numbers (no join), one input replaced.
 
-    Rows are expanded in place over the point numbers (no join), scored once, and
-    reduced to one row per point and task before the shuffle. The points of a
-    feature are numbered in a run, so a variant is one array lookup.
+    The points of a feature are numbered in a run, so a variant is one array lookup.
     """
-    answer = response(scorer) if answer is None else answer
     point = F.col("point")
     replaced = {}
     for c in features.names:
@@ -119,12 +114,12 @@ def partial_dependence(
         *[quoted(c) for c in features.names],
         F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("point"),
     )
-    variants = spread.select(
-        "point", *[replaced.get(c, quoted(c)).alias(c) for c in features.names]
-    )
-    means = scorer.score(variants).groupBy("point").agg(F.avg(answer).alias("y"))
-    # From here on one row per grid point.
-    described = F.array(
+    return spread.select("point", *[replaced.get(c, quoted(c)).alias(c) for c in features.names])
+
+
+def _described(means: DataFrame, grid: list[GridPoint], columns: list[str]) -> DataFrame:
+    """Point numbers replaced by what they stand for; one row per grid point (and class) from here on."""
+    points = F.array(
         *[
             F.struct(
                 F.lit(p.feature).alias("feature"),
@@ -135,7 +130,57 @@ def partial_dependence(
             for p in grid
         ]
     )
-    return means.select(F.get(described, point).alias("p"), "y").select("p.*", "y")
+    return means.select(F.get(points, F.col("point")).alias("p"), *columns).select("p.*", *columns)
+
+
+def _tree_means(df: DataFrame, features: Features, scorer: TreeScorer, grid: list[GridPoint]) -> DataFrame:
+    """(point, means): mean answer, or one per class, by re-evaluating the trees of the input alone."""
+    names = features.names
+    asked = []
+    for p in grid:
+        place = names.index(p.feature)
+        asked.append((place, p.x if p.feature in features.numeric else scorer.index(place, p.x_label)))
+    ready = scorer.prepared(df.select(*[quoted(c) for c in names]), "inputs")
+    sums = point_means(ready, scorer.trees, asked)
+    each = sums.select("point", "rows", F.posexplode("total").alias("class_index", "total"))
+    means = each.groupBy("point", "class_index").agg((F.sum("total") / F.sum("rows")).alias("y"))
+    return means.groupBy("point").agg(F.transform(F.array_sort(F.collect_list(F.struct("class_index", "y"))), lambda m: m["y"]).alias("means"))
+
+
+def partial_dependence(
+    df: DataFrame,
+    features: Features,
+    scorer: Scorer,
+    grid: list[GridPoint],
+    answer: Column | None = None,
+    class_index: int | None = None,
+) -> DataFrame:
+    """(feature, grid_id, x, x_label, y) for all features of the grid in one job.
+
+    Rows are expanded in place, scored once, and reduced to one row per point and task before the
+    shuffle. An ensemble of trees re-evaluates only the trees that split on the input set. For classes
+    the curve is that of ``class_index`` (the last by default), unless an ``answer`` is given.
+    """
+    trees = getattr(scorer, "trees", None)
+    if answer is None and trees is not None:
+        place = 0 if scorer.classes is None else (len(scorer.classes) - 1 if class_index is None else class_index)
+        means = _tree_means(df, features, trees, grid).select("point", F.get("means", F.lit(place)).alias("y"))
+        return _described(means, grid, ["y"])
+    answer = response(scorer, class_index) if answer is None else answer
+    means = scorer.score(_spread(df, features, grid)).groupBy("point").agg(F.avg(answer).alias("y"))
+    return _described(means, grid, ["y"])
+
+
+def class_curves(df: DataFrame, features: Features, scorer: Scorer, grid: list[GridPoint]) -> DataFrame:
+    """(feature, grid_id, x, x_label, class_index, label, y): the curves of every class from one scoring."""
+    trees = getattr(scorer, "trees", None)
+    if trees is not None:
+        means = _tree_means(df, features, trees, grid)
+    else:
+        scored = scorer.score(_spread(df, features, grid)).select("point", array_to_vector("probability").alias("chances"))
+        means = scored.groupBy("point").agg(vector_to_array(Summarizer.mean(F.col("chances"))).alias("means"))
+    each = means.select("point", F.posexplode("means").alias("class_index", "y")).join(class_table(df, scorer.classes), "class_index")
+    return _described(each, grid, ["class_index", "label", "y"])
 
 
 def dependence_points(

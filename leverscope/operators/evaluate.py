@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leverscope.operators.joins import BROADCAST_ROWS
 from leverscope.operators.order import order_buckets, running_before
 
+CELLS_PER_TASK = 100_000
+
 
 def _r_squared(error: Column, spread: Column) -> Column:
     """1 - error / spread; without spread 1 for a perfect fit, else 0."""
@@ -81,31 +84,42 @@ def roc_auc(
     return sums.select("positives", "negatives", F.try_divide("won", pairs_total).alias("auc"))
 
 
+def class_table(df: DataFrame, classes: list[str]) -> DataFrame:
+    """(class_index, label), to be joined; a list of labels is no part of a plan."""
+    table = df.sparkSession.createDataFrame(list(enumerate(classes)), "class_index int, label string")
+    return F.broadcast(table) if len(classes) <= BROADCAST_ROWS else table
+
+
+def confusion_cells(scored: DataFrame) -> DataFrame:
+    """The cells that occur: (actual_index, predicted_index, rows)."""
+    indices = {"actual_index": F.col("actual").cast("int"), "predicted_index": F.col("prediction").cast("int")}
+    known = scored.select(*[v.alias(k) for k, v in indices.items()]).where("actual_index IS NOT NULL AND predicted_index IS NOT NULL")
+    return known.groupBy("actual_index", "predicted_index").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def confusion_matrix(scored: DataFrame, classes: list[str]) -> DataFrame:
-    """Long form (actual_index, predicted_index, labels, rows); empty cells kept."""
-    counted = (
-        scored.groupBy(
-            F.col("actual").cast("int").alias("actual_index"),
-            F.col("prediction").cast("int").alias("predicted_index"),
-        )
-        .agg(F.count(F.lit(1)).alias("found"))
-    )
+    """Long form (actual_index, predicted_index, labels, rows); empty cells kept, spread over tasks."""
     k = len(classes)
-    labels = F.array(*[F.lit(c) for c in classes])
+    counted = confusion_cells(scored).withColumnRenamed("rows", "found")
     cells = (
-        scored.sparkSession.range(k * k, numPartitions=1)
+        scored.sparkSession.range(k * k, numPartitions=-(-k * k // CELLS_PER_TASK))
         .select(
             (F.col("id") / k).cast("int").alias("actual_index"),
             (F.col("id") % k).cast("int").alias("predicted_index"),
         )
     )
+    labels = class_table(scored, classes)
+    actual = labels.select(F.col("class_index").alias("actual_index"), F.col("label").alias("actual_label"))
+    predicted = labels.select(F.col("class_index").alias("predicted_index"), F.col("label").alias("predicted_label"))
     return (
         cells.join(counted, ["actual_index", "predicted_index"], "left")
+        .join(actual, "actual_index")
+        .join(predicted, "predicted_index")
         .select(
             "actual_index",
             "predicted_index",
-            F.element_at(labels, F.col("actual_index") + 1).alias("actual_label"),
-            F.element_at(labels, F.col("predicted_index") + 1).alias("predicted_label"),
+            "actual_label",
+            "predicted_label",
             F.coalesce("found", F.lit(0)).alias("rows"),
         )
     )
@@ -121,33 +135,35 @@ def confusion_rows(matrix: DataFrame) -> DataFrame:
 
 def class_counts(matrix: DataFrame) -> DataFrame:
     """Per class: support, predicted and hit counts, from the k * k matrix."""
-    each = matrix.select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.col("actual_index").alias("class_index"),
-                    F.col("actual_label").alias("label"),
-                    F.col("rows").alias("support"),
-                    F.lit(0).cast("long").alias("predicted"),
-                    F.when(F.col("actual_index") == F.col("predicted_index"), F.col("rows"))
-                    .otherwise(0)
-                    .alias("hits"),
-                ),
-                F.struct(
-                    F.col("predicted_index").alias("class_index"),
-                    F.col("predicted_label").alias("label"),
-                    F.lit(0).cast("long").alias("support"),
-                    F.col("rows").alias("predicted"),
-                    F.lit(0).cast("long").alias("hits"),
-                ),
-            )
-        )
+    labels = matrix.where(F.col("actual_index") == F.col("predicted_index")).select(
+        F.col("actual_index").alias("class_index"), F.col("actual_label").alias("label")
+    )
+    return _totals(matrix).join(labels, "class_index").select("class_index", "label", "support", "predicted", "hits")
+
+
+def class_totals(cells: DataFrame, classes: list[str]) -> DataFrame:
+    """``class_counts`` from the cells that occur: work follows them, not the square of the classes."""
+    totals = class_table(cells, classes).join(_totals(cells), "class_index", "left")
+    return totals.select("class_index", "label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("support", "predicted", "hits")])
+
+
+def _totals(cells: DataFrame) -> DataFrame:
+    hit = F.col("actual_index") == F.col("predicted_index")
+    zero = F.lit(0).cast("long")
+    as_actual = F.struct(
+        F.col("actual_index").alias("class_index"),
+        F.col("rows").alias("support"),
+        zero.alias("predicted"),
+        F.when(hit, F.col("rows")).otherwise(zero).alias("hits"),
     )
-    return each.groupBy("class_index", "label").agg(
-        F.sum("support").alias("support"),
-        F.sum("predicted").alias("predicted"),
-        F.sum("hits").alias("hits"),
+    as_predicted = F.struct(
+        F.col("predicted_index").alias("class_index"),
+        zero.alias("support"),
+        F.col("rows").alias("predicted"),
+        zero.alias("hits"),
     )
+    each = cells.select(F.inline(F.array(as_actual, as_predicted)))
+    return each.groupBy("class_index").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
 
 
 def _or_zero(top: Column, bottom: Column) -> Column:

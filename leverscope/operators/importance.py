@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leverscope.functions.scalars import finite_or_null, finite_or_zero, pair_correlation, pair_count
+from leverscope.operators.ensemble import TreeScorer, added_losses
 from leverscope.operators.order import bucket_starts, hash_buckets
 from leverscope.operators.prepare import Features
 from leverscope.functions.scalars import quoted
@@ -42,6 +43,15 @@ def with_donors(
     another one; those come from a table of each bucket's first ``repeats`` rows,
     which is broadcast (at most repeats x 65,536 rows).
     """
+    located, heads = _located(df, key, row, repeats, seed, digits)
+    paired = _stepped(located)
+    return paired.join(F.broadcast(heads), "donor_place", "left").select(
+        "own", "repeat", F.coalesce("near", "head").alias("donor")
+    )
+
+
+def _located(df: DataFrame, key: str, row: list[str], repeats: int, seed: int | str, digits: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (own, donors, place, all_rows) in random order, donors missing at a bucket's end; and the rows that begin the buckets."""
     hashed = hash_buckets(df.select(key, *[quoted(c) for c in row]), key, seed, digits)
     packed = hashed.select(
         "hash_bucket", "hash_order", key, F.struct(*[quoted(c) for c in row]).alias("own")
@@ -60,7 +70,12 @@ def with_donors(
     heads = located.where(F.col("bucket_place") <= repeats).select(
         F.col("place").alias("donor_place"), F.col("own").alias("head")
     )
-    paired = located.select(
+    return located, heads
+
+
+def _stepped(located: DataFrame) -> DataFrame:
+    """A row per donor; where the donor lies in the next bucket its place stands instead."""
+    return located.select(
         "own", "place", "all_rows", F.posexplode("donors").alias("step", "near")
     ).select(
         "own",
@@ -70,8 +85,47 @@ def with_donors(
             F.col("near").isNull(), (F.col("place") + F.col("step")) % F.col("all_rows") + 1
         ).alias("donor_place"),
     )
-    return paired.join(F.broadcast(heads), "donor_place", "left").select(
-        "own", "repeat", F.coalesce("near", "head").alias("donor")
+
+
+def donor_lists(
+    df: DataFrame, key: str, row: list[str], repeats: int, seed: int | str = 42, digits: int | None = None
+) -> DataFrame:
+    """The pairs of ``with_donors``, a row with its donors in one list: (own, donors, repeats).
+
+    Only rows at a bucket's end, ``repeats`` a bucket, look for donors in the next one, so nothing
+    else is joined and nothing is broadcast.
+    """
+    located, heads = _located(df, key, row, repeats, seed, digits)
+    inner = F.element_at("donors", -1).isNotNull()
+    every = F.array(*[F.lit(r) for r in range(1, repeats + 1)])
+    ends = _stepped(located.where(~inner)).join(heads, "donor_place", "left")
+    return located.where(inner).select("own", "donors", every.alias("repeats")).unionByName(
+        ends.select("own", F.array(F.coalesce("near", "head")).alias("donors"), F.array("repeat").alias("repeats"))
+    )
+
+
+def tree_permutation_scores(
+    df: DataFrame,
+    features: Features,
+    scorer: TreeScorer,
+    key: str,
+    actual: str,
+    repeats: int,
+    seed: int | str,
+    digits: int | None,
+) -> DataFrame:
+    """``permutation_scores`` of an ensemble: per row the sum over all trees once, then per input and
+    donor the trees of that input alone, where the row lies. A sum per (feature, repeat) and task is shuffled."""
+    plain = df.select(key, *[quoted(c) for c in features.names], quoted(actual).cast("double").alias(ACTUAL))
+    ready = scorer.prepared(plain, "inputs").select(key, "inputs", ACTUAL)
+    total = ready.agg(F.count(F.lit(1)).alias("rows"), F.var_pop(ACTUAL).alias("variance")).first()
+    pairs = donor_lists(ready, key, ["inputs", ACTUAL], repeats, seed, digits).select(
+        "own.inputs", F.col("own")[ACTUAL].alias(ACTUAL), F.col("donors.inputs").alias("donors"), "repeats"
+    )
+    return added_losses(pairs, scorer.trees).groupBy("feature_pos", "repeat").agg(
+        F.lit(total["rows"]).alias("rows"),
+        F.sum("added").alias("added_loss"),
+        F.lit(total["variance"]).cast("double").alias("variance"),
     )
 
 
@@ -94,6 +148,9 @@ def permutation_scores(
     a row per (feature, repeat) and task to shuffle.
     """
     names = features.names
+    trees = getattr(scorer, "trees", None)
+    if trees is not None:
+        return tree_permutation_scores(df, features, trees, key, actual, repeats, seed, digits)
 
     def loss() -> Column:
         if scorer.classes is None:

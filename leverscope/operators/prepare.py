@@ -202,10 +202,14 @@ def class_labels(df: DataFrame, target: str) -> list[str]:
 
 
 def encode_labels(df: DataFrame, label: str, classes: list[str], name: str) -> DataFrame:
-    """Add the class index as double: the label's place in the sorted classes, NULL for an unknown label."""
+    """Add the class index as double: the label's place in the sorted classes, NULL for an unknown label.
+
+    The column says how many classes there are; a learner that has to guess stops at 100.
+    """
     places = df.sparkSession.createDataFrame(list(zip(classes, map(float, range(len(classes))))), f"`{label}` string, `{name}` double")
     small = len(classes) <= BROADCAST_ROWS
-    return df.join(F.broadcast(places) if small else places, label, "left")
+    encoded = df.join(F.broadcast(places) if small else places, label, "left")
+    return encoded.withMetadata(name, {"ml_attr": {"name": name, "type": "nominal", "num_vals": len(classes)}})
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ A scorer adds ``prediction`` (a number, or a class index) and, for classes,
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cached_property
 from typing import Protocol
 
 from pyspark.ml import PipelineModel
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from leverscope.errors import AnalysisError
 from leverscope.functions.scalars import quoted
+from leverscope.operators.ensemble import TreeScorer, read_trees
 
 # Columns the library itself adds to a model frame; inputs must not use these names.
 RESERVED = ("prediction", "probability", "actual", "split", "split_hash", "own_loss", "inputs")
@@ -96,6 +98,12 @@ class PipelineScorer:
         self.classes = classes
         self.pipeline = pipeline
 
+    @cached_property
+    def trees(self) -> TreeScorer | None:
+        """The same model as a node table, for answers to many variants of a row; read once per model object."""
+        found = read_trees(self.pipeline, self.classes)
+        return None if found is None else TreeScorer(self.pipeline, found)
+
     def score(self, df: DataFrame) -> DataFrame:
         *preparation, learner = self.pipeline.stages
         ready = df

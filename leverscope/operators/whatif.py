@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leverscope.functions.scalars import finite_or_null, parse_number
+from leverscope.operators.evaluate import class_table
 from leverscope.operators.joins import lookup_join, small_enough
 from leverscope.operators.prepare import Features, Fill
 from leverscope.functions.scalars import quoted
@@ -72,30 +75,36 @@ def scenario_rows(
     )
 
 
-def _score_variants(variants: DataFrame, scorer: Scorer, carry: list[str]) -> DataFrame:
-    outcome = ["prediction"] + (["probability"] if scorer.classes is not None else [])
-    return scorer.score(variants).select(*carry, *outcome)
+# Names of the scenario's own cells and of its answers while inputs stand beside them.
+HELD, ANSWER = "whatif_row", "whatif_answer_"
 
 
-def _variants(rows: DataFrame, features: Features, fill: Fill | None) -> DataFrame:
-    """One row per scenario and variant: 0 original, 1 edited, 1 + j input j reset."""
+def _with_answers(rows: DataFrame, features: Features, scorer: Scorer, fill: Fill | None) -> DataFrame:
+    """(HELD, one answer column per variant): 0 original, 1 edited, 1 + j input j reset.
+
+    The variants of a scenario are scored one after another where its row lies: nothing is
+    expanded, grouped or joined back.
+    """
     names = features.names
-    last = 1 if fill is None else len(names) + 1
-    spread = rows.where(F.col("status") == "ok").select(
-        "scenario_id",
-        "original",
-        "edited",
-        F.explode(F.sequence(F.lit(0), F.lit(last))).alias("variant"),
-    )
-    columns = []
-    for j, c in enumerate(names, 2):
-        value = F.when(F.col("variant") == 0, F.col("original")[c])
-        if fill is not None:
-            kind = "double" if c in features.numeric else "string"
-            standard = fill.numeric[c] if c in features.numeric else fill.categorical[c]
-            value = value.when(F.col("variant") == j, F.lit(standard).cast(kind))
-        columns.append(value.otherwise(F.col("edited")[c]).alias(c))
-    return spread.select("scenario_id", "variant", *columns)
+    before, after = F.col(HELD)["original"], F.col(HELD)["edited"]
+    outcome = "prediction" if scorer.classes is None else "probability"
+    out = rows.select(F.struct("*").alias(HELD))
+    answers: list[str] = []
+    for variant in range(2 if fill is None else len(names) + 2):
+        inputs = []
+        for j, c in enumerate(names, 2):
+            value = (before if variant == 0 else after)[c]
+            if variant == j:
+                numeric = c in features.numeric
+                value = F.lit(fill.numeric[c] if numeric else fill.categorical[c]).cast("double" if numeric else "string")
+            inputs.append(value.alias(c))
+        scored = scorer.score(out.select(HELD, *answers, *inputs))
+        kept = [F.col(outcome).alias(f"{ANSWER}{variant}")]
+        if scorer.classes is not None and variant < 2:
+            kept.append(F.col("prediction").alias(f"{ANSWER}class_{variant}"))
+        out = scored.select(HELD, *answers, *kept)
+        answers = out.columns[1:]
+    return out
 
 
 def whatif(
@@ -107,48 +116,35 @@ def whatif(
     the class predicted before and after, the two classes, ``baseline_focus`` (the
     chance, before, of the class predicted after) and all ``probabilities``. With
     ``fill``: ``contributions`` = prediction minus the prediction with one input put
-    back to its standard value, largest first.
-
-    All variants of a scenario are scored together; grouping them moves one row each.
+    back to its standard value, largest first. All of them are NULL where no row was found.
     """
     names = features.names
-    scored = _score_variants(_variants(rows, features, fill), scorer, ["scenario_id", "variant"])
+    answered = _with_answers(rows, features, scorer, fill)
     classify = scorer.classes is not None
-
-    def of(variant: int, column: str) -> Column:
-        return F.max(F.when(F.col("variant") == variant, F.col(column)))
-
-    measures = [of(0, "prediction").alias("before"), of(1, "prediction").alias("after")]
     alternatives = range(2, len(names) + 2) if fill is not None else ()
-    if classify:
-        measures += [of(0, "probability").alias("chances_before"), of(1, "probability").alias("chances_after")]
-    for j in alternatives:
-        measures.append(of(j, "probability" if classify else "prediction").alias(f"alt{j}"))
-    grouped = scored.groupBy("scenario_id").agg(*measures)
-
     if classify:
         labels = F.array(*[F.lit(c) for c in scorer.classes])
-        first, then = F.col("before").cast("int") + 1, F.col("after").cast("int") + 1
-        prediction = F.element_at("chances_after", then)
+        first, then = (F.col(f"{ANSWER}class_{i}").cast("int") + 1 for i in range(2))
+        prediction = F.element_at(f"{ANSWER}1", then)
         main = {
-            "baseline": F.element_at("chances_before", first),
+            "baseline": F.element_at(f"{ANSWER}0", first),
             "prediction": prediction,
-            "baseline_focus": F.element_at("chances_before", then),
+            "baseline_focus": F.element_at(f"{ANSWER}0", then),
             "baseline_class": F.element_at(labels, first),
             "predicted_class": F.element_at(labels, then),
             "probabilities": F.arrays_zip(
-                labels.alias("label"), F.col("chances_after").alias("probability")
+                labels.alias("label"), F.col(f"{ANSWER}1").alias("probability")
             ),
         }
-        alt = {j: F.element_at(F.col(f"alt{j}"), then) for j in alternatives}
+        alt = {j: F.element_at(f"{ANSWER}{j}", then) for j in alternatives}
     else:
-        prediction = F.col("after")
+        prediction = F.col(f"{ANSWER}1")
         main = {
-            "baseline": F.col("before"),
+            "baseline": F.col(f"{ANSWER}0"),
             "prediction": prediction,
-            "delta": prediction - F.col("before"),
+            "delta": prediction - F.col(f"{ANSWER}0"),
         }
-        alt = {j: F.col(f"alt{j}") for j in alternatives}
+        alt = {j: F.col(f"{ANSWER}{j}") for j in alternatives}
     if fill is not None:
         steps = F.array(
             *[
@@ -172,7 +168,8 @@ def whatif(
             ),
             asc=False,
         )
-    results = grouped.select("scenario_id", *[v.alias(k) for k, v in main.items()])
+    found = F.col(HELD)["status"] == "ok"
+    results = answered.select(HELD, *[F.when(found, v).alias(k) for k, v in main.items()])
     if fill is not None:
         results = results.withColumn(
             "contributions",
@@ -185,24 +182,18 @@ def whatif(
                 ),
             ),
         )
-    return rows.join(results, "scenario_id", "left")
+    return results.select(f"{HELD}.*", *results.columns[1:])
 
 
 def mean_prediction(scored: DataFrame, scorer: Scorer) -> DataFrame:
     """One row; for classes (class_index, label, mean_prediction), one row per class."""
     if scorer.classes is None:
         return scored.agg(F.avg("prediction").alias("mean_prediction"))
-    means = scored.agg(
-        F.array(
-            *[F.avg(response(scorer, i)) for i in range(len(scorer.classes))]
-        ).alias("means")
-    )
-    labels = F.array(*[F.lit(c) for c in scorer.classes])
-    return means.select(F.posexplode("means").alias("class_index", "mean_prediction")).select(
-        "class_index",
-        F.element_at(labels, F.col("class_index") + 1).alias("label"),
-        "mean_prediction",
-    )
+    # One vector aggregate for all classes.
+    chances = array_to_vector(F.col("probability"))
+    means = scored.agg(vector_to_array(Summarizer.mean(chances)).alias("means"))
+    each = means.select(F.posexplode("means").alias("class_index", "mean_prediction"))
+    return each.join(class_table(scored, scorer.classes), "class_index").select("class_index", "label", "mean_prediction")
 
 
 def scored_rows(

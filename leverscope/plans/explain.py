@@ -71,7 +71,7 @@ def dependence(
     index = pick_class(scorer, class_name)
     answer = response(scorer, index)
     grid = curves.build_grid(model.frame, features, [feature])
-    curve = _held(curves.partial_dependence(model.frame, features, scorer, grid, answer))
+    curve = _held(curves.partial_dependence(model.frame, features, scorer, grid, class_index=index))
     levels = [p.x_label for p in grid] if feature in features.categorical else None
     points = curves.dependence_points(
         model.scored(), feature, features, answer, levels, color_by, keep=(model.spec.key,)

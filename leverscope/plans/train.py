@@ -201,15 +201,15 @@ def _metrics(sides: DataFrame, task: Task, classes: list[str] | None) -> dict:
         }
     hits = {r["split"]: r["accuracy"] for r in evaluate.accuracy(sides, ("split",)).collect()}
     test = sides.where(F.col("split") == "test")
-    matrix = evaluate.confusion_matrix(test, classes).persist(StorageLevel.MEMORY_AND_DISK)
-    cells = matrix.where("rows > 0").collect()  # what was seen, not k * k cells
-    counts = evaluate.class_counts(matrix)
+    seen = evaluate.confusion_cells(test).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = seen.collect()  # what occurs, not k * k cells
+    counts = evaluate.class_totals(seen, classes)
     details = evaluate.class_metrics(counts).orderBy("class_index").collect()
     auc = None
     if task.kind == "binary":
         auc = evaluate.roc_auc(test, F.element_at("probability", 2)).first()["auc"]
     f1 = evaluate.f1_scores(counts).first()["f1"]
-    matrix.unpersist()
+    seen.unpersist()
     return none | {
         "task": "classification",
         "accuracy": hits["test"],

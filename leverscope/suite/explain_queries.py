@@ -267,15 +267,11 @@ def pdp_class(spark, sf_dir):
     df = orders(spark, sf_dir, "grade")
     scorer = grade_scorer()
     grid = dependence.build_grid(df, ORDER_FEATURES, ["month", "total_k"])
-    out = None
-    for asked in ("A", "1", "no such class"):
-        index = scorers.pick_class(scorer, asked)
-        curve = dependence.partial_dependence(
-            df, ORDER_FEATURES, scorer, grid, scorers.response(scorer, index)
-        )
-        part = _rounded_curve(curve).drop("x_label").withColumn("class_label", F.lit(GRADES[index]))
-        out = part if out is None else out.unionByName(part)
-    return out
+    wanted = [scorers.pick_class(scorer, asked) for asked in ("A", "1", "no such class")]
+    curves = dependence.class_curves(df, ORDER_FEATURES, scorer, grid).where(F.col("class_index").isin(wanted))
+    return curves.select(
+        "feature", "grid_id", F.round("x", 6).alias("x"), F.round("y", MEAN_DIGITS).alias("y"), F.col("label").alias("class_label")
+    )
 
 
 PDP_CLASS_SQL = " UNION ALL ".join(

@@ -151,9 +151,8 @@ def permutation_importance_gbt(spark, sf_dir):
 def pdp_gbt(spark, sf_dir):
     model = fit(spark, sf_dir, "verdict")
     grid = dependence.build_grid(model.frame, model.spec.features)
-    answer = response(model.scorer, pick_class(model.scorer, "NG"))
     return dependence.partial_dependence(
-        model.frame, model.spec.features, model.scorer, grid, answer
+        model.frame, model.spec.features, model.scorer, grid, class_index=pick_class(model.scorer, "NG")
     )
 
 
