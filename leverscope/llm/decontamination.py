@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,9 +14,12 @@ from leverscope.llm.common import mapped, place, stored
 
 Q = 8  # characters of a q-gram
 ERRORS = 0.08  # edit budget as a share of an item's length
-SHORTEST = 40  # normalised bytes under which an item is too common to search for
+SHORTEST = 40  # normalised bytes under which an item is searched for as it stands, without edits
 BLOCK_BYTES = 4 << 20  # benchmark text that one pass broadcasts and searches for
 TABLE_BITS = 22
+WINDOW = 1 << 20  # bytes of a text whose q-grams are held at once
+DIAGONALS = 1 << 16  # of a region that one alignment tries
+_WORD = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -67,19 +71,58 @@ class Index:
         self.least = np.maximum(1, self.lengths - Q + 1 - Q * self.budgets)
         hashes = [_gram_hashes(t) if len(t) >= SHORTEST else np.zeros(0, np.uint64) for t in self.texts]
         grams = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        order = np.argsort(grams, kind="stable")
-        self.grams = grams[order]
-        self.item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])[order]
-        self.place = np.concatenate([*[np.arange(len(h)) for h in hashes], np.zeros(0, int)])[order]
+        item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
+        at = np.concatenate([*[np.arange(len(h)) for h in hashes], np.zeros(0, int)])
+        order = np.lexsort((at, item, grams))
+        grams, item, at = grams[order], item[order], at[order]
+        # Places of one q-gram no more than two band widths apart are one chain: the bands they
+        # put a hit into are neighbours, so first and last place say them all.
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (item[1:] != item[:-1]) | (np.diff(at) > 2 * (self.budgets[item[1:]] + 1))
+        self.grams, self.item, self.first = grams[new], item[new], at[new]
+        self.last = at[np.r_[np.flatnonzero(new)[1:], len(at)] - 1] if len(at) else at
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.grams >> np.uint64(64 - TABLE_BITS)] = True
-
-    def regions(self, text: np.ndarray) -> list[tuple[int, int, int]]:
+        self.longest = int(max([len(t) for t in self.texts if len(t) >= SHORTEST], default=0))
+        self.words = ahocorasick.Automaton()
+        for i, t in enumerate(self.texts):
+            if 0 < len(t) < SHORTEST:
+                word = t.tobytes().decode("latin-1")
+                self.words.add_word(word, [*self.words.get(word, []), i])
+        self.words.make_automaton()
+
+    def whole(self, text: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """First place of each short item that stands in the text between non-words."""
+        out: dict[int, tuple[int, int, int]] = {}
+        if not len(self.words):
+            return out
+        inside = _WORD[text]
+        for last, items in self.words.iter(text.tobytes().decode("latin-1")):
+            start, end = last + 1 - len(self.texts[items[0]]), last + 1
+            if items[0] in out or (start and inside[start - 1] and inside[start]) or (end < len(text) and inside[end] and inside[end - 1]):
+                continue
+            out.update(dict.fromkeys(items, (0, start, end)))
+        return out
+
+    def regions(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, first and last possible start) of bands that hold enough of an item's q-grams.
 
-        Diagonals (place in the text less place in the item) are dealt into bands of the budget's
+        The text goes through in windows that overlap by the longest item and its bands, so each
+        band lies whole in one of them.
+        """
+        overlap = self.longest + 2 * (budget(self.longest, 1.0) + 1) + Q
+        step = max(WINDOW, overlap)
+        for at in range(0, len(text) if self.longest else 0, step):
+            for item, first, last in self._regions(text[at : at + step + overlap]):
+                for low in range(first, last + 1, DIAGONALS):
+                    yield item, at + low, at + min(last, low + DIAGONALS - 1)
+
+    def _regions(self, text: np.ndarray) -> list[tuple[int, int, int]]:
+        """Diagonals (place in the text less place in the item) are dealt into bands of the budget's
         width, each hit into its band and the one before, so that neighbouring bands overlap and
-        any alignment of at most ``k`` edits lies within one of them.
+        any alignment of at most ``k`` edits lies within one of them. A hit adds one to a run of
+        bands, so runs are summed by where they begin and end, however often a text or an item repeats
+        itself. Neighbouring bands that hold enough are one region.
         """
         hashes = _gram_hashes(text)
         hits = np.flatnonzero(self.table[hashes >> np.uint64(64 - TABLE_BITS)])
@@ -90,24 +133,23 @@ class Index:
             return []
         times = high - low
         which = np.repeat(low - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
-        item, diagonal = self.item[which], np.repeat(hits, times) - self.place[which]
+        item, hit = self.item[which], np.repeat(hits, times)
         width = self.budgets[item] + 1
-        shifted = diagonal + self.lengths[item] + width  # not below the width
-        band = shifted // width
-        span = int(band.max()) + 2
-        key = np.concatenate([item * span + band, item * span + band - 1])
-        # A q-gram that an item holds twice counts once for each place in the text.
-        place = np.concatenate([np.repeat(hits, times)] * 2)
-        order = np.lexsort((place, key))
-        key, place = key[order], place[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])]
-        key, count = np.unique(key[new], return_counts=True)
-        item = key // span
-        enough = count >= self.least[item]
-        item, band = item[enough], key[enough] % span
+        base = hit + self.lengths[item] + width  # diagonals from here are not below the width
+        begin, end = (base - self.last[which]) // width - 1, (base - self.first[which]) // width
+        span = int(end.max()) + 3
+        keys, steps = np.unique(np.concatenate([item * span + begin, item * span + end + 1]), return_inverse=True)
+        change = np.bincount(steps[: len(item)], minlength=len(keys)) - np.bincount(steps[len(item) :], minlength=len(keys))
+        enough = np.flatnonzero(np.cumsum(change) >= self.least[keys // span])  # from this key to before the next
+        if not len(enough):
+            return []
+        follows = np.r_[False, np.diff(enough) == 1]
+        opened = enough[~follows]
+        closed = enough[np.r_[~follows[1:], True]]
+        item, first, last = keys[opened] // span, keys[opened] % span, keys[closed + 1] % span - 1
         width = self.budgets[item] + 1
-        first = band * width - self.lengths[item] - width
-        return list(zip(item.tolist(), first.tolist(), (first + 2 * width - 1).tolist()))
+        shift = self.lengths[item] + width
+        return list(zip(item.tolist(), (first * width - shift).tolist(), ((last + 2) * width - shift - 1).tolist()))
 
 
 def align(item: np.ndarray, text: np.ndarray, first: int, last: int, k: int) -> tuple[int, int, int] | None:
@@ -120,12 +162,12 @@ def align(item: np.ndarray, text: np.ndarray, first: int, last: int, k: int) ->
     if found >= 0:
         return 0, max(0, first) + found, max(0, first) + found + len(item)
     low, width = first - k, last - first + 2 * k + 1
-    columns = low + np.arange(width)
-    big = 1 << 20
-    cost = np.where((columns >= 0) & (columns <= len(text)), 0, big)
+    columns = low + np.arange(width, dtype=np.int32)
+    big = np.int32(1 << 20)
+    cost = np.where((columns >= 0) & (columns <= len(text)), np.int32(0), big)
     start = columns.copy()
     padded = np.concatenate([text, [0]]).astype(np.int16)
-    ramp = np.arange(width)
+    ramp = np.arange(width, dtype=np.int32)
     for i, c in enumerate(item):
         at = columns + i  # text place that the diagonal meets in this row
         inside = (at >= 0) & (at < len(text))
@@ -138,10 +180,12 @@ def align(item: np.ndarray, text: np.ndarray, first: int, last: int, k: int) ->
         # Text characters without partner: a run along the row, one edit each.
         level = new - ramp
         best = np.minimum.accumulate(level)
-        source = np.maximum.accumulate(np.where(level == best, ramp, 0))
+        source = np.maximum.accumulate(np.where(level == best, ramp, np.int32(0)))
         ok = (columns + i + 1 >= 0) & (columns + i + 1 <= len(text))
         cost = np.where(ok, best + ramp, big)
         start = new_start[source]
+        if i % 64 == 63 and cost.min() > k:
+            return None
     at = int(np.argmin(cost))
     if cost[at] > k:
         return None
@@ -154,10 +198,22 @@ def _contains(text: np.ndarray, item: np.ndarray) -> int:
 
 def _found_in(index: Index, text: np.ndarray) -> dict[int, tuple[int, int, int]]:
     """Best match of each item that the text holds."""
-    out: dict[int, tuple[int, int, int]] = {}
+    out, searched = index.whole(text), set()
     for item, first, last in index.regions(text):
+        if item not in searched:  # as it stands first: a long item in a repetitive text takes no alignment
+            searched.add(item)
+            at = _contains(text, index.texts[item])
+            if at >= 0:
+                out[item] = (0, at, at + int(index.lengths[item]))
         if out.get(item, (1,))[0]:
-            match = align(index.texts[item], text, first, last, int(index.budgets[item]))
+            k = int(index.budgets[item])
+            begin = max(0, first - k)
+            around = (item, first - begin, last - first, text[begin : max(0, last + len(index.texts[item]) + k)].tobytes())
+            if hash(around) in searched:  # the like was aligned before and comes first
+                continue
+            searched.add(hash(around))
+            # A later region has to be better than the best one so far.
+            match = align(index.texts[item], text, first, last, min(k, out[item][0] - 1) if item in out else k)
             if match and match < out.get(item, (1 << 20,)):
                 out[item] = match
     return out
@@ -184,13 +240,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS)
     bytes may differ from its region by ``int(errors * m)`` edits; by the q-gram lemma the region
     shares ``m + 1 - q * (k + 1)`` q-grams with it on neighbouring diagonals. Shared q-grams are
     counted in overlapping bands of diagonals, and regions that meet the bound are aligned in their
-    band. Whole documents are searched; the items go out in blocks of bounded size, each block in
+    band. Long texts go through in windows, so memory follows the longest item (some 200 bytes for each of its
+    own), not the text. Whole documents are searched; the items go out in blocks of bounded size, each block in
     one pass without a shuffle, however many there are.
 
     Columns: doc_id, item_id, edits, start, end (bytes of the document's UTF-8 text, end
-    exclusive): the match of fewest edits, then first. Null texts match nothing; items of fewer
-    than 40 bytes are not searched for; repeated rows give repeated matches; other columns
-    are not read.
+    exclusive): the match of fewest edits, then first. Items of fewer than 40 bytes are found as they stand,
+    between characters of no word. Null texts and empty items match nothing; repeated rows give repeated
+    matches; other columns are not read.
     """
     spark = docs.sparkSession
     texts = docs.toDF(*[c.lower() for c in docs.columns]).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -243,5 +300,5 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple]:
     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
         if text.is_valid:
             raw = np.frombuffer(text.as_buffer(), np.uint8)
-            if len(raw) >= SHORTEST // 2:
+            if len(raw):
                 yield doc, *normalised(raw)

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,11 +70,14 @@ class Mentions:
     def __init__(self, text: str):
         self.base = base_spans(text)
         nodes = [(s, e, k) for k, s, e in self.base]
-        locals_ = {text[s : text.index("@", s)] for k, s, e in self.base if k == 0}
-        end = 0
+        names = self._names(text, {text[s : text.index("@", s)] for k, s, e in self.base if k == 0})
+        end = at = 0
         for start, stop in [*sorted((s, e) for _, s, e in self.base), (len(text), len(text))]:
             if start > end:
-                nodes += self._hidden(text, end, start, locals_)
+                here = at
+                while at < len(names) and names[at][0] < start:
+                    at += 1
+                nodes += self._hidden(text, end, start, [n for n in names[here:at] if n[0] >= end and n[1] <= start])
             end = max(end, stop)
         nodes.sort()
         self.spans = [(s, e) for s, e, _ in nodes]
@@ -81,15 +85,22 @@ class Mentions:
         self.forms = [self._form(text[s:e], k) for s, e, k in nodes]
 
     @staticmethod
-    def _hidden(text: str, start: int, stop: int, locals_: set[str]) -> list[tuple]:
+    def _names(text: str, locals_: set[str]) -> list[tuple[int, int]]:
+        """Where the local parts of known addresses stand, by place: one pass for any number of them."""
+        wanted = [name for name in locals_ if len(name) >= 5 and not name.isalpha()]
+        if not wanted:
+            return []
+        automaton = ahocorasick.Automaton()
+        for name in wanted:
+            automaton.add_word(name, len(name))
+        automaton.make_automaton()
+        return sorted((last + 1 - size, last + 1) for last, size in automaton.iter(text))
+
+    @staticmethod
+    def _hidden(text: str, start: int, stop: int, names: list[tuple[int, int]]) -> list[tuple]:
         found = [m.span() for m in _AT.finditer(text, start, stop)] if text.find("@", start, stop) >= 0 else []
         found += [m.span() for m in _NUMBER.finditer(text, start, stop) if len(_DIGIT.findall(m.group())) >= WEAK]
-        for name in locals_:
-            if len(name) >= 5 and not name.isalpha():
-                at = text.find(name, start, stop)
-                while at >= 0:
-                    found.append((at, at + len(name)))
-                    at = text.find(name, at + len(name), stop)
+        found += names
         out, end = [], -1
         for s, e in sorted(found):
             if s >= end:

@@ -3,6 +3,8 @@ import math
 import random
 import re
 import sys
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -189,6 +191,23 @@ def test_tags_of_odd_rows(spark):
         privacy.spans_of(text, potentials)
 
 
+def test_fifty_thousand_addresses_in_one_text_take_seconds():
+    text = " ".join(f"name{i}@host.example and name{i}" for i in range(50_000))
+    start = time.perf_counter()
+    base, spans = privacy.spans_of(text, privacy.Potentials({("same", 1): 30}))
+    assert time.perf_counter() - start < 60
+    assert len(base) == 50_000 and len(spans) >= 50_000
+
+
+def test_names_are_found_where_plain_search_finds_them():
+    rng = random.Random(4)
+    for _ in range(200):
+        names = {"".join(rng.choices("ab1", k=rng.randint(3, 8))) for _ in range(6)}
+        text = "".join(rng.choices("ab1 ", k=120))
+        wanted = [n for n in names if len(n) >= 5 and not n.isalpha()]
+        assert privacy.Mentions._names(text, names) == sorted((m.start(), m.start() + len(n)) for n in wanted for m in re.finditer(f"(?={re.escape(n)})", text))
+
+
 # ---- decontamination
 
 def least_edits(item, text):
@@ -245,6 +264,70 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontamination.contaminated(docs, benchmark).collect())) == want and len(want) == 9
 
 
+def brute_regions(index, text):
+    """Every band of every item by counting distinct hit places one by one."""
+    out = set()
+    grams = [bytes(text[i : i + decontamination.Q]) for i in range(len(text) - decontamination.Q + 1)]
+    for i, item in enumerate(index.texts):
+        if len(item) < decontamination.SHORTEST:
+            continue
+        width, length = int(index.budgets[i]) + 1, len(item)
+        at = {}
+        for p in range(length - decontamination.Q + 1):
+            at.setdefault(bytes(item[p : p + decontamination.Q]), []).append(p)
+        held = {}
+        for x, g in enumerate(grams):
+            for p in at.get(g, ()):
+                band = (x - p + length + width) // width
+                held.setdefault(band, set()).add(x)
+                held.setdefault(band - 1, set()).add(x)
+        for band, places in held.items():
+            if len(places) >= index.least[i]:
+                first = band * width - length - width
+                out.update((i, d) for d in range(first, first + 2 * width))
+    return out
+
+
+@pytest.mark.parametrize("window", [1 << 20, 1])
+def test_bands_hold_what_counting_one_by_one_finds(monkeypatch, window):
+    monkeypatch.setattr(decontamination, "WINDOW", window)
+    rng = random.Random(8)
+    items = [bytes(rng.choices(b"ab", k=60)), b"_" * 70, b"ab" * 40, b"abcd" * 30 + b"_" * 50, bytes(rng.choices(b"abcdefgh", k=90))]
+    index = decontamination.Index(list(enumerate(items)), decontamination.ERRORS)
+    for _ in range(12):
+        parts = [bytes(rng.choices(b"ab_", k=rng.randint(0, 80))) for _ in range(3)] + [rng.choice(items)[rng.randint(0, 9) :], b"_" * rng.randint(0, 200), b"ab" * rng.randint(0, 60)]
+        rng.shuffle(parts)
+        text = np.frombuffer(b"".join(parts), np.uint8)
+        got = {(i, d) for i, first, last in index.regions(text) for d in range(first, last + 1)}
+        want = brute_regions(index, text)
+        assert got >= want and (window == 1 or got == want)
+
+
+def test_repetitive_texts_and_items_stay_small():
+    item = b"Name: " + b"_" * 200 + b" Date: " + b"_" * 200
+    index = decontamination.Index([(1, item), (2, b"x" * 1_000_000), (3, b"yes")], decontamination.ERRORS)
+    start = time.perf_counter()
+    for text in (b"_" * 5_000_000, b"before " + item + b" after", b"z" * 100 + b"x" * 1_000_100, b"Yes, yes", b"yesterday"):
+        clean = decontamination.normalised(np.frombuffer(text, np.uint8))[0]
+        found = set(decontamination._found_in(index, clean))
+        # The underscores alone lie within the first item's 32 edits.
+        assert found == ({0} if text[:1] in b"_b" else {1} if text[:1] == b"z" else {2} if text.startswith(b"Yes") else set())
+    assert time.perf_counter() - start < 120
+    index = decontamination.Index([(1, item)], decontamination.ERRORS)
+    tracemalloc.start()
+    assert decontamination._found_in(index, np.frombuffer(b"_" * 5_000_000, np.uint8))
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    docs = frame(spark, [(1, "So: What  is IT? Yes."), (2, "whatis it?"), (3, "What is it"), (4, "")], "doc_id long, text string")
+    items = frame(spark, [(1, "what is it?"), (2, "what is it"), (3, ""), (4, None)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontamination.contaminated(docs, items).collect())
+    assert got == [(1, 1, 0), (1, 2, 0), (3, 2, 0)]
+    assert sorted(r[0] for r in decontamination.without_leaks(docs, items).collect()) == [2, 4]
+
+
 # ---- language model
 
 def tokens(text):
