@@ -14,6 +14,7 @@ from leverscope.errors import AnalysisError
 from leverscope.functions.scalars import NA_TOKENS
 from leverscope.functions.scalars import quoted
 from leverscope.operators.profile import ColumnProfile, load_table
+from leverscope.sources.records import quoted_records
 
 _OVERFLOW = "overflow_cell"
 
@@ -61,7 +62,9 @@ def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
     return sorted(r["files"] for r in alike) or [files]
 
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv_text(
+    spark: SparkSession, path: str, multi_line: bool = True, split: bool = False, split_bytes: int | None = None
+) -> DataFrame:
     """A headed CSV as text columns; a missing-cell word becomes NULL.
 
     Names are kept as written (the reader would rename repeated and blank ones), a
@@ -69,43 +72,62 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     inferred. A row wider than the header fails the read with ``invalidCsv``. Files of a
     folder are read by name: another order of columns is followed, other names fail
     with ``invalidCsv``. Cells may hold line breaks, so a file is one task; give
-    ``multi_line=False`` for large files without such cells, which are then split.
+    ``multi_line=False`` for large files without such cells, which are then split, or
+    ``split=True`` for large files with them (see ``sources.records``; ``split_bytes`` is the
+    size of a split, by default the session's).
     """
+    if split and split_bytes is not None:
+        spark = spark.newSession()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
     names = _header(spark, path, multi_line)
     out = None
     for files in _by_header(spark, path):
         own = _header(spark, files, multi_line)
         if sorted(own) != sorted(names):
             raise AnalysisError("invalidCsv", f"Files differ in their columns: {', '.join(names)} and {', '.join(own)}.")
-        part = _read_alike(spark, files, own, multi_line)
+        part = _read_split(spark, files, own) if split else _read_alike(spark, files, own, multi_line)
         if own != names:
             part = part.select(*[quoted(n) for n in names])
         out = part if out is None else out.union(part)
     return out
 
 
-def _read_alike(spark: SparkSession, files: list[str], names: list[str], multi_line: bool) -> DataFrame:
+def _text_schema(names: list[str]) -> T.StructType:
     fields = [f"c{i}" for i in range(len(names))] + [_OVERFLOW]
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    raw = spark.read.schema(schema).options(**CSV_FORMAT).csv(
+    return T.StructType([T.StructField(f, T.StringType()) for f in fields])
+
+
+def _read_alike(spark: SparkSession, files: list[str], names: list[str], multi_line: bool) -> DataFrame:
+    raw = spark.read.schema(_text_schema(names)).options(**CSV_FORMAT).csv(
         files, header=True, enforceSchema=True, mode="PERMISSIVE", multiLine=multi_line
     )
+    return _cells(raw, names)
+
+
+def _read_split(spark: SparkSession, files: list[str], names: list[str]) -> DataFrame:
+    options = {**CSV_FORMAT, "multiLine": "true", "mode": "PERMISSIVE"}
+    cells = F.from_csv("record", _text_schema(names).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+    return _cells(quoted_records(spark, files).select(cells.alias("r")).select("r.*"), names)
+
+
+def _cells(raw: DataFrame, names: list[str]) -> DataFrame:
     # Checked where the first cell is read, in the same pass as everything else.
     width_ok = F.when(
         F.col(_OVERFLOW).isNotNull(),
         F.raise_error(F.lit("invalidCsv: a row has more cells than the header")),
     )
-    cells = [F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)) for c in fields[:-1]]
+    fields = raw.columns[:-1]
+    cells = [F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)) for c in fields]
     cells[0] = F.coalesce(width_ok.cast("string"), cells[0])
     return raw.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).toDF(*names)
 
 
 def load_csv(
-    spark: SparkSession, path: str, multi_line: bool = True, key: str | None = None
+    spark: SparkSession, path: str, multi_line: bool = True, key: str | None = None, split: bool = False
 ) -> tuple[DataFrame, list[ColumnProfile]]:
     """Read, type and coerce a CSV file or folder; ``key`` is passed through as text."""
     try:
-        return load_table(read_csv_text(spark, path, multi_line), key)
+        return load_table(read_csv_text(spark, path, multi_line, split), key)
     except AnalysisError:
         raise
     except Exception as problem:
@@ -115,8 +137,9 @@ def load_csv(
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """One headed CSV file per partition; missing cells are empty, quotes are doubled."""
-    df.write.mode(mode).options(**CSV_FORMAT).option("header", True).csv(path)
+    """One headed CSV file per partition; missing cells are empty, quotes are doubled, blanks around a text stay."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**CSV_FORMAT, **kept).option("header", True).csv(path)
 
 
 def column_names(columns: Iterable) -> list[str]:

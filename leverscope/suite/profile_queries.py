@@ -396,8 +396,8 @@ UNION ALL SELECT 'absent', 'missingTarget'
 STANDARD_COLUMNS = {
     "doc": "doc_id",
     "note": (
-        "CASE doc_id % 4 WHEN 0 THEN concat('say \"', substr(text, 1, 40), '\", twice \"\"') WHEN 1 THEN concat('C:\\\\dir\\\\', source, ',')"
-        " WHEN 2 THEN text ELSE concat(lang, chr(10), source) END"
+        "CASE doc_id % 4 WHEN 0 THEN concat('say \"', text, '\", twice \"\"') WHEN 1 THEN concat('C:\\\\dir\\\\', text, ',')"
+        " WHEN 2 THEN text ELSE concat(lang, chr(10), '\"', chr(10), text, chr(10)) END"
     ),
 }
 
@@ -410,11 +410,23 @@ def csv_standard(spark, sf_dir):
     return read_csv_text(spark, path).select(F.col("doc").cast("long").alias("doc"), "note")
 
 
+SPLIT_BYTES = 256 << 10  # so that the small test tables, too, are read by several tasks
+
+
+def csv_split(spark, sf_dir):
+    """The same texts, a file read by a task per split although records cross splits."""
+    path = scratch(spark, "csv-split")
+    rows = table(spark, sf_dir, "documents").selectExpr(*[f"{e} AS {c}" for c, e in STANDARD_COLUMNS.items()])
+    write_csv(rows, path)
+    return read_csv_text(spark, path, split=True, split_bytes=SPLIT_BYTES).select(F.col("doc").cast("long").alias("doc"), "note")
+
+
 CSV_STANDARD_SQL = f"SELECT doc_id AS doc, {STANDARD_COLUMNS['note']} AS note FROM documents".replace("\\\\", "\\")
 
 ENTRIES = {
     "validate_target": (validate_target, VALIDATE_SQL),
     "csv_standard": (csv_standard, CSV_STANDARD_SQL),
+    "csv_split": (csv_split, CSV_STANDARD_SQL),
     "csv_roundtrip": (csv_roundtrip, CSV_SQL),
     "json_table_ingest": (json_table_ingest, JSON_SQL),
     "synth_quality": (
