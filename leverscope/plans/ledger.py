@@ -56,11 +56,11 @@ def dataset_list(datasets: DataFrame, order: str = "created_at", key: str = "dat
 
 
 def fold_trainings(trainings: DataFrame) -> DataFrame:
-    """One row per version: first training time, everything else from the last one."""
+    """One row per version: first training time, everything else from the last one; of equal times the greater row as JSON."""
     whole = F.struct(*[F.col(c) for c in trainings.columns if c not in ("version_id", "trained_at")])
     return trainings.groupBy("version_id").agg(
         F.min("trained_at").alias("trained_at"),
-        F.max_by(whole, F.col("trained_at")).alias("row"),
+        F.max_by(whole, F.struct("trained_at", F.to_json(whole))).alias("row"),
     ).select("version_id", "trained_at", "row.*")
 
 

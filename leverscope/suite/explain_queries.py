@@ -236,7 +236,7 @@ def _grid_sql(column: str, source: str) -> str:
               count(DISTINCT {column}) AS n FROM ({source})), (SELECT unnest(range(24)) AS i) WHERE n >= 24)"""
 
 
-def _curve_sql(column: str, source: str, answer: str) -> str:
+def curve_sql(column: str, source: str, answer: str) -> str:
     return (
         f"SELECT '{column}' AS feature, grid_id, x, cast(NULL AS string) AS x_label, avg({answer}) AS y"
         f" FROM ({source}) CROSS JOIN {_grid_sql(column, source)} g GROUP BY grid_id, x"
@@ -244,7 +244,7 @@ def _curve_sql(column: str, source: str, answer: str) -> str:
 
 
 LINE_CURVES_SQL = " UNION ALL ".join(
-    _curve_sql(c, LINES_SQL, line_prediction(**{c: "g.x"})) for c in NUMERIC_CURVES
+    curve_sql(c, LINES_SQL, line_prediction(**{c: "g.x"})) for c in NUMERIC_CURVES
 )
 CURVE_COLUMNS = f"feature, grid_id, {rounded('x')} AS x, x_label, {rounded('y', MEAN_DIGITS)} AS y"
 
@@ -276,7 +276,7 @@ def pdp_class(spark, sf_dir):
 
 PDP_CLASS_SQL = " UNION ALL ".join(
     f"SELECT feature, grid_id, {rounded('x')} AS x, {rounded('y', MEAN_DIGITS)} AS y, '{label}' AS class_label FROM ("
-    + _curve_sql(c, ORDERS_SQL, grade_chances(**{c: "g.x"})[i])
+    + curve_sql(c, ORDERS_SQL, grade_chances(**{c: "g.x"})[i])
     + ")"
     for c in ("month", "total_k")
     for i, label in enumerate(GRADES)

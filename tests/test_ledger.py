@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from leverscope.errors import AnalysisError
 from leverscope.operators.profile import load_table
-from leverscope.plans.ledger import Ledger
+from leverscope.plans.ledger import Ledger, fold_trainings
 from leverscope.sources.catalog import register_dataset
 from leverscope.sources.synthetic import generate_process_quality
 
@@ -126,3 +126,13 @@ def test_whatif_notes(ledger, spark):
     note = ledger.table("notes").first()
     assert note["note_id"] == "7" and note["request_json"] == '{"applied":{"a":"1"}}'
     assert note["response_json"] == '{"prediction":2.5}'
+
+
+def test_trainings_of_one_time_fold_to_the_same_row_in_any_order(spark):
+    rows = [("v1", 5, "gbr", ["a"]), ("v1", 5, "rf", ["b"]), ("v1", 3, "zz", ["c"])]
+    found = set()
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        table = spark.createDataFrame(order, "version_id string, trained_at long, algorithm string, names array<string>").coalesce(1)
+        row = fold_trainings(table).first()
+        found.add((row["trained_at"], row["algorithm"], tuple(row["names"])))
+    assert found == {(3, "rf", ("b",))}
