@@ -135,35 +135,38 @@ def confusion_rows(matrix: DataFrame) -> DataFrame:
 
 def class_counts(matrix: DataFrame) -> DataFrame:
     """Per class: support, predicted and hit counts, from the k * k matrix."""
-    labels = matrix.where(F.col("actual_index") == F.col("predicted_index")).select(
-        F.col("actual_index").alias("class_index"), F.col("actual_label").alias("label")
-    )
-    return _totals(matrix).join(labels, "class_index").select("class_index", "label", "support", "predicted", "hits")
+    each = _each_side(matrix, F.col("actual_label"), F.col("predicted_label"))
+    return each.groupBy("class_index", "label").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
 
 
 def class_totals(cells: DataFrame, classes: list[str]) -> DataFrame:
     """``class_counts`` from the cells that occur: work follows them, not the square of the classes."""
-    totals = class_table(cells, classes).join(_totals(cells), "class_index", "left")
-    return totals.select("class_index", "label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("support", "predicted", "hits")])
+    zero = F.lit(0).cast("long")
+    named = class_table(cells, classes).select("class_index", "label", *[zero.alias(c) for c in ("support", "predicted", "hits")])
+    unnamed = F.lit(None).cast("string")
+    each = _each_side(cells, unnamed, unnamed).unionByName(named)
+    return each.groupBy("class_index").agg(F.max("label").alias("label"), *[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
 
 
-def _totals(cells: DataFrame) -> DataFrame:
+def _each_side(cells: DataFrame, actual_label: Column, predicted_label: Column) -> DataFrame:
+    """Each cell as a row of its actual and one of its predicted class."""
     hit = F.col("actual_index") == F.col("predicted_index")
     zero = F.lit(0).cast("long")
     as_actual = F.struct(
         F.col("actual_index").alias("class_index"),
+        actual_label.alias("label"),
         F.col("rows").alias("support"),
         zero.alias("predicted"),
         F.when(hit, F.col("rows")).otherwise(zero).alias("hits"),
     )
     as_predicted = F.struct(
         F.col("predicted_index").alias("class_index"),
+        predicted_label.alias("label"),
         zero.alias("support"),
         F.col("rows").alias("predicted"),
         zero.alias("hits"),
     )
-    each = cells.select(F.inline(F.array(as_actual, as_predicted)))
-    return each.groupBy("class_index").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
+    return cells.select(F.inline(F.array(as_actual, as_predicted)))
 
 
 def _or_zero(top: Column, bottom: Column) -> Column:
