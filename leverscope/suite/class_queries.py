@@ -80,14 +80,14 @@ FROM g JOIN k a ON a.c = actual JOIN k p ON p.c = prediction GROUP BY ALL"""
 def class_metrics_many(spark, sf_dir):
     scored, classes = _guessed(spark, sf_dir)
     found = evaluate.class_metrics(evaluate.class_totals(evaluate.confusion_cells(scored), classes))
-    return found.select("class_index", "label", "support", *[F.round(c, 6).alias(c) for c in ("support_pct", "precision_pct", "recall_pct")])
+    return found.select("class_index", "label", "support", *[F.round(c, 6).alias(c) for c in ("precision_pct", "recall_pct")])
 
 
 METRICS_SQL = f"""
 WITH {GUESSED_SQL},
 a AS (SELECT actual AS c, count(*) AS support, count(*) FILTER (actual = prediction) AS hits FROM g GROUP BY 1),
 p AS (SELECT prediction AS c, count(*) AS predicted FROM g GROUP BY 1)
-SELECT cast(k.c AS int) AS class_index, t AS label, coalesce(support, 0) AS support, {rounded("100.0 * coalesce(support, 0) / (SELECT count(*) FROM g)")} AS support_pct,
+SELECT cast(k.c AS int) AS class_index, t AS label, coalesce(support, 0) AS support,
   {rounded("coalesce(100.0 * hits / predicted, 0.0)")} AS precision_pct, {rounded("coalesce(100.0 * hits / support, 0.0)")} AS recall_pct
 FROM k LEFT JOIN a USING (c) LEFT JOIN p USING (c)"""
 
