@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ class Trees:
     ``out`` is the column of the raw sum that a tree adds to, or None if its leaves have one value per class.
     """
 
-    kind: str  # number, two, shares, one_vs_rest
+    kind: str  # number, two, shares, one_vs_rest, softmax
     roots: np.ndarray
     slot: np.ndarray
     cut: np.ndarray
@@ -47,6 +47,7 @@ class Trees:
     levels: tuple[int, ...]  # flags per input; 0 for a number
     slot_input: np.ndarray
     uses: tuple[np.ndarray, ...]  # per input the trees that split on it
+    start: np.ndarray | None = None  # of soft-max margins, per class
 
     def slots(self, rows: np.ndarray) -> np.ndarray:
         """One line per slot from rows of prepared inputs."""
@@ -80,6 +81,13 @@ class Trees:
                     total[:, o] += found[self.out[some] == o].sum(axis=0)
         return total
 
+    def leaves(self, slots: np.ndarray, root: int) -> np.ndarray:
+        """The leaf of one tree that each row reaches."""
+        node, column = np.full(slots.shape[1], root), np.arange(slots.shape[1])
+        for _ in range(self.depth):
+            node = np.where(slots[self.slot[node], column] <= self.cut[node], self.low[node], self.high[node])
+        return node
+
     def answers(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         """(prediction, chances) from raw sums, as the fitted model's own library gives them."""
         if self.kind == "number":
@@ -88,6 +96,11 @@ class Trees:
             one = 1 / (1 + np.exp(-2 * raw[..., 0]))
             chances = np.stack([1 - one, one], axis=-1)
             return (raw[..., 0] > 0).astype(np.float64), chances
+        if self.kind == "softmax":
+            margins = raw + self.start
+            powers = np.exp(margins - margins.max(axis=-1, keepdims=True))
+            chances = powers / powers.sum(axis=-1, keepdims=True)
+            return chances.argmax(axis=-1).astype(np.float64), chances
         if self.kind == "one_vs_rest":
             raw = 1 / (1 + np.exp(-2 * raw))
         total = raw.sum(axis=-1, keepdims=True)
@@ -128,28 +141,40 @@ def _read(spark: SparkSession, model, folder: str) -> tuple[list, np.ndarray, bo
     return trees, weights, isinstance(model, RandomForestClassificationModel)
 
 
+def _placed(trees: Trees, levels: tuple[int, ...], slot_input: np.ndarray) -> Trees | None:
+    """Trees that come as a node table, with the inputs of the pipeline they belong to."""
+    if len(trees.slot) * 40 > MOST_BYTES:
+        return None
+    tree = np.repeat(np.arange(len(trees.roots)), np.diff(np.append(trees.roots, len(trees.slot))))
+    inner = trees.low != np.arange(len(trees.low))
+    input_of = slot_input[trees.slot]
+    uses = tuple(np.unique(tree[inner & (input_of == i)]) for i in range(len(levels)))
+    return replace(trees, levels=levels, slot_input=slot_input, uses=uses)
+
+
 def read_trees(pipeline: PipelineModel, classes: list[str] | None) -> Trees | None:
     """The node table of a fitted pipeline; None if its stages or splits are of another kind, or it is too large to send about."""
     *preparation, learner = pipeline.stages
     if not isinstance(preparation[-1], VectorAssembler):
         return None
+    kind = {GBTRegressionModel: "number", RandomForestRegressionModel: "number", GBTClassificationModel: "two",
+            RandomForestClassificationModel: "shares", OneVsRestModel: "one_vs_rest"}.get(type(learner))
+    indexer = next((s for s in preparation if isinstance(s, StringIndexerModel)), None)
+    flags = [len(labels) for labels in indexer.labelsArray] if indexer else []
+    numbers = len(preparation[-1].getInputCols()) - len(flags)
+    levels = (*[0] * numbers, *flags)
+    slot_input = np.repeat(np.arange(len(levels)), [max(n, 1) if i >= numbers else 1 for i, n in enumerate(levels)])
+    if kind is None:
+        own = getattr(learner, "trees", None)
+        return _placed(own, levels, slot_input) if isinstance(own, Trees) else None
     spark = SparkSession.active()
     folder = checkpoint_dir(spark, required=False)
     if folder is None:
         return None
     folder = f"{folder.rstrip('/')}/trees"
-    kind = {GBTRegressionModel: "number", RandomForestRegressionModel: "number", GBTClassificationModel: "two",
-            RandomForestClassificationModel: "shares", OneVsRestModel: "one_vs_rest"}.get(type(learner))
-    if kind is None:
-        return None
     members = learner.models if kind == "one_vs_rest" else [learner]
     if not all(isinstance(m, GBTClassificationModel) for m in members) and kind == "one_vs_rest":
         return None
-    indexer = next((s for s in preparation if isinstance(s, StringIndexerModel)), None)
-    flags = [len(labels) for labels in indexer.labelsArray] if indexer else []
-    numbers = len(preparation[-1].getInputCols()) - len(flags)
-    levels = (*[0] * numbers, *flags)
-    slot_input = np.repeat(np.arange(len(levels)), [max(n, 1) if i >= numbers else 1 for i, n in enumerate(levels)])
     outputs = len(classes) if kind in ("shares", "one_vs_rest") else 1
     slot, cut, low, high, value, roots, out, used, depth = [], [], [], [], [], [], [], [], 1
     for place, member in enumerate(members):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from leverscope.errors import AnalysisError
 from leverscope.functions.scalars import quoted
+from leverscope.operators.boosting import SoftmaxBoosting
 from leverscope.operators.prepare import Features, Fill, Task
 from leverscope.session import checkpoint_dir
 
@@ -26,7 +27,8 @@ class LearnerSettings:
     """Tree counts and depths.
 
     ``forest_depth`` is bounded because Spark's trees are (30 at most). Without
-    ``bootstrap`` every tree of a forest sees each row once.
+    ``bootstrap`` every tree of a forest sees each row once. ``joint_classes``: boosting of three
+    or more classes is one soft-max model; else one model per class with chances scaled to one.
     """
 
     trees: int = 80
@@ -38,6 +40,7 @@ class LearnerSettings:
     seed: int = 42
     parallel_classes: int = 4
     bootstrap: bool = True
+    joint_classes: bool = True
 
     def for_rows(self, rows: int) -> LearnerSettings:
         if rows >= SMALL_ROWS:
@@ -94,7 +97,7 @@ def preparation_stages(features: Features, fill: Fill) -> list:
     return stages
 
 
-def learner(algorithm: str, task: Task, settings: LearnerSettings) -> Estimator:
+def learner(algorithm: str, task: Task, settings: LearnerSettings, classes: int | None = None) -> Estimator:
     if algorithm not in ALGORITHMS:
         raise AnalysisError("invalidAlgorithm", f"Use one of {', '.join(ALGORITHMS)}.")
     common = {
@@ -122,6 +125,9 @@ def learner(algorithm: str, task: Task, settings: LearnerSettings) -> Estimator:
         return GBTRegressor(**boosting, **common)
     if task.kind == "binary":
         return GBTClassifier(**boosting, **common)
+    if settings.joint_classes and classes:
+        return SoftmaxBoosting(classes=classes, rounds=settings.trees, depth=settings.boosting_depth, step=settings.boosting_step,
+                               bins=settings.bins, seed=settings.seed, parallel=settings.parallel_classes)
     return OneVsRest(
         classifier=GBTClassifier(**boosting, **common),
         featuresCol="inputs",
@@ -137,6 +143,7 @@ def fit_pipeline(
     algorithm: str,
     task: Task,
     settings: LearnerSettings,
+    classes: int | None = None,
 ) -> PipelineModel:
     """Fit on ``train`` (the features and ``actual``).
 
@@ -144,7 +151,7 @@ def fit_pipeline(
     executor costs a few rounds at most.
     """
     checkpoint_dir(train.sparkSession, required=False)
-    stages = [*preparation_stages(features, fill), learner(algorithm, task, settings)]
+    stages = [*preparation_stages(features, fill), learner(algorithm, task, settings, classes)]
     return Pipeline(stages=stages).fit(
         train.select(*[quoted(c) for c in features.names], "actual")
     )

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from leverscope.errors import AnalysisError
 from leverscope.functions.scalars import quoted
+from leverscope.operators.boosting import SoftmaxTreesModel
 from leverscope.operators.ensemble import TreeScorer, read_trees
 
 # Columns the library itself adds to a model frame; inputs must not use these names.
@@ -113,7 +114,7 @@ class PipelineScorer:
             scored = _one_vs_rest(ready, learner)
         else:
             scored = learner.transform(ready)
-            if self.classes is not None:
+            if self.classes is not None and not isinstance(learner, SoftmaxTreesModel):
                 scored = scored.withColumn("probability", vector_to_array("probability"))
         keep = [*df.columns, "prediction"] + (["probability"] if self.classes is not None else [])
         return scored.select(*[quoted(c) for c in keep])

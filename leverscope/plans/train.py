@@ -149,7 +149,8 @@ def fit_model(
     fill = fill_values(train, features)
     tasks = min(MOST_TASKS, -(-rows // ROWS_PER_TASK))
     train = train.repartition(tasks, quoted(key)).sortWithinPartitions(quoted(key))
-    pipeline = fit_pipeline(train, features, fill, algorithm, kind, settings.for_rows(rows))
+    pipeline = fit_pipeline(train, features, fill, algorithm, kind, settings.for_rows(rows),
+                            len(classes) if classes else None)
     scorer = PipelineScorer(pipeline, classes)
     metrics = {
         "algorithm": ALGORITHMS[algorithm],

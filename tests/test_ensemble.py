@@ -1,5 +1,7 @@
 """Answers from the node table against those of the fitted pipeline itself."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -32,11 +34,12 @@ def table(spark):
         "three", F.when(value > 20, "x").when(value > 5, "y").otherwise("z")).cache()
 
 
-@pytest.fixture(scope="module", params=[("y", "gbr", "auto"), ("y", "rf", "auto"), ("two", "gbr", "auto"), ("three", "gbr", "multiclass"), ("three", "rf", "multiclass")],
+@pytest.fixture(scope="module", params=[("y", "gbr", "auto"), ("y", "rf", "auto"), ("two", "gbr", "auto"), ("three", "gbr", "multiclass"), ("three", "gbr apart", "multiclass"), ("three", "rf", "multiclass")],
                 ids=lambda p: "-".join(p[:2]))
 def model(request, table):
     target, algorithm, task = request.param
-    return fit_model(table.select("row_key", "a", "b", "idle", "c", target), target, algorithm, task, settings=SETTINGS, with_metrics=False)
+    settings = replace(SETTINGS, joint_classes=not algorithm.endswith("apart"))
+    return fit_model(table.select("row_key", "a", "b", "idle", "c", target), target, algorithm.split()[0], task, settings=settings, with_metrics=False)
 
 
 def test_raw_sums_give_the_pipelines_answers(model):
