@@ -26,7 +26,7 @@ from leverscope.sources.synthetic import (
     process_quality,
     reject_score,
 )
-from leverscope.sources.tables import json_rows, load_csv, read_csv_text, write_csv
+from leverscope.sources.tables import json_rows, json_variant_rows, load_csv, read_csv_text, write_csv
 from leverscope.suite.frames import (
     RAW,
     RAW_SQL,
@@ -94,6 +94,27 @@ FROM events
 """
 
 
+# Keys beyond 2^53; every third cell of ``note`` is an object, every third a text that looks like one.
+VARIANT_BODY = (
+    "concat('{\"big\": ', 9007199254740993 + event_id, ', \"note\": ', CASE event_id % 3 WHEN 0 THEN concat('{\"t\":\"', event_type, '\"}')"
+    " WHEN 1 THEN concat('\"[', event_type, ']\"') ELSE 'null' END, '}')"
+)
+
+
+def json_variant_ingest(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(VARIANT_BODY).alias("body"))
+    found = json_variant_rows(rows, F.col("body"), ["big", "note"], keep=("event_id",))
+    return found.withColumn("nested", F.array_join("nested", ","))
+
+
+JSON_VARIANT_SQL = """
+SELECT event_id, cast(9007199254740993 + event_id AS varchar) AS big,
+  CASE event_id % 3 WHEN 0 THEN concat('{"t":"', event_type, '"}') WHEN 1 THEN concat('[', event_type, ']') END AS note,
+  CASE event_id % 3 WHEN 0 THEN 'note' ELSE '' END AS nested
+FROM events
+"""
+
+
 def _hash_sql(key: str, seed: int, stream: str, digits: int) -> str:
     return f"cast('0x' || substr(md5('{seed}|{stream}|' || {key}), 1, {digits}) AS bigint)"
 
@@ -429,6 +450,7 @@ ENTRIES = {
     "csv_split": (csv_split, CSV_STANDARD_SQL),
     "csv_roundtrip": (csv_roundtrip, CSV_SQL),
     "json_table_ingest": (json_table_ingest, JSON_SQL),
+    "json_variant_ingest": (json_variant_ingest, JSON_VARIANT_SQL),
     "synth_quality": (
         synth_quality,
         _synth_sql(f"(round({CONDUCTIVITY_SQL} + {CONDUCTIVITY_NOISE} * noise, 3) + 0.0)", "TargetConductivity"),

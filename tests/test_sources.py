@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from leverscope.errors import AnalysisError
 from leverscope.operators import profile
 from leverscope.sources.synthetic import generate_process_quality
-from leverscope.sources.tables import load_csv, load_json_table, read_csv_text, write_csv
+from leverscope.sources.tables import json_variant_rows, load_csv, load_json_table, read_csv_text, write_csv
 
 
 def raises(code, call):
@@ -253,3 +253,16 @@ def test_guess_target_without_numbers(spark):
     df = spark.createDataFrame([("x",)], "quality string")
     types = profile.infer_types(profile.column_counts(df))
     assert profile.guess_target(types).first()["target"] is None
+
+
+def test_variant_rows_tell_nested_cells_from_texts(spark):
+    bodies = ['{"a": {"x": 1}, "b?\'": "{}"}', '[12345678901234567890, [1]]', "[0.10]", '{"c": 1}', "[]"]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, body string")
+    names = ["a", "b?'"]
+    found = json_variant_rows(rows, rows["body"], names, keep=("id",)).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in found] == [
+        ('{"x":1}', "{}", ["a"]), ("12345678901234567890", "[1]", ["b?'"]), ("0.1", None, []), (None, None, []), (None, None, [])]
+    for bad in ("7", '"text"', "{", None):
+        broken = spark.createDataFrame([(bad,)], "body string")
+        with pytest.raises(Exception, match="invalidRows"):
+            json_variant_rows(broken, broken["body"], ["a"]).collect()
