@@ -8,6 +8,8 @@ versions needs no task of its own.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ SCHEMAS = {
     "notes": "note_id string, model_id string, created_at timestamp, request_json string, "
     "response_json string",
     "importance": "model_id string, feature_pos int, feature string, importance double, "
-    "share double, direction string, correlation double, rank int",
+    "share double, direction string, correlation double, rank int, batch string",
     "audit": "event_id string, at timestamp, user_id string, action string, "
     "entity_type string, entity_id string, detail_json string",
 }
@@ -229,14 +231,20 @@ class Ledger:
     def importance(self, model_id: str, compute, top: int | None = None) -> DataFrame:
         """The stored importance table, computed and stored on first use.
 
-        ``top`` filters the stored ranks; it never causes a second computation.
+        ``top`` filters the stored ranks; it never causes a second computation. Processes that
+        compute at the same time each store a batch of their own; all read the one that sorts first.
         """
         def stored() -> DataFrame:
-            return self.table("importance").where(F.col("model_id") == model_id)
+            return self.table("importance").where(F.col("model_id") == model_id).withColumn("batch", F.coalesce("batch", F.lit("")))
+
+        def first() -> str | None:
+            return stored().agg(F.min("batch")).first()[0]
 
-        if stored().isEmpty():
-            self.append("importance", compute().withColumn("model_id", F.lit(model_id)))
-        found = stored()
+        if first() is None:
+            made = compute().withColumn("model_id", F.lit(model_id)).withColumn("batch", F.lit(uuid.uuid4().hex))
+            self.append("importance", made)
+        batch = first()
+        found = stored().where(F.col("batch") == batch).drop("batch")
         return found if top is None else found.where(F.col("rank") <= max(1, top))
 
     def datasets(self) -> DataFrame:

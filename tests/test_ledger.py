@@ -117,6 +117,9 @@ def test_importance_is_computed_once(ledger, spark):
     assert ledger.importance("m", compute).count() == 3
     assert [r["feature"] for r in ledger.importance("m", compute, top=2).orderBy("rank").collect()] == ["f1", "f2"]
     assert ledger.importance("m", compute, top=0).count() == 1
+    late = ledger.importance("m", compute).selectExpr("*", "'zz' AS batch")  # another process that found nothing stored either
+    ledger.append("importance", late)
+    assert ledger.importance("m", compute).count() == 3
     assert len(calls) == 1
 
 
