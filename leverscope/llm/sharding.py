@@ -12,36 +12,63 @@ from pyspark.sql import Window as W
 from leverscope.llm.common import stored
 
 DIGIT = 10  # bits that one pass over the keys resolves
-BITS = 60  # of a key: 18 of the dimension, 16 of the text, 18 of the id, 8 of the row
+BITS = 60  # of a key: 18 of the dimension, 42 of the text (24 and a part of 18 bits where cuts may part the text's rows)
 TOLERANCE = 0.0005  # share of a node's bytes by which a cut may miss its median
 MOST_LEAVES = 1_000_000  # the table of nodes is broadcast: 40 bytes a leaf
 SLOT_ROWS = 20_000  # rows that one slot-numbering group holds
+WHOLE = 0.5  # of a leaf's bytes: documents of one text that weigh no more lie in one shard
+PART = 0.002  # of a leaf's bytes that one point of a larger group weighs
+GROUP_ROWS = 20_000  # rows of one text that one task joins
 
 
 def _high_bits(value: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(value), 64 - bits)
 
 
-def _points(docs: DataFrame, dims: tuple[str, ...]) -> DataFrame:
-    """One row per document: size, checksum, and for each dimension a key that orders all rows."""
+def _rows(docs: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """One row per document: size, checksum, 128-bit hash of the text, and a value of each dimension."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = {c.lower() for c in docs.columns}
-    rows = docs.select(
-        F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("t"), *[F.col(d).cast("string").alias(f"m_{d}") for d in dims if d != "size" and d in found],
-    ).withColumn("row", F.monotonically_increasing_id())
-    tie = (F.shiftleft(F.shiftrightunsigned("t", 48), 26)
-           + F.shiftleft(_high_bits(F.col("doc_id"), 18), 8) + _high_bits(F.col("row"), 8))
-    keys = {}
+    size = (F.octet_length(text) + 1).cast("long")
+    values = {}
     for i, dim in enumerate(dims):
         if dim == "size":
-            value = F.least(F.floor(F.log2(F.col("size")) * 8192), F.lit((1 << 18) - 1)).cast("long")
-        elif f"m_{dim}" in rows.columns:
-            value = F.when(F.col(f"m_{dim}").isNull(), F.lit(0).cast("long")).otherwise(_high_bits(F.col(f"m_{dim}"), 18))
+            value = F.least(F.floor(F.log2(size) * 8192), F.lit((1 << 18) - 1)).cast("long")
+        elif dim in found:
+            value = F.when(F.col(dim).isNull(), F.lit(0).cast("long")).otherwise(_high_bits(F.col(dim).cast("string"), 18))
         else:
             value = F.lit(0).cast("long")
-        keys[f"k{i}"] = F.shiftleft(value, 42) + tie
-    return rows.withColumns(keys).select("doc_id", "size", "text_crc32", "row", *keys, F.lit(0).cast("long").alias("low"))
+        values[f"v{i}"] = value
+    return docs.select(
+        F.col("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), *[v.alias(n) for n, v in values.items()],
+    ).withColumn("row", F.monotonically_increasing_id())
+
+
+def _points(rows: DataFrame, dims: int, leaf: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with the part of their text's group they are in, and one weighted point per part.
+
+    A group is the rows of one text. All of them take the group's least value of each dimension, so
+    they follow each other in every order. A group of at most ``WHOLE`` leaves has one key: no cut
+    parts it. A larger one has a key per part, each of ``PART`` of a leaf or less on average. Groups
+    of many rows come in parts too (of one key), so that joins by group have no hot key.
+    """
+    least = [F.min(f"v{i}").alias(f"v{i}") for i in range(dims)]
+    groups = rows.groupBy("t1", "t2").agg(F.sum("size").alias("w"), F.count("*").alias("n"), *least)
+    cut = F.col("w") > WHOLE * leaf
+    parts = F.greatest(F.when(cut, F.ceil(F.col("w") / (PART * leaf))).otherwise(1), F.ceil(F.col("n") / GROUP_ROWS))
+    # At most 1 / WHOLE groups a leaf and one group per GROUP_ROWS rows.
+    large = stored(groups.withColumn("cut", cut).withColumn("parts", parts.cast("long")).filter(cut | (F.col("n") > GROUP_ROWS))
+                   .select("t1", "t2", "cut", "parts", *[F.col(f"v{i}").alias(f"g{i}") for i in range(dims)]), "kd")
+    dealt = rows.join(F.broadcast(large), ["t1", "t2"], "left").select(
+        "doc_id", "size", "text_crc32", "row", "t1", "t2", F.coalesce("cut", F.lit(False)).alias("cut"),
+        F.coalesce(F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")), F.lit(0)).alias("part"),
+        *[F.coalesce(f"g{i}", f"v{i}").alias(f"v{i}") for i in range(dims)])
+    points = dealt.groupBy("t1", "t2", "part").agg(F.sum("size").alias("size"), F.first("cut").alias("cut"), *least)
+    tie = F.when(F.col("cut"), F.shiftleft(F.shiftrightunsigned("t1", 40), 18) + F.pmod(F.col("part"), F.lit(1 << 18))).otherwise(
+        F.shiftrightunsigned("t1", 22))
+    keys = [(F.shiftleft(f"v{i}", 42) + tie).alias(f"k{i}") for i in range(dims)]
+    return dealt, points.select("t1", "t2", "part", "size", *keys, F.lit(0).cast("long").alias("low"))
 
 
 def _nodes(df: DataFrame, nodes: list[dict], schema: str) -> DataFrame:
@@ -104,24 +131,28 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 25
     weights their bytes. Each level cuts every open node at the weighted median of its widest
     dimension (the weighted share of its leaves where their number is odd) until a leaf has its
     target bytes. The median is found by narrowing: a pass sums bytes by the next ten bits of the
-    key map-side, so no row moves and a node of any weight is split. Rows with one dimension value
-    follow text hash, then id, then row: copies stay together unless a cut must go through them.
+    key map-side, so no row moves and a node of any weight is split. Documents of equal text are one
+    weighted point, with the least of their metadata, up to half a leaf; a cut goes before or after
+    it, whichever is nearer the median. Heavier groups are dealt into points of 0.2 % of a leaf.
+    Points with one dimension value follow text hash, then part.
 
     Without ``shards`` their number is total bytes / ``target_bytes``. Null text has size 1 and
     the checksum of empty text; null or missing metadata count as one value; repeated rows are
     rows of their own; no documents give no rows; a document larger than a leaf takes it alone.
     Columns: doc_id, size, text_crc32, law, shard, slot, grown_shard (always null here).
     """
-    points = stored(_points(docs.toDF(*[c.lower() for c in docs.columns]), dims), "kd")
-    total, count = points.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    rows = stored(_rows(docs.toDF(*[c.lower() for c in docs.columns]), dims), "kd")
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     leaves = shards or max(1, math.ceil(total / target_bytes))
     if leaves > MOST_LEAVES:
         raise ValueError(f"{leaves} leaves; raise target_bytes")
-    rows = points.withColumn("leaves", F.lit(leaves).cast("long"))
+    rows, points = _points(rows, len(dims), total / leaves)
+    points = stored(points, "kd").withColumn("leaves", F.lit(leaves).cast("long"))
     more = True
     while more:
-        rows, more = _split(rows, len(dims))
+        points, more = _split(points, len(dims))
     groups = max(1, count // (SLOT_ROWS * leaves) + 1)
+    rows = rows.join(points.select("t1", "t2", "part", "low"), ["t1", "t2", "part"])
     rows = rows.select("doc_id", "size", "text_crc32", "row", "low", F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups)).alias("g"))
     counts = rows.groupBy("low", "g").agg(F.count("*").alias("n"))
     starts = counts.select("low", "g", (F.sum("n").over(W.partitionBy("low").orderBy("g")) - F.col("n")).alias("start"))

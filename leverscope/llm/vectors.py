@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leverscope.llm.common import components, runs, stored
 
@@ -142,10 +143,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMP
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a
     label, link with nothing. Repeated rows are vectors of their own and linked with each other;
-    component_id is the smallest vec_id reachable. Equality is by a 128-bit hash.
+    component_id is the smallest vec_id reachable. Equality is by a 128-bit hash. Labels that are
+    no whole numbers (texts, dates) are told apart by a 64-bit hash.
     """
     named = vectors.toDF(*[c.lower() for c in vectors.columns])
-    rows = named.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
+    whole = isinstance(named.schema["label"].dataType, T.IntegralType)
+    label = F.col("label").cast("long") if whole else F.when(F.col("label").isNotNull(), F.xxhash64("label")).alias("label")
+    rows = named.select(F.col("vec_id").cast("long"), label, F.col("embedding").cast("array<double>").alias("e"))
     rows = rows.withColumn("ok", F.coalesce(_usable(F.col("e")) & F.col("label").isNotNull(), F.lit(False)))
     rows = rows.withColumn("h1", F.xxhash64("label", "e")).withColumn("h2", F.xxhash64(F.lit(1), "e", "label"))
     usable = rows.filter("ok")

@@ -155,3 +155,9 @@ def test_recall_of_links_of_vectors_with_a_common_mean(spark):
     rows = [(i, [float(v) for v in one], 0) for i, one in enumerate(x)]
     got = vectors.near_vectors(frame(spark, rows, "vec_id long, embedding array<double>, label int")).agg({"n_links": "sum"}).first()[0]
     assert got >= 0.97 * (np.triu(x @ x.T, 1) >= 0.93).sum() * 2
+
+
+def test_labels_may_be_texts(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None), (5, [3.0, 0.1], "b")]
+    got = vectors.near_vectors(frame(spark, rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 0, 4), (5, 1, 3)]

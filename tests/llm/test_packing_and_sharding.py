@@ -106,6 +106,27 @@ def test_a_group_of_copies_is_split_and_an_empty_table_gives_none(spark):
     assert sharding.kd_shards(frame(spark, documents(20)).select("doc_id", "text"), target_bytes=100_000).agg({"shard": "max"}).first()[0] >= 2
 
 
+def test_equal_texts_share_a_shard_whatever_their_metadata(spark):
+    rows = [(i, f"text number {i % 90} ", f"l{i % 5}", f"s{i % 11}", 0, None, None, None, None, None)
+            for i in range(1800)]
+    got = sharding.kd_shards(frame(spark, rows), shards=8).collect()
+    shards, size = defaultdict(set), Counter()
+    for r in got:
+        shards[rows[r["doc_id"]][1]].add(r["shard"])
+        size[r["shard"]] += r["size"]
+    assert len(got) == 1800 and all(len(s) == 1 for s in shards.values())
+    assert len(size) == 8 and max(size.values()) < 1.25 * min(size.values())  # 90 points over 8 shards
+
+
+def test_a_group_of_several_leaves_is_dealt_evenly_and_null_keys_survive(spark):
+    rows = [(i if i % 7 else None, "copy " * 20, None if i % 2 else "l", "s", 0, None, None, None, None, None) for i in range(6000)]
+    rows += [(10_000 + i, f"own words {i} " * 12, "l", "s", 0, None, None, None, None, None) for i in range(2000)]
+    size = Counter()
+    for r in sharding.kd_shards(frame(spark, rows), shards=8).collect():
+        size[r["shard"]] += r["size"]
+    assert len(size) == 8 and max(size.values()) < 1.02 * min(size.values())
+
+
 def test_sharding_runs_no_python(spark):
     plan = sharding.kd_shards(frame(spark, documents(20)), shards=2)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
