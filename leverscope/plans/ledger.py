@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from leverscope.errors import AnalysisError
 from leverscope.operators.joins import lookup_join
 from leverscope.operators.order import rank_in_group
+from leverscope.operators.states import FIELDS as PROFILE_FIELDS
 
 # Version states, the decisions that lead to them, rows in a listing.
 DRAFT, APPROVED, REJECTED, RETIRED = "Draft", "Approved", "Rejected", "Retired"
@@ -38,6 +39,7 @@ SCHEMAS = {
     "response_json string",
     "importance": "model_id string, feature_pos int, feature string, importance double, "
     "share double, direction string, correlation double, rank int, batch string",
+    "profiles": "dataset_id string, registration string, payload string, " + PROFILE_FIELDS,
     "audit": "event_id string, at timestamp, user_id string, action string, "
     "entity_type string, entity_id string, detail_json string",
 }

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from leverscope.errors import AnalysisError
 from leverscope.operators import profile
+from leverscope.operators.states import merge_states, profile_states, total_rows
+from leverscope.plans.ledger import Ledger
 from leverscope.session import checkpoint_dir
+from leverscope.sources.catalog import append_dataset, dataset_profile, register_dataset
 from leverscope.sources.synthetic import (
     CONDUCTIVITY_BASE,
     CONDUCTIVITY_HEAT_ADDITIVE,
@@ -28,6 +31,7 @@ from leverscope.sources.synthetic import (
 )
 from leverscope.sources.tables import json_rows, json_variant_rows, load_csv, read_csv_text, write_csv
 from leverscope.suite.frames import (
+    LINES,
     RAW,
     RAW_SQL,
     derive,
@@ -343,6 +347,64 @@ SELECT *, NULL AS target, 'datasetOverview' AS code,
 """
 
 
+def profile_merged(spark, sf_dir):
+    """Types from states of seven batches: each is kept as a small row per column, then merged."""
+    lines = derive(wide_table(spark, sf_dir, "lineitem"), {**RAW, "batch": "l_orderkey % 7"})
+    path = scratch(spark, "states")
+    profile_states(lines, F.col("batch"), list(RAW)).write.parquet(path)
+    states = spark.read.parquet(path)
+    merged = merge_states(states, total_rows(states))
+    extremes = merged.select("name", "least", "greatest")
+    return profile.infer_types(merged).join(extremes, "name").select(
+        "position", "name", "type", "missing_count", "row_count", "least", "greatest"
+    )
+
+
+def _extreme_sql(column: str) -> str:
+    if column == "active":
+        return "NULL"
+    if column in ("discount", "Conductivity_pct"):
+        return f"CASE WHEN NOT isnan({column}) THEN {column} END"
+    return f"CASE WHEN {number_sql(column)} THEN cast({column} AS double) END"
+
+
+MERGED_SQL = f"""
+WITH {_raw_counts_sql()},
+extremes AS ({' UNION ALL '.join(
+    f"SELECT '{c}' AS name, min(cast({_extreme_sql(c)} AS double)) AS least, max(cast({_extreme_sql(c)} AS double)) AS greatest FROM raw"
+    for c in RAW)})
+SELECT position, name, type, missing_count, total AS row_count, least, greatest FROM columns_found JOIN extremes USING (name)
+"""
+
+
+def dataset_append(spark, sf_dir):
+    """A table registered with its first third of rows, two thirds appended; the profile is merged from states."""
+    lines = derive(wide_table(spark, sf_dir, "lineitem"), {**LINES, "third": "l_orderkey % 3"})
+    ledger = Ledger(spark, scratch(spark, "append"))
+    first, *later = [lines.where(F.col("third") == i).drop("third") for i in range(3)]
+    typed, columns = profile.load_table(first, key="row_key")
+    register_dataset(ledger, "lines", typed, columns, "parquet", dataset_id="lines")
+    for i, part in enumerate(later):
+        append_dataset(ledger, "lines", part, f"third {i + 1}")
+    found = dataset_profile(ledger, "lines")
+    types = profile.infer_types(found).select("name", "type", "missing_count", "row_count")
+    return types.join(found.select("name", "least", "greatest"), "name")
+
+
+def _append_sql(column: str) -> str:
+    numeric = column not in ("row_key", "flag", "status")
+    ends = f"min(cast({column} AS double)), max(cast({column} AS double))" if numeric else "cast(NULL AS double), cast(NULL AS double)"
+    return (
+        f"SELECT '{column}', '{'numeric' if numeric else 'categorical'}', count(*) - count({column}), count(*), {ends} FROM lines"
+    )
+
+
+APPEND_SQL = f"""
+WITH lines AS ({select_sql("lineitem", LINES)})
+SELECT * FROM ({' UNION ALL '.join(_append_sql(c) for c in LINES)}) AS found(name, type, missing_count, row_count, least, greatest)
+"""
+
+
 def preview(spark, sf_dir):
     cells = ["event_id", "user_id", "event_type", "value"]
     return profile.preview(table(spark, sf_dir, "events").select(*cells), ["event_id"])
@@ -473,6 +535,8 @@ ENTRIES = {
     "coerce_numeric": (coerce_numeric, COERCE_SQL),
     "missing_counts": (missing_counts, MISSING_SQL),
     "dataset_overview": (dataset_overview, OVERVIEW_SQL),
+    "profile_merged": (profile_merged, MERGED_SQL),
+    "dataset_append": (dataset_append, APPEND_SQL),
     "preview": (preview, PREVIEW_SQL),
     "guess_target": (guess_target, GUESS_SQL),
 }
