@@ -79,6 +79,54 @@ def test_language_counts_equal_brute_force():
         assert sorted(mine.tolist()) == sorted(grams(text).values()), text
 
 
+def test_language_scores_equal_brute_force(spark):
+    """TF-IDF, spread-out starts, spherical k-means and nearest centroid, written out over a dictionary of n-grams."""
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, ["xa", "xb", "xc"][i % 3], rng.randint(3, 9)), ["xa", "xb", "xc"][i % 3]) for i in range(60)]
+    rows += [(60, None, "xa"), (61, "12 !", "xb"), (62, rows[0][1], None), rows[4]]
+
+    def grams(text):
+        out = Counter()
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            out.update(f" {word} "[i : i + n] for n in (1, 2, 3) for i in range(len(word) + 3 - n) if f" {word} "[i : i + n] != " ")
+        return out
+
+    known = [r for r in rows if r[2] is not None]
+    frequency = Counter(g for r in known for g in grams(r[1]))
+    names = {g: k for k, g in enumerate(sorted(frequency))}
+    idf = {g: np.log((1 + len(known)) / (1 + n)) + 1 for g, n in frequency.items()}
+
+    def unit(text):
+        v = np.zeros(len(names))
+        for g, n in grams(text).items():
+            v[names[g]] = (1 + np.log(n)) * idf[g]
+        return v / (np.sqrt(v @ v) or 1)
+
+    centres = []
+    for lang in ("xa", "xb", "xc"):
+        x = np.array([unit(t) for t in sorted({r[1] for r in known if r[2] == lang and grams(r[1])})])
+        starts = [max(range(len(x)), key=lambda i: float(x[i] @ x.mean(0)))]
+        while len(starts) < 3:
+            starts.append(min(range(len(x)), key=lambda i: max(float(x[i] @ x[s]) for s in starts)))
+        own = x[starts]
+        for _ in range(language.ROUNDS):
+            nearest = [max(range(3), key=lambda k: float(v @ own[k])) for v in x]
+            own = np.array([np.mean([v for v, k in zip(x, nearest) if k == c] or [own[c]], axis=0) for c in range(3)])
+            own /= np.linalg.norm(own, axis=1, keepdims=True)
+        centres += [(lang, c) for c in own]
+
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, dimensions=1 << 18, clusters=3)
+    assert (model["idf"] < max(model["idf"])).sum() == len(names)  # no two n-grams share a feature
+    got = language.identify(docs, model, reject_below=0.3).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = next(t for i, t, _ in rows if i == r["doc_id"])
+        likeness, lang = max((float(unit(text) @ c), lang) for lang, c in centres)
+        want = (lang, likeness) if grams(text) else ("und", 0.0)
+        assert r["lang_pred"] == want[0] and abs(r["score"] - want[1]) < 1e-5 and r["rejected"] == (want[1] < 0.3), (text, r, want)
+
+
 def test_a_language_of_many_copies_of_few_texts_is_learnt(spark):
     texts = [(" ".join(f"{chr(97 + k)}{chr(97 + k)}{w}" for w in ("ra", "to", "li")) + " " + "xyz"[i] * 3, f"l{k}") for k in range(10) for i in range(2)]
     docs = frame(spark, texts, "text string, lang string").crossJoin(spark.range(2500)).selectExpr("id as doc_id", "text", "lang")
@@ -121,6 +169,41 @@ def test_quality_separates_held_out_junk(spark):
     assert quality.score(frame(spark, []), model).count() == 0
 
 
+def test_quality_scores_and_prior_equal_brute_force(spark):
+    """Means, deviations, the estimated prior and every score, row by row in plain Python."""
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, "xa", rng.randint(1, 60)) if i % 3 else " ".join(["spam"] * rng.randint(1, 50))) for i in range(300)]
+    rows += [(300, None), (301, ""), (302, rows[1][1]), rows[2]]
+    good = {i for i in range(300) if i % 3 and i % 2} | {302}
+    docs = frame(spark, rows, "doc_id long, text string")
+    model = quality.learn(docs, frame(spark, [(i,) for i in good], "doc_id long"))
+
+    x = [[float(np.float32(v)) for v in quality.features(t)] for _, t in rows]
+    mean = [sum(c) / len(rows) for c in zip(*x)]
+    scale = [max(sum(v * v for v in c) / len(rows) - m * m, 0) ** 0.5 + 1e-6 for c, m in zip(zip(*x), mean)]
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale, rtol=1e-4, atol=1e-5)
+
+    def chance(one, weights):
+        z = [min(max((v - m) / s, -quality.CLIP), quality.CLIP) for v, m, s in zip(one, model.mean, model.scale)]
+        g = sum(w * v for w, v in zip(weights, [1.0, *z, *[v * v for v in z[1:]]]))
+        return 1 / (1 + np.exp(-min(max(g, -30), 30)))
+
+    want = {r[0]: chance(one, model.weights) for r, one in zip(rows, x)}
+    got = quality.score(docs, model).collect()
+    assert len(got) == len(rows) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-9 for r in got)
+
+    table = frame(spark, [(np.array(one, np.float32).tobytes(), r[0] in good) for r, one in zip(rows, x)], "x binary, trusted boolean")
+    n, k = len(rows), sum(r[0] in good for r in rows)
+    bins = [(min(int(quality.BINS * chance(one, model.weights)), quality.BINS - 1), r[0] in good) for r, one in zip(rows, x)]
+    slack = sum((np.log(40) / (2 * m)) ** 0.5 for m in (n, k))
+    ratios = []
+    for b in range(quality.BINS):
+        u, p = sum(c >= b for c, _ in bins) / n, sum(c >= b and t for c, t in bins) / k
+        ratios.append(((u + slack) / max(p, 1e-12), u / max(p, 1e-12)))
+    least = min(ratios, key=lambda r: r[0])[1]
+    assert abs(quality._prior(table, model.mean, model.scale, model.weights, k, n) - min(max(least, 0.01), 0.99)) < 1e-9
+
+
 def test_risk_is_least_where_the_fit_stops(spark):
     """The fitted weights against the risk itself, written out."""
     rng = np.random.default_rng(2)
