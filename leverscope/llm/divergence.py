@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,7 +18,8 @@ SCALE = 1_000_000_000
 LEAST_DOCS = 3  # documents of a language that a term must be in
 MOST_SCALE = 1_500_000_000  # four squares of it fit a long
 RANKS = 200
-HELD_TERMS, HELD_BYTES = 400_000, 64 << 20  # distinct terms, and bytes of texts, that a task counts before it emits
+CELLS = 1 << 18  # pairs of sources over terms that both have, valued at once
+HELD_TERMS, HELD_BYTES = 1_000_000, 64 << 20  # distinct terms, and bytes of texts, that a task counts before it emits
 LETTERS = bytes(b if b >= 128 else b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -32,7 +35,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     def emit(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, number) in held.items():
             terms = pa.array(n, pa.binary()).cast(pa.string())
-            same = [pa.array([v] * len(n), pa.string()) for v in (lang, source)]
+            same = [pa.repeat(pa.scalar(v, pa.string()), len(n)) for v in (lang, source)]
             yield pa.RecordBatch.from_arrays([*same, terms, pa.array(n.values(), pa.int64()), pa.array([number[t] for t in n], pa.int64())], schema=kind)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +58,44 @@ def _counted(docs: DataFrame) -> DataFrame:
         yield from emit(held)
 
     rows = docs.mapInArrow(task, "lang string, source string, term string, n long, docs long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Dealt by language and term, so that sums over a term's sources need no further shuffle.
+    return rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _kept(counts: DataFrame, least_docs: int) -> DataFrame:
+    """Rows of terms that enough documents hold, with the term's sum and number of sources; one row of each term leads."""
+    kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("l_n", pa.int64()), ("sources", pa.int64()), ("leads", pa.bool_())])
+
+    def same(a: pa.Table, b: pa.Table) -> np.ndarray:
+        return (pc.equal(a["term"], b["term"]).to_numpy() & pc.equal(a["lang"], b["lang"]).to_numpy()).astype(bool)
+
+    def emit(rows: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = np.diff(begin)
+        n, number = (np.add.reduceat(rows[c].to_numpy(), begin[:-1]) for c in ("n", "docs"))
+        first = np.zeros(len(rows), bool)
+        first[begin[:-1]] = True
+        more = [pa.array(np.repeat(n, size)), pa.array(np.repeat(size, size)), pa.array(first)]
+        whole = pa.table([*(rows[c] for c in ("lang", "source", "term", "n")), *more], schema=kind)
+        yield from whole.filter(pa.array(np.repeat(number >= least_docs, size))).combine_chunks().to_batches()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last term, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            ends = pa.Table.from_batches([held[0].slice(0, 1), batch.slice(batch.num_rows - 1)])
+            if same(ends.slice(0, 1), ends.slice(1))[0]:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            begin = np.r_[0, np.flatnonzero(~same(rows.slice(1), rows.slice(0, len(rows) - 1))) + 1]
+            yield from emit(rows.slice(0, begin[-1]), begin)
+            held = rows.slice(begin[-1]).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield from emit(rows, np.array([0, len(rows)]))
+
+    return counts.sortWithinPartitions("lang", "term").mapInArrow(task, "lang string, source string, term string, n long, l_n long, sources long, leads boolean")
 
 
 def _chance(count: str, total: str, terms: str, scale: int) -> Column:
@@ -68,37 +108,67 @@ def _distance(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")  # fits a long up to MOST_SCALE
 
 
+def _together(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+    """Of whole terms of a language, for each two sources what the cells add that both have, in halves of 32 bits."""
+    names = held["source"].combine_chunks().dictionary_encode()
+    terms = held["term"].combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.argsort(terms, kind="stable")
+    terms, at = terms[order], names.indices.to_numpy().astype(np.int64)[order]
+    chance, zero = (held[c].to_numpy()[order] for c in ("p", "zero"))
+    first = np.flatnonzero(held["mine"].to_numpy()[order])
+    number = np.bincount(terms)
+    begin, number = (np.cumsum(number) - number)[terms[first]], number[terms[first]]
+    i = np.repeat(first, number)
+    j = np.arange(len(i)) + np.repeat(begin - np.cumsum(number) + number, number)
+    i, j = i[at[i] != at[j]], j[at[i] != at[j]]
+    p, p0, q, q0 = chance[i], zero[i], chance[j], zero[j]
+
+    def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a - b) * (a - b) // b
+
+    f = (distance(p, q) - distance(p, q0)) - (distance(p0, q) - distance(p0, q0))
+    width = len(names.dictionary)
+    pair = at[i] * width + at[j]
+    found, slot = (np.arange(width * width), pair) if width * width <= len(pair) else np.unique(pair, return_inverse=True)
+    high, low = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+    np.add.at(high, slot, f >> 32)
+    np.add.at(low, slot, f & 0xFFFFFFFF)
+    some = np.flatnonzero(high | low)
+    found = found[some]
+    return pa.table({"lang": pa.repeat(key[0], len(found)), "source": names.dictionary.take(pa.array(found // width)), "item": names.dictionary.take(pa.array(found % width)),
+                     "high": high[some], "low": low[some]})
+
+
 def _pairs(groups: DataFrame, kept: DataFrame, scale: int) -> DataFrame:
     """For each source and other source of a language the distance summed over all kept terms.
 
-    Terms are grouped by their counts in the two sources. With f(a, b) the distance of a cell, the sum
-    over all terms is terms * f(0, 0), plus f(a, 0) - f(0, 0) for each term the source has and f(0, b) - f(0, 0)
-    for each the other has, plus f(a, b) - f(a, 0) - f(0, b) + f(0, 0) for each both have. So terms that
-    one of them lacks are never paired. Terms alike in all sources go as one row.
+    With f(a, b) the distance of the cell of counts a and b, the sum over all terms is terms * f(0, 0), plus
+    f(a, 0) - f(0, 0) for each term the source has and f(0, b) - f(0, 0) for each the other has, plus
+    f(a, b) - f(a, 0) - f(0, b) + f(0, 0) for each both have. So terms that one of them lacks are never
+    paired. Terms are dealt into parts of about ``CELLS`` such cells, a term of more into slices by its sources.
     """
-    alike = kept.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("at")).groupBy("lang", "at").agg(F.count("*").alias("w"))
-    left = alike.filter(F.size("at") > 1).select("lang", "at", "w", F.explode("at").alias("s"))
-    both = (left.select("lang", "s", "w", F.explode("at").alias("o")).filter("s.source <> o.source")
-            .groupBy("lang", F.col("s.source").alias("source"), F.col("o.source").alias("item"), F.col("s.n").alias("a"), F.col("o.n").alias("b")).agg(F.sum("w").alias("w")))
-    own = kept.groupBy("lang", "source", "n").agg(F.count("*").alias("w"))
     # A language without kept terms has no chances: its sums have no addends but 0 * f(0, 0).
-    of = groups.withColumn("terms", F.greatest("terms", F.lit(1))).withColumn("zero", _chance("0L", "total", "terms", scale))
-    mine = of.select("lang", "source", F.col("total").alias("s_total"), "terms", F.col("zero").alias("p0"))
-    theirs = of.select("lang", F.col("source").alias("item"), F.col("total").alias("o_total"), F.col("zero").alias("q0"))
+    of = groups.withColumn("w", F.col("terms")).withColumn("terms", F.greatest("terms", F.lit(1))).withColumn("zero", _chance("0L", "total", "terms", scale))
+    mine = of.select("lang", "source", F.col("total").alias("s_total"), "terms", F.col("zero").alias("p0"), "w")
+    theirs = of.select("lang", F.col("source").alias("item"), F.col("zero").alias("q0"))
     pairs = mine.join(theirs, "lang").filter("source <> item")
-
-    def added(df: DataFrame, weight: str, value: Column) -> DataFrame:
-        return df.select("lang", "source", "item", (value.cast("decimal(20, 0)") * F.col(weight).cast("decimal(18, 0)")).alias("f"))
-
-    shared = both.join(mine, ["lang", "source"]).join(theirs, ["lang", "item"]).withColumns(
-        {"p": _chance("a", "s_total", "terms", scale), "q": _chance("b", "o_total", "terms", scale)})
-    here = pairs.join(own, ["lang", "source"]).withColumn("p", _chance("n", "s_total", "terms", scale))
-    there = pairs.join(own.withColumnRenamed("source", "item"), ["lang", "item"]).withColumn("q", _chance("n", "o_total", "terms", scale))
-    whole = pairs.join(groups.select("lang", "source", F.col("terms").alias("w")), ["lang", "source"])
-    table = (added(shared, "w", (_distance("p", "q") - _distance("p", "q0")) - (_distance("p0", "q") - _distance("p0", "q0")))
-             .unionByName(added(here, "w", _distance("p", "q0") - _distance("p0", "q0")))
-             .unionByName(added(there, "w", _distance("p0", "q") - _distance("p0", "q0")))
-             .unionByName(added(whole, "w", _distance("p0", "q0"))))
+    parts = groups.groupBy("lang").agg(F.expr(f"1 + sum(cells) div {CELLS}").alias("parts"))
+    dealt = (kept.filter("sources > 1").join(of.select("lang", "source", "total", "terms", "zero").join(parts, "lang"), ["lang", "source"])
+             .withColumn("p", _chance("n", "total", "terms", scale)).withColumn("slices", F.expr(f"1 + sources * sources div {CELLS}"))
+             .select("lang", "term", "source", "p", "zero", "slices", F.expr("pmod(xxhash64(term), parts)").alias("part"), F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"))
+             .withColumn("mine", F.expr("pmod(xxhash64(source), slices) = slice")).drop("slices"))
+    both = dealt.groupBy("lang", "part", "slice").applyInArrow(_together, "lang string, source string, item string, high long, low long")
+    own = kept.groupBy("lang", "source", "n").agg(F.count("*").alias("m"))
+
+    def weighed(weight: str, value: Column) -> Column:
+        return value.cast("decimal(20, 0)") * F.col(weight).cast("decimal(18, 0)")
+
+    single = (pairs.join(own, ["lang", "source"]).withColumn("p", _chance("n", "s_total", "terms", scale)).groupBy("lang", "source", "item")
+              .agg(F.sum(weighed("m", _distance("p", "q0") - _distance("p0", "q0"))).alias("here"), F.sum(weighed("m", _distance("q0", "p") - _distance("q0", "p0"))).alias("there"))
+              .select("lang", F.explode(F.array(F.struct("source", "item", F.col("here").alias("f")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("there").alias("f")))).alias("c"))
+              .select("lang", "c.*"))
+    shared = both.groupBy("lang", "source", "item").agg(F.expr("cast(sum(cast(high as decimal(20, 0))) as decimal(27, 0)) * cast(4294967296 as decimal(10, 0)) + sum(cast(low as decimal(20, 0)))").alias("f"))
+    table = pairs.select("lang", "source", "item", weighed("w", _distance("p0", "q0")).alias("f")).unionByName(single).unionByName(shared)
     summed = table.groupBy("lang", "source", "item").agg(F.sum("f").cast("long").alias("value"))
     rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     return summed.withColumn("rank", rank).select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
@@ -111,16 +181,18 @@ def _own_terms(groups: DataFrame, kept: DataFrame, scale: int, ranks: int) -> Da
     are valued and ranked by the terms before them; only cells that begin within ``ranks`` are
     expanded into terms, in order of their bytes.
     """
-    of = groups.groupBy("lang").agg(F.sum("total").alias("l_total"))
-    cells = (kept.groupBy("lang", "source", "n", "l_n").agg(F.count("*").alias("m")).join(groups.select("lang", "source", "total", "terms"), ["lang", "source"]).join(of, "lang")
-             .select("lang", "source", "n", "l_n", "m", _chance("n", "total", "terms", scale).alias("p"), _chance("l_n", "l_total", "terms", scale).alias("q"))
-             .filter("p > q").withColumn("value", _distance("p", "q")))
+    of = groups.select("lang", "source", "total", "terms").join(groups.groupBy("lang").agg(F.sum("total").alias("l_total")), "lang")
+
+    def above(df: DataFrame) -> DataFrame:
+        return df.withColumns({"p": _chance("n", "total", "terms", scale), "q": _chance("l_n", "l_total", "terms", scale)}).filter("p > q").withColumn("value", _distance("p", "q"))
+
+    cells = above(kept.groupBy("lang", "source", "n", "l_n").agg(F.count("*").alias("m")).join(of, ["lang", "source"]))
     by = W.partitionBy("lang", "source").orderBy(F.desc("value"))
     first = cells.groupBy("lang", "source", "value").agg(F.sum("m").alias("m")).withColumn("r", F.row_number().over(by)).filter(F.col("r") <= ranks)
     begun = first.withColumn("upto", F.sum("m").over(by)).filter(F.col("upto") - F.col("m") < ranks)
-    wanted = cells.join(begun.select("lang", "source", "value"), ["lang", "source", "value"]).select("lang", "source", "value", "n", "l_n")
+    least = begun.groupBy("lang", "source").agg(F.min("value").alias("least"))
     rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "term"))
-    found = kept.join(wanted, ["lang", "source", "n", "l_n"]).withColumn("rank", rank).filter(F.col("rank") <= ranks)
+    found = above(kept.join(of.join(least, ["lang", "source"]), ["lang", "source"])).filter("value >= least").withColumn("rank", rank).filter(F.col("rank") <= ranks)
     return found.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
 
 
@@ -143,11 +215,9 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, scale: int = SCALE, ran
         raise ValueError(f"scale {scale}; at most {MOST_SCALE}")
     named = docs.toDF(*[c.lower() for c in docs.columns])
     rows = named.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = stored(_counted(rows), "divergence")
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("l_n"), F.sum("docs").alias("l_docs")).filter(F.col("l_docs") >= least_docs).select("lang", "term", "l_n")
-    kept = stored(counts.join(whole, ["lang", "term"]).select("lang", "source", "term", "n", "l_n"), "divergence-kept")
-    terms = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("terms"))
-    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = rows.groupBy("lang", "source").agg(F.lit(1)).select("lang", "source").join(totals, ["lang", "source"], "left").join(terms, "lang", "left")
-    groups = stored(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms")), "divergence-groups")
+    kept = stored(_kept(_counted(rows), least_docs), "divergence-kept")
+    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("sources").alias("cells"), F.count_if("leads").alias("leads"))
+    terms = sums.groupBy("lang").agg(F.sum("leads").alias("terms"))
+    groups = rows.groupBy("lang", "source").agg(F.lit(1)).select("lang", "source").join(sums, ["lang", "source"], "left").join(terms, "lang", "left")
+    groups = stored(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "cells", "terms")]), "divergence-groups")
     return _pairs(groups, kept, scale).unionByName(_own_terms(groups, kept, scale, ranks))

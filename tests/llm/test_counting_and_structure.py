@@ -214,3 +214,31 @@ def test_divergence_equals_plain_python(spark, monkeypatch, held):
     assert sorted(map(tuple, divergence.audit(table).collect())) == plain_divergence(rows)
     if held == 50:
         assert divergence.audit(table.limit(0)).count() == 0
+
+
+def test_divergence_of_terms_in_slices_and_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "CELLS", 3)
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choices(["all", "Every", "été", "b", "c", "d"], weights=(9, 9, 3, 1, 1, 1), k=6)), rng.choice(["en", "fr"]), f"s{n % 13}") for n in range(150)]
+    rows += [("all " * 3_000_000, "en", "s0"), ("all", "en", "lone")]
+    monkeypatch.setattr(divergence, "HELD_TERMS", 20)
+    table = frame(spark, rows, "text string, lang string, source string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(map(tuple, divergence.audit(table).collect())) == plain_divergence(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_divergence_shuffles_term_counts_once_and_joins_none(spark, monkeypatch):
+    plans = []
+
+    def spied(df, name):
+        plans.extend([df._jdf.queryExecution().executedPlan().toString()] * ("term" in df.columns))
+        return stored(df, name)
+
+    stored = divergence.stored
+    monkeypatch.setattr(divergence, "stored", spied)
+    divergence.audit(frame(spark, [("a b", "en", "s")] * 3, "text string, lang string, source string"))
+    assert sum(p.count("Exchange ") for p in plans) == 1
+    assert not any("Join" in p for p in plans)
