@@ -83,3 +83,15 @@ def test_more_partitions_give_the_same_chances(spark):
     _, a = scored(SoftmaxBoosting(classes=3, rounds=3, depth=2).fit(df.coalesce(1)), df)
     _, b = scored(SoftmaxBoosting(classes=3, rounds=3, depth=2).fit(df.repartition(5)), df)
     assert np.allclose(a, b, atol=1e-9)
+
+
+def test_scoring_is_an_arrow_map_that_keeps_every_column(spark):
+    df = table(spark, 60, 3)
+    model = SoftmaxBoosting(classes=3, rounds=1, depth=1).fit(df)
+    odd = df.select("*", F.create_map(F.lit("k"), "actual").alias("Line's no."), F.lit(None).alias("none"), F.struct(F.lit(1).alias("q")).alias("s`t"))
+    out = model.transform(odd)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == [*odd.columns, "probability", "prediction"] and [f.dataType for f in out.schema][:5] == [f.dataType for f in odd.schema]
+    assert [tuple(r)[:5] for r in out.collect()] == [tuple(r) for r in odd.collect()]
+    again = model.transform(out)  # earlier answers are replaced
+    assert sorted(again.columns) == sorted(out.columns) and again.count() == 60
