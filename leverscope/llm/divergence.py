@@ -18,7 +18,7 @@ SCALE = 1_000_000_000
 LEAST_DOCS = 3  # documents of a language that a term must be in
 MOST_SCALE = 1_500_000_000  # four squares of it fit a long
 RANKS = 200
-CELLS = 1 << 18  # pairs of sources over terms that both have, valued at once
+CELLS, ALIKE = 1 << 18, 16  # pairs of sources over terms that both have, valued at once; of wide terms, about so many of each pair
 HELD_TERMS, HELD_BYTES = 1_000_000, 64 << 20  # distinct terms, and bytes of texts, that a task counts before it emits
 LETTERS = bytes(b if b >= 128 else b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
 
@@ -145,7 +145,7 @@ def _pairs(groups: DataFrame, kept: DataFrame, scale: int) -> DataFrame:
     With f(a, b) the distance of the cell of counts a and b, the sum over all terms is terms * f(0, 0), plus
     f(a, 0) - f(0, 0) for each term the source has and f(0, b) - f(0, 0) for each the other has, plus
     f(a, b) - f(a, 0) - f(0, b) + f(0, 0) for each both have. So terms that one of them lacks are never
-    paired. Terms are dealt into parts of about ``CELLS`` such cells, a term of more into slices by its sources.
+    paired. Terms are dealt into parts of about ``CELLS`` such cells, wide ones into slices by their sources.
     """
     # A language without kept terms has no chances: its sums have no addends but 0 * f(0, 0).
     of = groups.withColumn("w", F.col("terms")).withColumn("terms", F.greatest("terms", F.lit(1))).withColumn("zero", _chance("0L", "total", "terms", scale))
@@ -154,8 +154,8 @@ def _pairs(groups: DataFrame, kept: DataFrame, scale: int) -> DataFrame:
     pairs = mine.join(theirs, "lang").filter("source <> item")
     parts = groups.groupBy("lang").agg(F.expr(f"1 + sum(cells) div {CELLS}").alias("parts"))
     dealt = (kept.filter("sources > 1").join(of.select("lang", "source", "total", "terms", "zero").join(parts, "lang"), ["lang", "source"])
-             .withColumn("p", _chance("n", "total", "terms", scale)).withColumn("slices", F.expr(f"1 + sources * sources div {CELLS}"))
-             .select("lang", "term", "source", "p", "zero", "slices", F.expr("pmod(xxhash64(term), parts)").alias("part"), F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"))
+             .withColumn("p", _chance("n", "total", "terms", scale)).withColumn("slices", F.expr(f"1 + {ALIKE} * sources * sources div {CELLS}"))
+             .select("lang", "term", "source", "p", "zero", "slices", F.expr("pmod(xxhash64(term), greatest(1, parts div slices))").alias("part"), F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"))
              .withColumn("mine", F.expr("pmod(xxhash64(source), slices) = slice")).drop("slices"))
     both = dealt.groupBy("lang", "part", "slice").applyInArrow(_together, "lang string, source string, item string, high long, low long")
     own = kept.groupBy("lang", "source", "n").agg(F.count("*").alias("m"))
