@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leverscope.operators import cells, learners
+from leverscope.operators import cells, ensemble, learners, order
 from leverscope.operators.boosting import TreesModel
 from leverscope.plans.train import fit_model
 
@@ -97,3 +97,24 @@ def test_sums_do_not_depend_on_the_order(spark):
 def test_too_many_cells_are_left_to_sparks_learner(table, monkeypatch):
     monkeypatch.setattr(cells, "MOST_CELLS", 100)
     assert not isinstance(fitted(table, "two").scorer.pipeline.stages[-1], TreesModel)
+
+
+def test_importance_moves_a_row_as_its_cell_and_meets_the_next_bucket(table):
+    """Rows are shuffled with a number in place of their inputs, and no row holds its donors."""
+    model = fitted(table, "y")
+    trees = model.scorer.trees
+    ready = trees.prepared(model.frame, "inputs").select("row_key", "inputs", "actual")
+    coded = ensemble.cell_codes(ready, trees.trees, "row_key")
+    assert [t for _, t in coded.dtypes] == ["bigint", "bigint", "double"]
+    ordered = order.hash_buckets(coded, "row_key", 42, 2).repartition("hash_bucket").sortWithinPartitions("hash_bucket", "hash_order", "row_key")
+    sums, rows = ensemble.added_cell_losses(ordered, trees.trees, 3)
+    assert rows == 15_000
+    line = ready.join(order.hash_buckets(ready, "row_key", 42, 2).select("row_key", "hash_order"), "row_key").orderBy("hash_order", "row_key").collect()
+    x, y = np.array([r["inputs"] for r in line]), np.array([r["actual"] for r in line])
+    answer = lambda rows: trees.trees.answers(trees.trees.raw(trees.trees.slots(rows)))[0]
+    before = (answer(x) - y) ** 2
+    for r in (1, 3):
+        for j in range(4):
+            changed = x.copy()
+            changed[:, j] = np.roll(x[:, j], -r)
+            assert sums[j + 1, r] == pytest.approx(((answer(changed) - y) ** 2 - before).sum(), rel=1e-9, abs=1e-6)
